@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, near_dedup, quality
+from . import bpe, chat, decontaminate, exact_dedup, extract, near_dedup, quality, warc
 from .common import LOWER, UPPER
 
 
@@ -22,6 +22,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +38,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.from_turns(table(spark, sf_dir, "conversations")), chat.RESPOND)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -43,9 +55,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
+    "op9_chat_formatting": op9_chat_formatting,
     "pipeline": pipeline,
 }
 
@@ -71,4 +86,28 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op9_chat_formatting": """
+        WITH RECURSIVE t AS (
+          SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+                 CASE role WHEN 'user' THEN 'call_' || conv_id || '_' || turn WHEN 'assistant' THEN 'call_' || conv_id || '_' || (turn - 1) END AS call_id
+          FROM conversations),
+        calls AS (SELECT conv_id, turn, call_id, count(*) AS n FROM t WHERE kind = 'call' GROUP BY ALL),
+        depth AS (
+          SELECT c.conv_id, c.turn, 0 AS level FROM calls c LEFT JOIN calls p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 WHERE p.turn IS NULL
+          UNION ALL SELECT c.conv_id, c.turn, d.level + 1 FROM depth d JOIN calls c ON c.conv_id = d.conv_id AND c.turn = d.turn + 2),
+        known AS (SELECT c.*, level FROM calls c JOIN depth USING (conv_id, turn)),
+        results AS (SELECT conv_id, call_id, count(*) AS n FROM t WHERE kind = 'result' GROUP BY ALL),
+        wrong AS (
+          SELECT t.*, k.n AS n_calls, k.level AS depth, r.n AS n_results,
+                 list_sort(list_filter([CASE WHEN kind = 'call' AND k.n > 1 THEN 'duplicate id' END, CASE WHEN kind = 'call' AND text IS NULL THEN 'prompt: missing' END,
+                              CASE WHEN kind = 'call' AND length(text) > 1500 THEN 'prompt: longer than 1500' END, CASE WHEN kind = 'call' AND t.turn < 0 THEN 'turn: less than 0' END], lambda x: x IS NOT NULL)) AS e
+          FROM t LEFT JOIN known k ON k.conv_id = t.conv_id AND k.call_id = t.call_id LEFT JOIN results r ON r.conv_id = t.conv_id AND r.call_id = t.call_id)
+        SELECT conv_id, turn, kind, call_id,
+               CASE kind WHEN 'call' THEN coalesce(n_results, 0) > 0 WHEN 'result' THEN n_calls IS NOT NULL ELSE false END AS linked,
+               CASE kind WHEN 'call' THEN depth * 2 WHEN 'result' THEN depth * 2 + 1 END::BIGINT AS level,
+               len(e) = 0 AS valid, array_to_string(e, '; ') AS errors,
+               CASE kind WHEN 'call' THEN '{"arguments":' || to_json({'prompt': text, 'turn': turn})::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"name":"respond","type":"call"}'
+                    WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"type":"result"}'
+                    ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"type":"message"}' END AS json
+        FROM wrong""",
 }
