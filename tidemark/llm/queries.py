@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, extract, near_dedup, quality, warc
+from . import bpe, chat, decontaminate, exact_dedup, extract, near_dedup, quality, substrings, warc
 from .common import LOWER, UPPER
 
 
@@ -46,6 +46,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(chat.from_turns(table(spark, sf_dir, "conversations")), chat.RESPOND)
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=200, texts=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "pipeline": pipeline,
 }
 
