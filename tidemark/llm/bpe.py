@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 
 from .common import U64, only, text_bytes
 
+ROWS = 512  #: documents encoded at a time
 AVERAGE = 1024  #: bytes between two cuts, on average
-CACHE_BYTES = 32 << 20  #: text of the chunks whose ids a task keeps
+CACHE_BYTES = 8 << 20  #: text of the chunks whose ids a task keeps
 
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
@@ -78,7 +79,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.encoder, self.names = load(path)
-        self.lengths = np.array([len(b) for b in self.names], np.int64)
+        self.lengths = np.array([len(b) for b in self.names], np.int32)
         self.cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
 
@@ -91,7 +92,7 @@ class ChunkEncoder:
             if self.held > CACHE_BYTES:
                 self.cache, self.held = {}, 0
             ids = self.ids(piece)
-            found = self.cache[piece] = ids, np.concatenate([[0], np.cumsum(self.lengths[ids])])
+            found = self.cache[piece] = ids, np.concatenate([np.zeros(1, np.int32), np.cumsum(self.lengths[ids], dtype=np.int32)])
             self.held += len(piece)
         return found
 
@@ -149,13 +150,19 @@ class ChunkEncoder:
         return b"".join(map(self.names.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in range(0, batch.num_rows, ROWS):
+            yield batch.slice(s, ROWS)
+
+
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, ids for each row of docs (doc_id, text)."""
     path = tokenizer or default_tokenizer()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array([x.astype(np.int32) for x in encoder.batch(batch.column("text"))], pa.list_(pa.int32()))})
 
     return only(docs, "doc_id", "text").mapInArrow(go, "doc_id long, ids array<int>")
@@ -180,7 +187,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(path)
-        for batch in batches:
+        for batch in _slices(batches):
             found = encoder.batch(batch.column("text"))
             yield pa.RecordBatch.from_pydict(
                 {
