@@ -148,17 +148,20 @@ def _counts(block: Block, phrases: Phrases) -> pa.RecordBatch:
 
 
 def _hits(block: Block, phrases: Phrases) -> pa.RecordBatch:
-    edge = np.zeros(int(block.ends[-1]) + 1, np.int64)
+    from_, to = [block.positions[:0]], [block.positions[:0]]
     items: dict[int, set[str]] = {}
     for order, owners in zip(phrases.order, phrases.owners):
         if block.at[order[0][0]] < 0:
             continue
         begins = block.phrase(order)
         if len(begins):
-            edge += np.bincount(begins, minlength=len(edge)) - np.bincount(begins + len(order), minlength=len(edge))
+            from_.append(begins)
+            to.append(begins + len(order))
             names = {phrases.items[k] for k in owners} - {None}
             for slot in np.unique(block.slot(begins)).tolist():
                 items.setdefault(slot, set()).update(names)
+    size = int(block.ends[-1]) + 1
+    edge = np.bincount(np.concatenate(from_), minlength=size) - np.bincount(np.concatenate(to), minlength=size)
     hit = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)
     rows: dict[str, list] = {c: [] for c in ("slot", "doc_id", "n_words", "begins", "ends", "items")}
     for slot, (s, e) in enumerate(zip(block.ends[:-1].tolist(), block.ends[1:].tolist())):
