@@ -137,13 +137,13 @@ def tiles(words: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     low = low.withColumns({"__s": F.least(F.greatest("__s", "__c0"), "__c1"), "__e": F.least(F.greatest("__e", "__c0"), "__c1")})
     cursor = F.greatest(F.coalesce(F.max("__e").over(w.rowsBetween(*BEFORE)), F.col("__c0")), F.col("__c0"))
     placed = low.withColumn("__cursor", cursor).withColumn("__s", F.greatest("__s", "__cursor")).withColumn("__e", F.greatest("__e", "__s"))
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) == 1
+    placed = placed.withColumn("__last", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc())) == 1)
     end = F.greatest("__cursor", "__e")
     none = F.lit(None).cast("int")
     parts = F.array(
         F.struct(F.col("__cursor").alias("start_cs"), F.col("__s").alias("end_cs"), none.alias("highlight")),
         F.struct(F.col("__s").alias("start_cs"), F.col("__e").alias("end_cs"), F.col("__i").cast("int").alias("highlight")),
-        F.struct(end.alias("start_cs"), F.when(last, F.col("__c1")).otherwise(end).alias("end_cs"), none.alias("highlight")),
+        F.struct(end.alias("start_cs"), F.when(F.col("__last"), F.col("__c1")).otherwise(end).alias("end_cs"), none.alias("highlight")),
     )
     return placed.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*").filter("end_cs > start_cs")
 

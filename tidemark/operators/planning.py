@@ -1,0 +1,161 @@
+"""Edit plans as tables: a row per segment and a row per operation; prediction, checks, repairs and streamability are column rules.
+
+A segment has plan_id, seq, source, start, end and the source's metadata (fps,
+width, height, frame_count, total_seconds); an operation has plan_id, seq, pos,
+op and its arguments. All checks of a plan are collected, never only the first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+EPS = 1e-3
+
+#: How an operation runs on a stream of frames.
+STREAM_CLASS = {
+    "blur_effect": "frame", "zoom_effect": "frame", "color_adjust": "frame", "vignette": "frame", "ken_burns": "frame", "fade": "filter", "volume_adjust": "filter", "text_overlay": "filter", "resize": "filter",
+    "crop": "filter", "resample_fps": "filter", "speed_change": "filter", "freeze_frame": "filter", "silence_removal": "filter", "add_subtitles": "filter",
+}
+
+
+def parse(plans: DataFrame, plan: str = "plan") -> tuple[DataFrame, DataFrame]:
+    """Segments and operations of JSON plans (plan_id and the text): plan_id, seq, source, start, end; and plan_id, seq, pos, op, args (variant)."""
+    value = F.try_parse_json(plan)
+    segments = plans.select("plan_id", F.posexplode(F.from_json(F.to_json(F.try_variant_get(value, "$.segments", "variant")), "array<struct<source:string,start:double,end:double,operations:array<string>>>")).alias("seq", "s"))
+    ops = segments.select("plan_id", "seq", F.posexplode("s.operations").alias("pos", "text")).withColumn("args", F.try_parse_json("text"))
+    return segments.select("plan_id", "seq", "s.source", "s.start", "s.end"), ops.select("plan_id", "seq", "pos", F.try_variant_get("args", "$.op", "string").alias("op"), "args")
+
+
+def _when(condition: Column, code: str, field: str, value: Column, limit: Column) -> Column:
+    return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), value.cast("double").alias("value"), limit.cast("double").alias("limit")))
+
+
+def bounds_errors(segments: DataFrame) -> DataFrame:
+    """One row per fault of a segment's bounds or effect window. segments: plan_id, seq, start, end, total_seconds and, optionally, window_start, window_stop."""
+    start, end, total = F.col("start"), F.col("end"), F.col("total_seconds")
+    rules = [
+        _when(start < 0, "SEGMENT_START_NEGATIVE", "start", start, F.lit(0)),
+        _when(end <= start, "SEGMENT_END_BEFORE_START", "end", end, start),
+        _when(end > total + EPS, "SEGMENT_END_EXCEEDS_SOURCE", "end", end, total),
+    ]
+    if "window_start" in segments.columns:
+        a, b, length = F.col("window_start"), F.col("window_stop"), end - start
+        rules += [
+            _when(a < 0, "WINDOW_START_NEGATIVE", "window.start", a, F.lit(0)),
+            _when(b <= F.coalesce(a, F.lit(0.0)), "WINDOW_STOP_BEFORE_START", "window.stop", b, a),
+            _when(a >= length, "EFFECT_WINDOW_START_EXCEEDS_DURATION", "window.start", a, length),
+            _when(b > length + EPS, "EFFECT_WINDOW_STOP_EXCEEDS_DURATION", "window.stop", b, length),
+        ]
+    return segments.select("plan_id", "seq", F.explode(F.array_compact(F.array(*rules))).alias("e")).select("plan_id", "seq", "e.*")
+
+
+def repaired(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments with start, end and window clamped to the source, and a row (plan_id, seq, field, old, new) for each change."""
+    total = F.col("total_seconds")
+    new = {"start": F.greatest(F.lit(0.0), F.least(F.col("start"), total)), "end": F.least(F.col("end"), total)}
+    if "window_start" in segments.columns:
+        length = new["end"] - new["start"]
+        new |= {"window_start": F.greatest(F.lit(0.0), F.least(F.col("window_start"), length)), "window_stop": F.least(F.col("window_stop"), length)}
+    both = segments.withColumns({f"__new_{c}": e for c, e in new.items()})
+    change = [F.when(~F.col(c).eqNullSafe(F.col(f"__new_{c}")), F.struct(F.lit(c).alias("field"), F.col(c).alias("old"), F.col(f"__new_{c}").alias("new"))) for c in new]
+    log = both.select("plan_id", "seq", F.explode(F.array_compact(F.array(*change))).alias("x")).select("plan_id", "seq", "x.*")
+    return both.withColumns({c: F.col(f"__new_{c}") for c in new}).drop(*[f"__new_{c}" for c in new]), log
+
+
+def concat_errors(segments: DataFrame, fields: Sequence[str] = ("fps", "width", "height")) -> DataFrame:
+    """Segments that differ from their plan's first in a field that must be the same: plan_id, seq, field, value, expected."""
+    w = Window.partitionBy("plan_id").orderBy("seq")
+    firsts = segments.withColumns({f"__first_{c}": F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in fields})
+    rules = [F.when(F.col(c) != F.col(f"__first_{c}"), F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), F.col(f"__first_{c}").cast("double").alias("expected"))) for c in fields]
+    return firsts.select("plan_id", "seq", F.explode(F.array_compact(F.array(*rules))).alias("e")).select("plan_id", "seq", "e.*")
+
+
+def transition_errors(segments: DataFrame, fps: Column) -> DataFrame:
+    """Transitions not shorter, in frames, than the shorter of the segments they join, or before the first segment. segments: plan_id, seq, frames, transition (seconds or null)."""
+    before = F.lag("frames").over(Window.partitionBy("plan_id").orderBy("seq"))
+    rows = segments.withColumns({"before": before, "overlap": F.rint(F.col("transition") * fps).cast("long")}).filter("transition is not null")
+    code = F.when(F.col("before").isNull(), "TRANSITION_ON_FIRST_SEGMENT").when(F.col("overlap") < 1, "TRANSITION_TOO_SHORT").when(F.col("overlap") >= F.least("frames", "before"), "TRANSITION_TOO_LONG")
+    return rows.withColumn("code", code).filter("code is not null").select("plan_id", "seq", "code", "overlap", F.least("frames", "before").alias("limit"))
+
+
+def normalised_sizes(segments: DataFrame) -> DataFrame:
+    """Segments with the size of their plan's largest (first of equal ones) and whether a resize must be appended."""
+    by = F.struct((F.col("width") * F.col("height")).alias("a"), (-F.col("seq")).alias("s"))
+    target = segments.groupBy("plan_id").agg(F.max_by(F.struct("width", "height"), by).alias("t"))
+    wrong = (F.col("width") != F.col("t.width")) | (F.col("height") != F.col("t.height"))
+    return segments.join(target, "plan_id").withColumn("resize", wrong).withColumns({"width": F.col("t.width"), "height": F.col("t.height")}).drop("t")
+
+
+def streamability(ops: DataFrame, keys: Sequence[str] = ("plan_id", "seq"), order: str = "pos", classes: dict | None = None) -> DataFrame:
+    """Each operation's class and whether it streams: frame operations may follow filters, but no filter that changes time may follow a frame operation."""
+    table = F.create_map(*[F.lit(x) for item in (classes or STREAM_CLASS).items() for x in item])
+    kind = F.coalesce(F.try_element_at(table, F.col("op")), F.lit("eager"))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(F.when(F.col("kind") == "frame", 1).otherwise(0)).over(w), F.lit(0))
+    return ops.withColumn("kind", kind).withColumn("streams", (F.col("kind") != "eager") & ~((F.col("kind") == "filter") & (seen == 1)))
+
+
+def predicted(meta: DataFrame, op: str, **args) -> DataFrame:
+    """The metadata (fps, width, height, frame_count, total_seconds) that an operation makes of each row's; null where the operation can't run."""
+    n, fps, seconds = F.col("frame_count"), F.col("fps"), F.col("total_seconds")
+    w, h = F.col("width"), F.col("height")
+    out: dict[str, Column] = {}
+    if op == "cut":
+        a, b = F.rint(args["start"] * fps), F.rint(args["end"] * fps)
+        out["frame_count"] = F.when((b > a) & (b <= n + 1), F.least(b, n) - a)
+    elif op == "cut_frames":
+        out["frame_count"] = F.when((F.lit(args["end"]) > args["start"]) & (F.lit(args["end"]) <= n), F.lit(args["end"] - args["start"]))
+    elif op == "resize":
+        even = lambda v: F.greatest(F.lit(2), (F.rint(v / 2) * 2).cast("int"))
+        width, height = args.get("width"), args.get("height")
+        out["width"] = even(F.lit(width)) if width else even(w * height / h)
+        out["height"] = even(F.lit(height)) if height else even(h * width / w)
+    elif op == "resample_fps":
+        out["fps"], out["frame_count"] = F.lit(float(args["fps"])), F.rint(seconds * args["fps"])
+    elif op == "crop":
+        size = lambda v, full: F.floor(full * v) if isinstance(v, float) and 0 < v <= 1 else F.lit(int(v))
+        width, height = size(args["width"], w), size(args["height"], h)
+        fits = (width <= w) & (height <= h)
+        out["width"], out["height"] = F.when(fits, width), F.when(fits, height)
+    elif op == "speed_change":
+        a, b = args["speed"], args.get("end_speed") or args["speed"]
+        frames = (n / ((a + b) / 2)).cast("int")
+        out["frame_count"] = F.when(frames > 0, frames)
+    elif op == "freeze_frame":
+        held = F.rint(args.get("duration", 2.0) * fps)
+        inside = F.lit(args["timestamp"]).between(F.lit(0), seconds)
+        out["frame_count"] = F.when(inside, n if args.get("position") == "replace" else n + held)
+    elif op == "aspect_crop":
+        num, den = args["ratio"]
+        wide = w * den >= h * num
+        even = lambda v: F.greatest(F.lit(2), (F.floor(v / 2) * 2).cast("int"))
+        out["width"], out["height"] = F.when(wide, even(h * num / den)).otherwise(w), F.when(wide, h).otherwise(even(w * den / num))
+    else:
+        raise ValueError(f"unknown operation {op!r}")
+    out = {c: e.cast(meta.schema[c].dataType) for c, e in out.items()}
+    changed = meta.withColumns(out)
+    return changed.withColumn("total_seconds", F.round(F.col("frame_count") / F.col("fps"), 4)) if {"frame_count", "fps"} & out.keys() else changed
+
+
+def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
+    """video_id, frame_idx, src_idx: which source frame each frame of the result shows, for operations that only move frames."""
+    n, fps = F.col("frame_count"), F.col("fps")
+    if op == "cut":
+        a, b = F.rint(args["start"] * fps).cast("long"), F.least(F.rint(args["end"] * fps).cast("long"), n)
+        return meta.select("video_id", F.posexplode(F.sequence(a, b - 1)).alias("frame_idx", "src_idx"))
+    if op == "resample_fps":
+        size = F.rint(n / fps * args["fps"]).cast("long")
+        rows = meta.select("video_id", "frame_count", "fps", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("frame_idx"))
+        return rows.select("video_id", "frame_idx", F.least(n - 1, F.floor(F.col("frame_idx") * fps / args["fps"])).alias("src_idx"))
+    if op == "speed_change":
+        rows = meta.select("video_id", "frame_count", F.explode(F.sequence(F.lit(0).cast("long"), (n / args["speed"]).cast("long") - 1)).alias("frame_idx"))
+        return rows.select("video_id", "frame_idx", F.least(n - 1, F.floor(F.col("frame_idx") * args["speed"])).alias("src_idx"))
+    if op == "freeze_frame":
+        at = F.least(n - 1, F.floor(args["timestamp"] * fps)).cast("long")
+        held = F.rint(args.get("duration", 2.0) * fps).cast("long")
+        rows = meta.select("video_id", at.alias("at"), held.alias("held"), F.explode(F.sequence(F.lit(0).cast("long"), n + held - 1)).alias("frame_idx"))
+        return rows.select("video_id", "frame_idx", F.when(F.col("frame_idx") <= F.col("at"), F.col("frame_idx")).when(F.col("frame_idx") <= F.col("at") + F.col("held"), F.col("at")).otherwise(F.col("frame_idx") - F.col("held")).alias("src_idx"))
+    raise ValueError(f"{op!r} does more than move frames")

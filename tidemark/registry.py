@@ -1,41 +1,14 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""All registered queries over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .operators import intervals
+from .queries import plans, timeline, transcripts
 
+MODULES = (timeline, transcripts, plans)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def event_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as labelled intervals in seconds: [t, t + value)."""
-    ev = table(spark, sf_dir, "events")
-    start = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("start")
-    return ev.select("event_id", "user_id", F.col("event_type").alias("label"), start, F.coalesce("value", F.lit(0.0)).alias("confidence")).withColumn(
-        "end", F.col("start") + F.col("confidence")
-    )
-
-
-def event_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merge_events(event_intervals(spark, sf_dir), ["label"], gap=60.0, order="event_id")
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"event_merge": event_merge}
-
-EV = """ev AS (SELECT event_id, user_id, event_type AS label, epoch_us(ts) / 1e6::DOUBLE AS start, coalesce(value, 0) AS confidence,
-                   epoch_us(ts) / 1e6::DOUBLE + coalesce(value, 0) AS "end" FROM events)"""
-
-ORACLE_SQL: dict[str, str] = {
-    "event_merge": f"""
-        WITH {EV}, a AS (SELECT *, lag("end") OVER w AS pe FROM ev WINDOW w AS (PARTITION BY label ORDER BY start, event_id)),
-        b AS (SELECT *, sum(CASE WHEN pe IS NULL OR start - pe > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY start, event_id) AS g FROM a)
-        SELECT label, min(start) AS start, arg_max("end", row(start, event_id)) AS "end", max(confidence) AS confidence, count(*) AS n
-        FROM b GROUP BY label, g""",
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
