@@ -31,7 +31,7 @@ def kernel(name: str):
     return put
 
 
-def apply(frames: DataFrame, effect: str, total: int, start: int = 0, stop: int | None = None, **params) -> DataFrame:
+def apply(frames: DataFrame, effect: str, total: int, /, start: int = 0, stop: int | None = None, **params) -> DataFrame:
     """frames with an effect on frames [start, stop) of each video of `total` frames."""
     stop = total if stop is None else min(stop, total)
     run = KERNELS[effect](**params)
