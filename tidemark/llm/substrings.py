@@ -13,9 +13,9 @@ of one anchor, about 85 of them.
 2. The others are reranked by the pair of that rank and the rank of the whole
    run, which lies past the threshold: runs that share a rank are repeated whole.
 3. Runs that are alone at that length, but not at the seed, are compared at the
-   offsets in between with the runs of the same seed, byte by byte; seeds with
-   more than BIG different runs are compared by their windows' digests instead,
-   which Spark groups over all tasks.
+   offsets in between with the runs of the same seed, byte by byte; where a seed
+   has more than BIG different runs, ranges of their offsets are ranked by Spark
+   and halved until each is settled or alone.
 
 Only positions still tied move on to the next length. Strings are judged on the
 input, never across documents.
@@ -172,20 +172,58 @@ def _compared(length: int):
     return by_batch(run)
 
 
-def _windows(length: int):
+def _halves(length: int, size: int):
+    """For the active ranges of `size` window offsets of each run: the digest of the bytes that all its windows share, and of those that any covers."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, ids, prints, lows = [], [], [], []
-        for i, p, span, raw in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "span", "bytes"))):
-            begin, windows, _ = unpack(span)
-            digests += [hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(windows + 1)]
-            ids += [i] * (windows + 1)
-            prints += [p] * (windows + 1)
-            lows += range(begin, begin + windows + 1)
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(lows, pa.int64())], ["digest", "id", "print", "low"])
+        rows: dict[str, list] = {c: [] for c in ("id", "print", "span", "part", "shared", "whole")}
+        for i, p, span, raw, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "span", "bytes", "parts"))):
+            _, windows, anchor = unpack(span)
+            least = anchor - windows
+            for k in range(least // size, anchor // size + 1) if parts is None else (c for q in parts for c in (2 * q, 2 * q + 1)):
+                low, high = k * size, min(k * size + size - 1, length - SEED)
+                if low > anchor or high < least or low > high:
+                    continue
+                mark = f"{size}:{k}:".encode()
+                inside = least <= low and high <= anchor
+                for c, v in (
+                    ("id", i), ("print", p), ("span", span), ("part", k), ("shared", hashlib.blake2b(mark + raw[anchor - low : anchor + length - high], digest_size=16).digest()),
+                    ("whole", hashlib.blake2b(mark + raw[anchor - high : anchor + length - low], digest_size=16).digest() if inside else None),
+                ):
+                    rows[c].append(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types)], list(rows))
 
     return by_batch(run)
 
 
+def _halved(big: DataFrame, length: int) -> DataFrame:
+    """What the runs of crowded seeds share. big: id, print, span, bytes.
+
+    A range of window offsets is settled where the bytes that its windows cover stand twice, and given up where
+    the bytes that they all share stand once; else it is halved, together with the ranges that it shares bytes with.
+    """
+    key, size = ["id", "print", "span"], 64
+    active = big.withColumn("parts", F.lit(None).cast("array<int>"))
+    out = None
+    while size:
+        asked = staged(active.mapInArrow(_halves(length, size), "id long, print long, span long, part int, shared binary, whole binary"), "halves")
+        twice = asked.filter("whole is not null").groupBy("whole").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("whole", F.lit(True).alias("settled"))
+        told = asked.join(twice, "whole", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+        met = told.groupBy("shared").agg(F.count(F.lit(1)).alias("n"), F.min("settled").alias("over")).filter("n > 1")
+        told = staged(told.join(met, "shared").select(*key, "part", "settled", "over"), "halves-told")
+        at = F.expr("(span >> 17) + (span & 511)")
+        high = F.least(F.col("part") * size + size - 1, F.lit(length - SEED))
+        spans = told.filter("settled").select("id", "print", (at - high).alias("low"), (at - F.col("part") * size + length).alias("high"))
+        out = spans if out is None else out.unionByName(spans)
+        left = told.filter("not over").groupBy(*key).agg(F.collect_list("part").alias("parts"))
+        size //= 2
+        if not size or left.isEmpty():
+            return out
+        active = big.join(left, key)
+    return out
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     out: list[tuple[int, int]] = []
@@ -230,9 +268,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     contents = staged(contents, "runs-bytes")
     members = contents.filter("not big").groupBy("seed").agg(F.collect_list(F.struct("alone", "id", "print", "span", "bytes")).alias("members"))
     spans = spans.unionByName(members.mapInArrow(_compared(length), SPANS))
-    windows = contents.filter("big").mapInArrow(_windows(length), "digest binary, id long, print long, low long")
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    spans = spans.unionByName(windows.join(again, "digest", "left_semi").select("id", "print", "low", (F.col("low") + length).alias("high")))
+    big = contents.filter("big").select("id", "print", "span", "bytes")
+    if not big.isEmpty():
+        spans = spans.unionByName(_halved(big, length))
     return packed, spans
 
 
