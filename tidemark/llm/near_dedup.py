@@ -143,6 +143,8 @@ def _chunk_links(percent: int):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = {r: unpack(s) for r, s in zip(rows["rep"], rows["set"])}
         values, codes = np.unique(np.concatenate([sets[r] for r in right["rep"]]), return_inverse=True)
         owner = np.repeat(np.arange(len(right)), [len(sets[r]) for r in right["rep"]])
