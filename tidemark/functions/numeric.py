@@ -8,7 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters of speech per second by language, and for any other.
-SPEECH_RATE = {"en": 14.0, "de": 13.0, "fr": 15.0, "es": 16.0}
+SPEECH_RATE = {
+    "en": 14.0, "es": 14.0, "pt": 13.5, "it": 13.5, "fr": 13.0, "de": 12.0, "pl": 12.5, "nl": 12.5, "ru": 12.0, "uk": 12.0, "cs": 12.0, "sk": 12.0,
+    "ro": 13.0, "hu": 12.0, "fi": 11.0, "sv": 12.5, "da": 13.0, "nb": 13.0, "no": 13.0, "ja": 8.0, "ko": 9.0, "zh": 7.0, "zh-CN": 7.0, "zh-TW": 7.0,
+    "th": 9.0, "vi": 11.0, "ar": 10.0, "he": 10.0, "hi": 11.0, "ta": 10.0, "id": 12.0, "ms": 12.0, "tr": 12.0, "el": 12.0,
+}
 SPEECH_RATE_DEFAULT = 12.0
 SPEECH_SLACK = 1.15
 
@@ -64,9 +68,8 @@ def tempo_stages(speed: Column) -> Column:
 
 def target_chars(duration: Column, lang: Column) -> Column:
     """Characters that fit a duration in a language, with slack, 1 at least."""
-    rate = F.lit(SPEECH_RATE_DEFAULT)
-    for name, value in SPEECH_RATE.items():
-        rate = F.when(lang == name, F.lit(value)).otherwise(rate)
+    rates = F.create_map(*[F.lit(x) for item in SPEECH_RATE.items() for x in item])
+    rate = F.coalesce(F.try_element_at(rates, lang), F.lit(SPEECH_RATE_DEFAULT))
     return F.greatest(F.lit(1), (duration * rate * SPEECH_SLACK).cast("long"))
 
 

@@ -15,6 +15,10 @@ from ..functions import text as T
 from .intervals import BEFORE, islands
 
 
+#: When a transcript is doubtful.
+DOMINANT_SHARE, LOW_LOGPROB, LOW_SPEECH, SHORT_SECONDS = 0.70, -1.5, 0.05, 30.0
+
+
 def turns(words: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "turn") -> DataFrame:
     """Numbers the runs of words of one speaker; no speaker is a speaker too."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -82,15 +86,15 @@ def speaker_shares(words: DataFrame, keys: Sequence[str]) -> DataFrame:
 def assess(segments_: DataFrame, keys: Sequence[str], duration: Column, order: str) -> DataFrame:
     """Quality of transcripts from segments (keys, text, start, end, avg_logprob): the dominant phrase's share of characters, median log probability, spoken share, flags and ok, warn or reject."""
     phrased = segments_.withColumns({"phrase": T.normalize_phrase(F.col("text")), "__d": duration})
-    by_phrase = phrased.groupBy(*keys, "phrase").agg(F.sum(F.length("phrase")).alias("chars"), F.min(order).alias("first"))
+    by_phrase = phrased.filter("phrase <> ''").groupBy(*keys, "phrase").agg(F.sum(F.length("phrase")).alias("chars"), F.min(order).alias("first"))
     top = by_phrase.groupBy(*keys).agg(F.max_by("phrase", F.struct("chars", (-F.col("first")).alias("o"))).alias("dominant_phrase"), F.max("chars").alias("most"), F.sum("chars").alias("chars"))
     whole = phrased.groupBy(*keys).agg(
-        F.median("avg_logprob").alias("median_logprob"), F.least(F.lit(1.0), F.sum(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))) / F.max("__d")).alias("speech_fraction"), F.count(F.lit(1)).alias("n_segments")
+        F.median("avg_logprob").alias("median_logprob"), F.max("__d").alias("__d"), F.sum(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))).alias("__spoken"), F.count(F.lit(1)).alias("n_segments")
     )
-    share = F.when(F.col("chars") > 0, F.col("most") / F.col("chars")).otherwise(F.lit(0.0))
-    joined = top.join(whole, list(keys)).withColumn("dominant_share", share)
-    repeated = (F.col("dominant_share") > 0.5) & (F.col("n_segments") > 2)
-    unsure, quiet = F.coalesce(F.col("median_logprob") < -1.0, F.lit(False)), F.col("speech_fraction") < 0.02
+    fraction = F.when(F.col("__d") > 0, F.col("__spoken") / F.col("__d")).otherwise(F.lit(0.0))
+    joined = whole.join(top, list(keys), "left").withColumns({"dominant_share": F.coalesce(F.col("most") / F.col("chars"), F.lit(0.0)), "speech_fraction": fraction})
+    repeated = F.col("dominant_share") >= DOMINANT_SHARE
+    unsure, quiet = F.coalesce(F.col("median_logprob") < LOW_LOGPROB, F.lit(False)), (F.col("__d") > SHORT_SECONDS) & (F.col("speech_fraction") < LOW_SPEECH)
     flags = F.array_compact(F.array(F.when(repeated, "dominant_phrase"), F.when(unsure, "low_confidence"), F.when(quiet, "little_speech")))
     verdict = F.when(repeated & (unsure | quiet), "reject").when(F.size(flags) > 0, "warn").otherwise("ok")
     return joined.select(

@@ -105,8 +105,9 @@ def unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    plan = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("scene_id"))
-    catalog = table(spark, sf_dir, "part").filter("p_partkey % 11 <> 0").select((F.col("p_partkey")).alias("scene_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("caption"), F.col("p_size").alias("duration"))
+    """Lines that name a scene by their order's number, of which the parts' catalog has the low ones only."""
+    plan = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").alias("seq"), F.col("l_orderkey").alias("scene_id"))
+    catalog = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("scene_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("caption"), F.col("p_size").alias("duration"))
     return plan, catalog
 
 
@@ -200,8 +201,8 @@ ORACLE_SQL = {
           UNION ALL SELECT 'resample_fps', video_id, least(frame_count - 1, floor(i * fps / 10.0::DOUBLE))::BIGINT FROM media, unnest(range(0, round_even(frame_count / fps * 10, 0)::BIGINT)) AS u(i)
           UNION ALL SELECT 'speed_change', video_id, least(frame_count - 1, floor(i * 2.0::DOUBLE))::BIGINT FROM media, unnest(range(0, trunc(frame_count / 2.0::DOUBLE)::BIGINT)) AS u(i))
         SELECT op, video_id, count(*) AS frames, sum(src)::BIGINT AS src_sum, max(src) AS src_max FROM m GROUP BY op, video_id""",
-    "resolve_plan": "SELECT l_orderkey AS plan_id, l_linenumber AS seq, l_partkey AS scene_id, p_name AS caption, p_size AS duration FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 11 <> 0",
-    "unknown_ids": "SELECT DISTINCT l_partkey AS scene_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 11 <> 0)",
+    "resolve_plan": "SELECT l_orderkey AS plan_id, l_linenumber AS seq, l_orderkey AS scene_id, p_name AS caption, p_size AS duration FROM lineitem JOIN part ON p_partkey = l_orderkey",
+    "unknown_ids": "SELECT DISTINCT l_orderkey AS scene_id FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part)",
     "timing_summary": """WITH t AS (SELECT l_returnflag, l_quantity AS o, l_quantity * (1 - l_discount * 4) AS g FROM lineitem), f AS (SELECT *, greatest(0.8::DOUBLE, least(1.3::DOUBLE, CASE WHEN g > 0 THEN o / g ELSE 1 END)) AS f FROM t),
         s AS (SELECT *, CASE WHEN abs(f - 1) > 0.01 THEN f ELSE 1 END AS sp FROM f), a AS (SELECT *, o / sp > g + 0.01 AS cut, CASE WHEN o / sp > g + 0.01 THEN g ELSE o / sp END AS act FROM s)
         SELECT l_returnflag, count(*) AS total, count(*) FILTER (NOT cut AND abs(sp - 1) <= 0.01) AS clean, count(*) FILTER (abs(sp - 1) > 0.01) AS stretched, count(*) FILTER (cut) AS truncated,

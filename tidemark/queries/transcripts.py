@@ -33,9 +33,8 @@ def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("turn = 0")
-    words = turns.select("conv_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), " ")).alias("pos", "word"))
-    return transcript.sentence_case(words, ["conv_id"], ["pos"]).select("conv_id", F.col("pos").cast("long").alias("pos"), "word")
+    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), " ")).alias("pos", "word"))
+    return transcript.sentence_case(words, ["conv_id"], ["turn", "pos"]).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "word")
 
 
 def speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def transcript_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = docs.join(labels, "doc_id", "left").select(
         "source", "doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"), F.col("doc_id").cast("double").alias("start"), (F.col("doc_id") + F.col("n_chars") / 1000.0).alias("end"),
-        (F.col("quality") - 1.5).cast("double").alias("avg_logprob"),
+        (F.col("quality") - 2.0).cast("double").alias("avg_logprob"),
     )
     out = transcript.assess(rows, ["source"], F.lit(20000.0), "doc_id")
     return out.withColumns({"dominant_share": F.round("dominant_share", 8), "speech_fraction": F.round("speech_fraction", 8)})
@@ -142,24 +141,24 @@ ORACLE_SQL = {
         FROM r JOIN words n ON n.user_id = r.user_id AND n.i = r.i + 1) SELECT user_id, event_id, grp::BIGINT AS grp FROM r""",
     "chunk_segments": r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM conversations)
         SELECT conv_id, turn, p::BIGINT AS part, array_to_string(list_slice(w, p * 8 + 1, p * 8 + 8), ' ') AS text FROM w, unnest(range(0, greatest(1, ceil(len(w) / 8.0)::INT))) AS u(p)""",
-    "sentence_case": r"""WITH s AS (SELECT conv_id, string_split(trim(regexp_replace(text, '[ \n]+', ' ', 'g')), ' ') AS w FROM conversations WHERE turn = 0),
-        w AS (SELECT conv_id, i - 1 AS pos, w[i] AS word FROM s, unnest(range(1, len(w) + 1)) AS u(i)),
+    "sentence_case": r"""WITH s AS (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '[ \n]+', ' ', 'g')), ' ') AS w FROM conversations),
+        w AS (SELECT conv_id, turn, i - 1 AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS pos, w[i] AS word FROM s, unnest(range(1, len(w) + 1)) AS u(i)),
         m AS (SELECT *, regexp_matches(regexp_replace(word, '["''”’)\]}»]+$', ''), '[.!?…]$') AS e, regexp_matches(word, '\p{L}') AS a FROM w),
         l AS (SELECT *, coalesce(max(CASE WHEN a THEN pos END) OVER o, -1) AS la, coalesce(max(CASE WHEN e THEN pos END) OVER o, -1) AS le FROM m WINDOW o AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-        SELECT conv_id, pos, CASE WHEN a AND la <= le THEN regexp_extract(word, '^([^\p{L}]*)', 1) || upper(regexp_extract(word, '^[^\p{L}]*(\p{L})', 1)) || regexp_extract(word, '^[^\p{L}]*\p{L}(.*)$', 1) ELSE word END AS word FROM l""",
+        SELECT conv_id, turn, p AS pos, CASE WHEN a AND la <= le THEN regexp_extract(word, '^([^\p{L}]*)', 1) || upper(regexp_extract(word, '^[^\p{L}]*(\p{L})', 1)) || regexp_extract(word, '^[^\p{L}]*\p{L}(.*)$', 1) ELSE word END AS word FROM l""",
     "speaker_stats": f"""WITH {_W}, s AS (SELECT user_id, speaker, sum("end" - start) AS x FROM words WHERE speaker IS NOT NULL GROUP BY ALL)
         SELECT user_id, speaker, round(CASE WHEN sum(x) OVER (PARTITION BY user_id) > 0 THEN x / sum(x) OVER (PARTITION BY user_id) ELSE 0 END, 8) AS share FROM s""",
     "scene_excerpt": f"""WITH {_W}, d AS (SELECT DISTINCT user_id, floor(start / 86400)::BIGINT AS day FROM words),
         x AS (SELECT d.user_id, d.user_id || '#' || d.day AS scene, coalesce(string_agg(word, ' ' ORDER BY w.start, w.event_id), '') AS t
               FROM d LEFT JOIN words w ON w.user_id = d.user_id AND w."end" > d.day * 86400.0 AND w.start < (d.day + 1) * 86400.0 AND w."end" > w.start GROUP BY ALL)
         SELECT user_id, scene, CASE WHEN length(t) > 40 THEN rtrim(substr(t, 1, 37)) || '...' ELSE t END AS transcript FROM x""",
-    "transcript_quality": r"""WITH s AS (SELECT source, doc_id, string_split(text, chr(10))[1] AS text, n_chars / 1000.0::DOUBLE AS d, (quality - 1.5)::DOUBLE AS lp FROM documents LEFT JOIN labels USING (doc_id)),
+    "transcript_quality": r"""WITH s AS (SELECT source, doc_id, string_split(text, chr(10))[1] AS text, n_chars / 1000.0::DOUBLE AS d, (quality - 2.0)::DOUBLE AS lp FROM documents LEFT JOIN labels USING (doc_id)),
         p AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM s),
-        b AS (SELECT source, phrase, sum(length(phrase)) AS chars, min(doc_id) AS first FROM p GROUP BY ALL),
+        b AS (SELECT source, phrase, sum(length(phrase)) AS chars, min(doc_id) AS first FROM p WHERE phrase <> '' GROUP BY ALL),
         t AS (SELECT source, arg_max(phrase, row(chars, -first)) AS phrase, max(chars) AS most, sum(chars) AS chars FROM b GROUP BY source),
-        w AS (SELECT source, median(lp) AS median_logprob, least(1.0, sum(doc_id + d - doc_id) / 20000.0::DOUBLE) AS speech_fraction, count(*) AS n FROM p GROUP BY source),
-        x AS (SELECT *, CASE WHEN chars > 0 THEN most / chars ELSE 0 END AS share FROM t JOIN w USING (source)),
-        f AS (SELECT *, share > 0.5 AND n > 2 AS rep, coalesce(median_logprob < -1, false) AS uns, speech_fraction < 0.02 AS qui FROM x)
+        w AS (SELECT source, median(lp) AS median_logprob, sum(doc_id + d - doc_id) / 20000.0::DOUBLE AS speech_fraction, count(*) AS n FROM p GROUP BY source),
+        x AS (SELECT *, coalesce(most / chars, 0) AS share FROM w LEFT JOIN t USING (source)),
+        f AS (SELECT *, share >= 0.7 AS rep, coalesce(median_logprob < -1.5, false) AS uns, speech_fraction < 0.05 AS qui FROM x)
         SELECT source, CASE WHEN rep THEN phrase END AS dominant_phrase, round(share, 8) AS dominant_share, median_logprob, round(speech_fraction, 8) AS speech_fraction, n AS n_segments,
           array_to_string(list_filter([CASE WHEN rep THEN 'dominant_phrase' END, CASE WHEN uns THEN 'low_confidence' END, CASE WHEN qui THEN 'little_speech' END], lambda v: v IS NOT NULL), ',') AS flags,
           CASE WHEN rep AND (uns OR qui) THEN 'reject' WHEN rep OR uns OR qui THEN 'warn' ELSE 'ok' END AS recommendation FROM f""",
@@ -172,7 +171,7 @@ ORACLE_SQL = {
     "ass_times": f"""WITH {spans_sql()}, c AS (SELECT *, greatest(0, round_even(start * 100, 0))::BIGINT AS cs FROM ev)
         SELECT event_id, printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS at,
           printf('&H%02X%02X%02X%02X', 255 - user_id % 100, (event_id * 7) % 256, event_id % 256, user_id % 256) AS color, '(' || label || '/) x' AS escaped FROM c""",
-    "target_chars": r"""SELECT doc_id, greatest(1, trunc(n_chars / 14.0::DOUBLE * CASE lang WHEN 'en' THEN 14.0::DOUBLE WHEN 'de' THEN 13 WHEN 'fr' THEN 15 WHEN 'es' THEN 16 ELSE 12 END * 1.15::DOUBLE)::BIGINT) AS target,
+    "target_chars": r"""SELECT doc_id, greatest(1, trunc(n_chars / 14.0::DOUBLE * CASE lang WHEN 'en' THEN 14.0::DOUBLE WHEN 'de' THEN 12 WHEN 'fr' THEN 13 WHEN 'es' THEN 14 ELSE 12 END * 1.15::DOUBLE)::BIGINT) AS target,
         length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 2 AS translatable FROM documents""",
     "token_chunks": """WITH RECURSIVE n AS (SELECT source, doc_id, n_chars + 40 AS w, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
         r AS (SELECT source, doc_id, i, w AS t, 0 AS grp FROM n WHERE i = 1 UNION ALL
