@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import U64, by_batch, mix, only, staged, text_bytes
 
 SEED = 32
-BIG = 256  #: runs of one seed that are compared in one task
+BIG = 8  #: runs of one seed that are compared with each other in one task
 SEGMENT = 2 << 20
 
 _OF_BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
