@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, text
-from tidemark.operators import folds, frames, intervals, planning, signal, summaries, transcript
+from tidemark.operators import folds, frames, intervals, signal, summaries, transcript
+from tidemark.plans import planning
 from tidemark.sources import audio, documents
 
 

@@ -1,0 +1 @@
+"""A PySpark engine for timeline and media analytics."""

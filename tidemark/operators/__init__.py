@@ -1,0 +1 @@
+"""Operators over timelines, transcripts, signals and frames."""

@@ -1,0 +1 @@
+"""Edit plans as tables."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..operators import planning, summaries
+from ..operators import summaries
+from ..plans import planning
 from .base import BOXES_SQL, boxes, spans, spans_sql, table
 
 

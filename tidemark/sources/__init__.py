@@ -1,0 +1 @@
+"""Readers and writers of files of the domain."""

@@ -1,0 +1 @@
+"""Structured Streaming versions of stateful operators."""
