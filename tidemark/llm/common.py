@@ -104,7 +104,7 @@ def runs(lengths: np.ndarray) -> np.ndarray:
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpack(blob: bytes, n: int, kind) -> np.ndarray:
