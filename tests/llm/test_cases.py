@@ -249,6 +249,17 @@ def test_perplexity_model_sums_to_one(spark):
         assert len(p) == len(symbols) and abs(sum(p) - 1) < 1e-6
 
 
+def test_perplexity_reads_across_words(spark):
+    docs = spark.createDataFrame([(1, "ab cd ef gh", "en"), (2, "gh ef cd ab", "en"), (3, "Ab  cd\n𝔘é cd cd", "en"), (None, "ab cd ef gh", "en")], "doc_id long, text string, lang string")
+    model = quality.train(spark.createDataFrame([("ab cd ef gh ab cd ef gh",)] * 3, "text string"), 5)
+    got = by(quality.perplexities(docs, model, 5), "n_chars", "perplexity")
+    assert got[1] == got[None] and got[1][1] < got[2][1] / 2 and got[1][0] == got[2][0] == 12
+    text = "\x02ab\x03cd\x03𝔘é\x03cd\x03\x04cd\x03"  # the third, as the model reads it
+    asked = [(text[max(0, i - 4) : i + 1],) for i in range(1, len(text))]
+    logp = {r.gram: r.logp for r in quality.answers(spark.createDataFrame(asked, "gram string").distinct(), model).collect()}
+    assert got[3][0] == len(asked) and abs(math.log(got[3][1]) + sum(logp[g] for g, in asked) / len(asked)) < 1e-9
+
+
 def test_pitman_yor(docs, none):
     assert pitman_yor.scores(none).count() == 0
     got = by(pitman_yor.scores(docs), "n_tokens", "n_known", "score", "base_score", "held_out")
