@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +261,16 @@ def test_perplexity_reads_across_words(spark):
     assert got[3][0] == len(asked) and abs(math.log(got[3][1]) + sum(logp[g] for g, in asked) / len(asked)) < 1e-9
 
 
+def test_thresholds_cover_all_labelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(quality, "trusted", partial(quality.trusted, limit=1))
+    rows = [(1, "one two three", "en"), (2, "two three one", "en"), (3, "un deux trois", "fr"), (4, "trois deux un quatre", "fr"), (5, "deux cinq", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    got = by(quality.judge(docs, labels), "perplexity", "threshold")
+    for lang in ((1, 2), (3, 4)):
+        assert {got[i][1] for i in lang} == {max(got[i][0] for i in lang) * quality.MARGIN}
+
+
 def test_pitman_yor(docs, none):
     assert pitman_yor.scores(none).count() == 0
     got = by(pitman_yor.scores(docs), "n_tokens", "n_known", "score", "base_score", "held_out")
