@@ -120,6 +120,17 @@ def test_html(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_of_copies(spark):
+    body = "".join(f"<div>paragraph {i} of the text</div>" for i in range(12))
+    page = "<div>site line</div>{}<div>imprint</div>"
+    rows = [(1, "http://a.b/x/1", body), (2, "http://a.b/x/2", body), (3, "http://a.b/x/3", "<div>another page</div>")]  # equal ones and one of the same site
+    rows += [(4, "http://c.d/x/1", body), (5, "http://c.d/x/1-print", body), (6, "http://e.f/1", body), (7, "http://e.f/2", body + "<div>Printed</div>")]
+    pages = spark.createDataFrame([(i, u, page.format(b)) for i, u, b in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in extract.main_text(pages).collect()}
+    assert got[1] == got[2] == [f"paragraph {i} of the text" for i in range(12)] and got[3] == ["another page"]
+    assert len(got[4]) == len(got[5]) == 14 and len(got[6]) == 14 and got[7][-2:] == ["Printed", "imprint"]
+
+
 @given(st.lists(st.integers(0, 3), max_size=30), st.lists(st.integers(0, 3), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(a, b):

@@ -11,7 +11,11 @@
    in those windows, and each step sees one page of each group of the last.
 3. The lines of the two pages are aligned by their longest common subsequence.
    Lines shared with the neighbour are deleted, but for running text inside an
-   article: two articles that quote the same paragraph both keep it.
+   article: two articles that quote the same paragraph both keep it. Pages of a
+   host with the same lines count as one page here, so that their neighbour
+   differs. A neighbour that shares NEARLY all of a page's running text (of all
+   its lines but chrome, where none is running text) is a copy, and these lines
+   stay.
 4. What is left of the article, or, where a page marks none, of its open lines,
    is the main text.
 
@@ -160,7 +164,9 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return [*range(first), *middle[::-1], *range(len(a) - last, len(a))]
 
 
-PARSED = "page_id long, url string, key long, host string, directory string, stem string, lines array<string>, place array<int>, running array<boolean>, prints array<long>"
+NEARLY = 0.9  #: a neighbour with this share of a page's body is a copy of it
+
+PARSED = "page_id long, url string, key long, host string, directory string, stem string, lines array<string>, place array<int>, running array<boolean>, prints array<long>, body array<int>"
 
 
 def _parts(url: str | None) -> tuple[str, str, str]:
@@ -172,6 +178,14 @@ def _parts(url: str | None) -> tuple[str, str, str]:
     return host.lower(), directory, stem
 
 
+def _body(page: list[tuple[str, int, bool]]) -> list[int]:
+    """The length of each line of the body: running text, or where there is none every line but chrome; 0 for other lines."""
+    text = [place != CHROME and bool(running) for _, place, running in page]
+    if not any(text):
+        text = [place != CHROME for _, place, _ in page]
+    return [len(x[0]) if t else 0 for x, t in zip(page, text)]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [lines(p or "") for p in batch.column("html").to_pylist()]
@@ -185,8 +199,9 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 *[pa.array([w[k] for w in where], pa.string()) for k in range(3)],
                 pa.array([[x[0] for x in p] for p in found], pa.list_(pa.string())), pa.array([[x[1] for x in p] for p in found], pa.list_(pa.int32())),
                 pa.array([[x[2] for x in p] for p in found], pa.list_(pa.bool_())), pa.array([prints[s:e] for s, e in zip(ends[:-1], ends[1:])], pa.list_(pa.int64())),
+                pa.array([_body(p) for p in found], pa.list_(pa.int32())),
             ],
-            ["page_id", "url", "key", "host", "directory", "stem", "lines", "place", "running", "prints"],
+            ["page_id", "url", "key", "host", "directory", "stem", "lines", "place", "running", "prints", "body"],
         )
 
 
@@ -210,21 +225,30 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [common(a, b) for a, b in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+        found = []
+        for own, other, body in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "body"))):
+            shared = common(own, other)
+            if sum(body[i] for i in shared) >= NEARLY * sum(body):  # the neighbour is a copy, which says nothing about the body
+                shared = [i for i in shared if not body[i]]
+            found.append(shared)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], ["key", "shared"])
 
 
 def differences(pages: DataFrame) -> DataFrame:
-    """key, shared: the numbers of a page's lines that its neighbour shares."""
-    slim = parsed(pages).select("key", "host", "directory", "stem", "prints").dropDuplicates(["key"])
-    pairs = neighbours(slim.drop("prints"))
-    own, other = slim.select("key", F.col("prints").alias("own")), slim.select(F.col("key").alias("partner"), F.col("prints").alias("other"))
-    return pairs.join(own, "key").join(other, "partner").select("key", "own", "other").mapInArrow(_shared, "key long, shared array<int>")
+    """key, shared: the numbers of a page's lines that its neighbour shares; pages of a host with the same lines have one neighbour, which differs."""
+    slim = parsed(pages).select("key", "host", "directory", "stem", "prints", "body", F.xxhash64("prints").alias("same")).dropDuplicates(["key"])
+    first = slim.groupBy("host", "same").agg(F.min("key").alias("first"))
+    copies = slim.select("key", "host", "same").join(first, ["host", "same"]).select("key", "first")
+    one = slim.join(first.select(F.col("first").alias("key")), "key", "left_semi")
+    pairs = neighbours(one.drop("prints", "body", "same"))
+    own, other = one.select("key", F.col("prints").alias("own"), "body"), one.select(F.col("key").alias("partner"), F.col("prints").alias("other"))
+    found = pairs.join(own, "key").join(other, "partner").select("key", "own", "other", "body").mapInArrow(_shared, "key long, shared array<int>")
+    return copies.join(found.withColumnRenamed("key", "first"), "first").select("key", "shared")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    rows = parsed(pages).drop("host", "directory", "stem", "prints").join(differences(pages), "key", "left")
+    rows = parsed(pages).drop("host", "directory", "stem", "prints", "body").join(differences(pages), "key", "left")
     line = F.arrays_zip("lines", "place", "running")
     kept = F.filter(
         line, lambda x, i: (x["place"] != CHROME) & (((x["place"] == ARTICLE) & x["running"]) | ~F.coalesce(F.array_contains("shared", i), F.lit(False)))
