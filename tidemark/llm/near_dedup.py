@@ -6,18 +6,23 @@ the k smallest of them. Steps:
 1. Documents with the same set become one class, of which the smallest doc_id
    stands for the rest.
 2. Inverted lists of retained values. Two sets as similar as asked share at least
-   `needed` sketch values (k * similarity less about five standard deviations;
-   for small sets an exact bound), so under one order of all values, rarest
-   first, their first size - needed + 1 values meet. Only those are listed: a
-   passage that half the documents hold enters no list of a document that has
-   enough values of its own.
+   `needed` sketch values: the number that a binomial of k draws falls below with
+   probability RISK, which bounds the risk of missing a pair here (for small sets
+   the bound is exact). So under one order of all values, rarest first, their
+   first size - needed + 1 values meet. Only those are listed: a passage that half
+   the documents hold enters no list of a document that has enough values of its
+   own.
 3. Each list compares its members with two pivots, those whose values are the
    most widely held: a copy group costs as many comparisons as it has members.
-   Pairs whose union sketch can't reach the threshold are dropped; the others
-   are verified on their full sets and give links and components.
-4. Lists whose members still lie in different components compare what the
-   pivots left open, members outside the list's largest component with all of
-   it, in chunks on full sets. So no link is lost and no list is cut.
+   Pairs whose union sketch can't reach the threshold (by the same bound) are
+   dropped; the others are verified on their full sets and give links and components.
+4. Members of lists that still lie in different components are joined on their
+   full sets by prefixes: of two similar sets, the larger one's first
+   n - ceil(t n) + 1 values and the smaller one's first n - ceil(2 t n / (1 + t)) + 1,
+   rarest first, have a value in common. Lists of one component are left out, and
+   in the others pairs of its largest component with itself, so rows grow with the
+   members that are still apart. What the shared values and their places leave
+   possible is verified. No list is cut.
 
 Defined results: null, empty or blank text has an empty set and links with
 nothing; fewer words than a shingle count as one shingle; null doc_ids are left
@@ -27,18 +32,19 @@ empty table gives none.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, U64, by_batch, mix, only, runs, salts_for, staged, tokens, word_hashes
+from .common import LOWER_TABLE, U64, by_batch, fresh, mix, only, salts_for, staged, tokens, word_hashes
 from .components import components
 
+RISK = 1e-9  #: of missing a pair that is just similar enough by its sketches
 WIDTH = 6  #: bytes kept of each shingle's hash in stored sets
 
 
@@ -81,12 +87,19 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+@functools.cache
+def least_shared(size: int, percent: int) -> int:
+    """The largest count that a binomial of `size` draws at `percent` falls below with probability RISK at most."""
+    p, total, count = percent / 100, 0.0, 0
+    while (total := total + math.comb(size, count) * p**count * (1 - p) ** (size - count)) <= RISK:
+        count += 1
+    return count
+
+
 def needed_values(n: F.Column, size: int, percent: int) -> F.Column:
     """How many sketch values a set of n shares at least with a similar one."""
-    p = percent / 100
-    spread = max(1, math.floor(size * p - 5 * math.sqrt(size * p * (1 - p))))
     exact = F.ceil(n * F.lit(percent) / F.lit(100.0)).cast("int")
-    return F.when(n <= math.floor(size * p), exact).otherwise(F.lit(spread))
+    return F.when(n <= math.floor(size * percent / 100), exact).otherwise(F.lit(max(1, least_shared(size, percent))))
 
 
 def _features(words: int, size: int):
@@ -115,8 +128,7 @@ def _sets(words: int):
 
 def _union_sketch(size: int, percent: int):
     """Keeps pairs whose union sketch leaves the threshold possible: exact where a sketch is the whole set."""
-    p = percent / 100
-    floor = size * p - 5 * math.sqrt(size * p * (1 - p))
+    p, floor = percent / 100, least_shared(size, percent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         keep = []
@@ -138,30 +150,36 @@ def _exact(percent: int):
     return by_batch(run)
 
 
-def _chunk_links(percent: int):
-    """The links within one chunk pair of a list: left rows (minority) against right rows, of other components only."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sets = {r: unpack(s) for r, s in zip(rows["rep"], rows["set"])}
-        values, codes = np.unique(np.concatenate([sets[r] for r in right["rep"]]), return_inverse=True)
-        owner = np.repeat(np.arange(len(right)), [len(sets[r]) for r in right["rep"]])
-        order = np.argsort(codes, kind="stable")
-        starts, owner = np.searchsorted(codes[order], np.arange(len(values) + 1)), owner[order]
-        sizes, comps, ids = np.array([len(sets[r]) for r in right["rep"]]), right["component"].to_numpy(), right["rep"].to_numpy()
-        out = []
-        for r, c in zip(left["rep"], left["component"]):
-            at = np.searchsorted(values, sets[r])
-            at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[r])]
-            held = starts[at + 1] - starts[at]
-            both = np.bincount(owner[np.repeat(starts[at], held) + runs(held)], minlength=len(right))
-            hit = (100 * both >= percent * (len(sets[r]) + sizes - both)) & (comps != c)
-            out += [(int(r), int(x)) for x in ids[hit]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
+def _exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each value of each set."""
+    sets = [unpack(s) for s in batch.column("set").to_pylist()]
+    size = [len(s) for s in sets]
+    spread = lambda c: pa.array(np.repeat(np.asarray(batch.column(c)), size))
+    values = np.concatenate([*sets, np.zeros(0, U64)]).view(np.int64)
+    return pa.RecordBatch.from_arrays([spread("rep"), spread("component"), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(values)], ["rep", "component", "n", "v"])
+
+
+def prefix_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members (rep, component, set) of different components that may be similar, by prefixes of their full sets."""
+    values = staged(members.mapInArrow(by_batch(_exploded), "rep long, component long, n int, v long"), "near-values")
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    held = values.join(counts, "v").groupBy("rep").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    # values of one set alone come first; only shared ones can meet
+    alone = F.col("n") - F.size("shared")
+    long = (F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1).cast("int")
+    short = (F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1).cast("int")
+    entries = held.filter(long > alone).select("rep", "component", "n", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), long - alone)).alias("k", "x"))
+    entries = staged(entries.select("x.v", "rep", "component", "n", (F.col("alone") + F.col("k")).alias("at"), (F.col("alone") + F.col("k") < F.col("short")).alias("first")), "near-prefixes")
+    parts = entries.groupBy("v", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("v", "main")
+    entries = staged(entries.join(mixed, "v").withColumn("minor", F.col("component") != F.col("main")).drop("main"), "near-prefixes")
+    small = entries.filter("first").select("v", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "at", "minor")])
+    large = entries.select("v", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "at", "minor")])
+    fits = F.expr(f"component_x <> component_y and (n_x > n_y or n_x = n_y and rep_x > rep_y) and 100 * n_y >= {percent} * n_x")
+    met = small.filter("minor_y").join(large, "v").filter(fits).unionByName(small.filter("not minor_y").join(large.filter("minor_x"), "v").filter(fits))
+    # beyond the last shared value that they are known to share, both have only so many left
+    both = met.groupBy("rep_x", "rep_y").agg(F.count(F.lit(1)).alias("m"), (F.first("n_x") - F.max("at_x")).alias("left_x"), (F.first("n_y") - F.max("at_y")).alias("left_y"), (F.first("n_x") + F.first("n_y")).alias("n"))
+    return both.filter(f"{100 + percent} * (m + least(left_x, left_y) - 1) >= {percent} * n").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch: int = 32, chunk: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = only(docs, "doc_id", "text")
     features = staged(docs.mapInArrow(_features(words, sketch), "doc_id long, n_shingles long, print binary, sketch array<long>"), "near-features")
@@ -199,27 +217,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     pairs = joined.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
     both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     likely = staged(both.mapInArrow(_union_sketch(sketch, percent), "a long, b long"), "near-likely")
-    listed = lists.join(pivots.filter("size > 2").select("v", "size"), "v")
+    listed = lists.join(pivots.filter("size > 2").select("v"), "v")
     wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(listed.select("rep")).distinct()
     sets = staged(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(words), "rep long, set binary"), "near-sets")
     links = staged(_verified(likely, sets, percent), "near-links")
     found = components(links)
     # 4. lists that the pivots left in several components
-    member = listed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "size", "rep", F.coalesce("component", "rep").alias("component"))
-    parts = member.groupBy("v", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = parts.groupBy("v").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"), (F.sum("n") - F.max("n")).alias("minor")).filter("parts > 1")
-    open_lists = staged(member.join(split, "v").select("v", "size", "minor", "main", "rep", "component"), "near-open")
-    if not open_lists.isEmpty():
-        # lists of the same members are compared once
-        same = open_lists.groupBy("v").agg(F.sum(F.hash("rep").cast("long")).alias("s"), F.sum(F.xxhash64("rep") % 1000003).alias("t"), F.count(F.lit(1)).alias("c"))
-        once = same.groupBy("s", "t", "c").agg(F.min("v").alias("v")).select("v")
-        rows = open_lists.join(once, "v")
-        across, down = F.ceil(F.col("minor") / chunk).cast("int"), F.ceil(F.col("size") / chunk).cast("int")
-        spot = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
-        left = rows.filter("component <> main").select("v", "rep", "component", F.lit(0).alias("side"), spot(across).alias("i"), F.explode(F.sequence(F.lit(0), down - 1)).alias("j"))
-        right = rows.select("v", "rep", "component", F.lit(1).alias("side"), spot(down).alias("j"), F.explode(F.sequence(F.lit(0), across - 1)).alias("i"))
-        more = left.unionByName(right).join(sets, "rep").groupBy("v", "i", "j").applyInPandas(_chunk_links(percent), "a long, b long")
-        more = staged(more.distinct(), "near-more")
+    member = listed.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("component"))
+    split = member.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    apart = staged(member.join(split.select("v"), "v", "left_semi").select("rep", "component").distinct(), "near-apart")
+    if not apart.isEmpty():
+        more = staged(_verified(prefix_candidates(sets.join(apart, "rep"), percent), sets, percent), "near-more")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     # classes and components back to the documents
@@ -231,6 +239,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all columns."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """One document of each component, with all columns; rows that repeat a doc_id stay or go together."""
+    name = fresh(docs)
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
