@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import math
+import zlib
+from collections import Counter
 from functools import partial
 
 import numpy as np
@@ -60,8 +62,7 @@ def test_near_dedup(docs, none):
     assert near_dedup.deduplicate(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("chunk", [3, 512])
-def test_near_dedup_of_a_crowded_group_by_brute_force(spark, chunk):
+def test_near_dedup_of_a_crowded_group_by_brute_force(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -70,7 +71,7 @@ def test_near_dedup_of_a_crowded_group_by_brute_force(spark, chunk):
         for k in rng.choice(60, int(rng.integers(0, 6)), replace=False):
             words[k] = f"x{rng.integers(0, 40)}"
         rows.append((i, " ".join(words)))
-    got = by(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, chunk=chunk), "component_id")
+    got = by(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85), "component_id")
     sets = {i: {tuple(t.split()[k : k + 3]) for k in range(58)} for i, t in rows}
     label = {i: i for i in sets}
     changed = True
@@ -120,6 +121,27 @@ def test_html(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_without_markup_is_told_by_neighbours(spark):
+    """Nothing here names what a block is, or names it wrongly; only other pages show what is the site's."""
+    page = "<div>Start</div><div class=article>Read our papers</div><div>{}</div><div>{}</div><div>Imprint</div>"
+    rows = [(k, f"http://a.b/{d}/{k}", page.format(f"First of {k}", f"Second of {k}" if k != 3 else "Second of 2")) for k, d in ((1, "x"), (2, "x"), (3, "x"), (4, "yy/zz"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    assert got == {1: "First of 1\nSecond of 1", 2: "First of 2\nSecond of 2", 3: "First of 3\nSecond of 2", 4: "First of 4\nSecond of 4"}  # one neighbour quotes, the other lacks it
+
+
+def test_nearest_urls():
+    others = [("/a/12", 1), ("/a/2", 2), ("/a/125", 3), ("/b", 4)]
+    assert extract.nearest("/a/124", others) == [1, 3] and extract.nearest("/c", others) == [1, 2] and extract.nearest("/c", []) == []
+
+
+def test_html_unclosed_and_long(spark):
+    deep = "<div>" * 3000 + "<b>" * 3000 + "x" + "</i>" * 3000 + "</b>" * 10 + "<p>y" * 3000
+    pages = spark.createDataFrame([(1, "http://a.b/1", deep), (2, "http://a.b/2", "<p>" + "long " * 400_000)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    assert got[1] == "x" + "\ny" * 3000 and len(got[2]) == 5 * 400_000 - 1
+
+
 def test_html_of_copies(spark):
     body = "".join(f"<div>paragraph {i} of the text</div>" for i in range(12))
     page = "<div>site line</div>{}<div>imprint</div>"
@@ -251,14 +273,67 @@ def test_perplexity_model(spark, docs, none):
     assert by(quality.judge(docs, labels.limit(0)), "kept")[4] == (True,) and {r.doc_id for r in quality.keep_good(docs, labels).collect()} <= {4, 5, 6, 7, 8, 9, None}
 
 
+def asked(model, grams, order):
+    """The model's log probability of each n-gram."""
+    rows = model.mapInArrow(quality._keyed(order), "key long, logp float, backoff float").toPandas().astype({"logp": float, "backoff": float})
+    rows["key"] = rows["key"].to_numpy().view(np.uint64)
+    rows = rows.sort_values("key")
+    chars = np.frombuffer("".join(g.rjust(order, "\0") for g in grams).encode("utf-32-le"), np.uint32).reshape(len(grams), order)
+    return quality.back_off(chars, rows["key"].to_numpy(), rows["logp"].to_numpy(), rows["backoff"].to_numpy()).tolist()
+
+
+def read(text):
+    """A text as the model reads it."""
+    words = text.split()
+    return "\x02" + "".join(("\x04" if k and words[k - 1] == w else "") + w + "\x03" for k, w in enumerate(words))
+
+
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by its definition: the probability of the last character of an n-gram."""
+    n = Counter(t[max(0, i - order + 1) : i + 1] for t in texts for i in range(1, len(t)))
+    n += Counter(tail[1:] for tail in {g[i:] for g in n for i in range(len(g) - 1)})
+    discounts = {}
+    for size in range(1, order + 1):
+        of = Counter(c for g, c in n.items() if len(g) == size)
+        n1, n2, n3, n4 = (max(of[i], 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[size] = [min(max(v, 0.1), i - 0.05) for i, v in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+    d = lambda g: discounts[len(g)][min(n[g], 3) - 1]
+    total, lost = Counter(), Counter()
+    for g in n:
+        total[g[:-1]] += n[g]
+        lost[g[:-1]] += d(g)
+    known = sum(len(g) == 1 for g in n) + 1
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / known
+        if not total[g[:-1]]:
+            return below
+        return (n[g] - d(g) if g in n else 0) / total[g[:-1]] + lost[g[:-1]] / total[g[:-1]] * below
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_perplexity_by_brute_force(spark, order):
+    rng = np.random.default_rng(3)
+    words = ["ab", "abc", "b", "ca", "caé", "𝔘b"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(40)] + ["never seen zz zz", "é"]
+    p = kneser_ney([read(t) for t in texts[:25]], order)
+    model = quality.train(spark.createDataFrame([(t,) for t in texts[:25]], "text string"), order)
+    got = by(quality.perplexities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, order), "n_chars", "perplexity")
+    for i, t in enumerate(texts):
+        t = read(t)
+        logs = [math.log(p(t[max(0, k - order + 1) : k + 1])) for k in range(1, len(t))]
+        assert got[i][0] == len(logs) and abs(math.log(got[i][1]) + sum(logs) / len(logs)) < 1e-5
+
+
 def test_perplexity_model_sums_to_one(spark):
     train = spark.createDataFrame([("the cat sat on the mat the end",), ("a cat and a hat",)], "text string")
     model = quality.train(train, 3)
-    symbols = sorted({g.gram for g in model.collect() if len(g.gram) == 1 and g.logp is not None} | {"￿"})
+    symbols = sorted({g.gram for g in model.collect() if len(g.gram) == 1 and g.logp is not None} | {"\ufffd"})
     for context in ("\x02t", "at", "zz", "\x02"):
-        asked = spark.createDataFrame([(context + s,) for s in symbols], "gram string")
-        p = [math.exp(r.logp) for r in quality.answers(asked, model).collect()]
-        assert len(p) == len(symbols) and abs(sum(p) - 1) < 1e-6
+        assert abs(sum(map(math.exp, asked(model, [context + s for s in symbols], 3))) - 1) < 1e-6
 
 
 def test_perplexity_reads_across_words(spark):
@@ -266,33 +341,130 @@ def test_perplexity_reads_across_words(spark):
     model = quality.train(spark.createDataFrame([("ab cd ef gh ab cd ef gh",)] * 3, "text string"), 5)
     got = by(quality.perplexities(docs, model, 5), "n_chars", "perplexity")
     assert got[1] == got[None] and got[1][1] < got[2][1] / 2 and got[1][0] == got[2][0] == 12
-    text = "\x02ab\x03cd\x03𝔘é\x03cd\x03\x04cd\x03"  # the third, as the model reads it
-    asked = [(text[max(0, i - 4) : i + 1],) for i in range(1, len(text))]
-    logp = {r.gram: r.logp for r in quality.answers(spark.createDataFrame(asked, "gram string").distinct(), model).collect()}
-    assert got[3][0] == len(asked) and abs(math.log(got[3][1]) + sum(logp[g] for g, in asked) / len(asked)) < 1e-9
+    text = read("ab cd 𝔘é cd cd")
+    logp = asked(model, [text[max(0, i - 4) : i + 1] for i in range(1, len(text))], 5)
+    assert got[3][0] == len(logp) and abs(math.log(got[3][1]) + sum(logp) / len(logp)) < 1e-6
+
 
+def test_perplexity_in_many_blocks(spark, docs, monkeypatch):
+    model = quality.train(docs.filter("doc_id in (4, 6)"), 5)
+    whole = sorted(map(str, quality.perplexities(docs, model).collect()))
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(quality, "PIECE", 1)
+    assert sorted(map(str, quality.perplexities(docs, model).collect())) == whole and len(whole) == len(ROWS)
+
+
+def test_thresholds_cover_all_held_out_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
 
-def test_thresholds_cover_all_labelled_documents(spark, monkeypatch):
     monkeypatch.setattr(quality, "trusted", partial(quality.trusted, limit=1))
-    rows = [(1, "one two three", "en"), (2, "two three one", "en"), (3, "un deux trois", "fr"), (4, "trois deux un quatre", "fr"), (5, "deux cinq", "fr")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 1, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
-    got = by(quality.judge(docs, labels), "perplexity", "threshold")
-    for lang in ((1, 2), (3, 4)):
-        assert {got[i][1] for i in lang} == {max(got[i][0] for i in lang) * quality.MARGIN}
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), (F.col("id") % 7).cast("string")).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("fr").alias("lang"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    unseen = {r.doc_id for r in quality.labelled_good(labels).filter("unseen").collect()}
+    got = by(quality.judge(docs, labels), "perplexity", "threshold", "lang")
+    assert unseen and unseen.isdisjoint(r.doc_id for r in quality.trusted(labels).collect())
+    for lang in ("en", "fr"):
+        assert {v[1] for v in got.values() if v[2] == lang} == {max(got[i][0] for i in unseen if got[i][2] == lang) * quality.MARGIN}
+
+
+def test_pitman_yor_by_a_plain_sampler(spark):
+    """A sampler that moves customers one by one, over the whole hierarchy, gives nearly the same scores."""
+    import random
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e"], 40, p=[0.4, 0.3, 0.15, 0.1, 0.05])) for _ in range(14)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(14)]
+    tokens = [[*t.split(), "\n"] for t in texts]
+    pairs = [[(u, w) for u, w in zip(["\n", *ws[:-1]], ws)] for ws in tokens]
+    c = Counter(p for k, ps in enumerate(pairs) if not held[k] for p in ps)
+    own = Counter()
+    for (u, _), n in c.items():
+        own[u] += n
+    known, s = len({w for _, w in c}), pitman_yor.STRENGTH
+    d = pitman_yor.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    random.seed(4)
+    seats, top = {p: [n] for p, n in c.items()}, Counter(w for _, w in c)
+    top = {w: [n] for w, n in top.items()}
+    e, sums, samples = 0.8, Counter(), 0
+
+    def move(tables, discount, weight):
+        x, j = random.random() * sum(tables), 0
+        while x >= tables[j]:
+            x, j = x - tables[j], j + 1
+        tables[j] -= 1
+        if not tables[j]:
+            tables.pop(j)
+        x, j = random.random() * (sum(tables) - discount * len(tables) + weight()), 0
+        while j < len(tables) and x >= tables[j] - discount:
+            x, j = x - tables[j] + discount, j + 1
+        tables[j:] = [tables[j] + 1, *tables[j + 1 :]] if j < len(tables) else [1]
+
+    for epoch in range(150):
+        eaten, held_by = Counter(), Counter()
+        for (u, w), t in seats.items():
+            eaten[w] += len(t)
+            held_by[u] += len(t)
+        for w, n in eaten.items():
+            more = n - sum(top[w])
+            if more > 0:
+                top[w][0] += more
+            while more < 0:
+                j = random.choices(range(len(top[w])), top[w])[0]
+                top[w][j] -= 1
+                top[w], more = [x for x in top[w] if x], more + 1
+            for _ in range(n):
+                move(top[w], e, lambda: (s + e * sum(map(len, top.values()))) / (known + 1))
+        k, all_ = sum(map(len, top.values())), sum(eaten.values())
+        p = {w: (eaten[w] - e * len(top[w]) + (s + e * k) / (known + 1)) / (s + all_) for w in top}
+        if epoch >= 30:
+            samples += 1
+            for q in {q for ps in pairs for q in ps}:
+                sums[q] += (c[q] - d * len(seats.get(q, ())) + (s + d * held_by[q[0]]) * p[q[1]]) / (s + own[q[0]])
+        for (u, w), t in seats.items():
+            for _ in range(sum(t)):
+                move(t, d, lambda: (s + d * held_by[u]) * p[w])
+        e = pitman_yor.discount(sum(n == 1 for n in eaten.values()), sum(n == 2 for n in eaten.values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = pitman_yor.scores(docs, burn=4, samples=6)
+    got = by(scored, "score", "held_out")
+    for i, ps in enumerate(pairs):
+        want = sum(math.log10(sums[q] / samples) for q in ps)
+        assert got[i][1] == held[i] and abs(got[i][0] - want) < 0.02 * abs(want)
+    measured = {r.held_out: r.perplexity for r in pitman_yor.perplexity(scored).collect()}
+    for side in (False, True):
+        mine = [i for i in range(14) if held[i] == side]
+        assert abs(math.log10(measured[side]) + sum(got[i][0] for i in mine) / sum(len(pairs[i]) for i in mine)) < 1e-9
 
 
 def test_pitman_yor(docs, none):
     assert pitman_yor.scores(none).count() == 0
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith(("hpy_", "kn_"))]
     got = by(pitman_yor.scores(docs), "n_tokens", "n_known", "score", "base_score", "held_out")
     assert got[1][0] == 1 and got[3][0] == 1 and got[6][0] == 20001 and all(v[2] < 0 for v in got.values())
 
 
 def test_seating_follows_the_process():
     rng = np.random.default_rng(1)
-    t = pitman_yor.seat(np.full(4000, 3), np.full(4000, 0.5), 0.5, rng, 4, 2)
-    # three customers of a dish: the probabilities of 1, 2 and 3 tables by their weights
-    d, a = 0.5, 0.5
-    weight = np.array([(1 - d) * (2 - d) * a, 3 * (1 - d) * a * a, a**3])
-    assert np.allclose(np.bincount(t[-1], minlength=4)[1:] / 4000, weight / weight.sum(), atol=0.03)
-    assert (pitman_yor.seat(np.array([0, 1, 500]), np.full(3, 0.5), 0.5, rng, 1, 1)[0][:2] == [0, 1]).all()
+    d = 0.5
+    for c, a in ((2, 0.5), (3, 0.5), (7, 2.0), (40, 3.0)):
+        many = np.full(2000, c), np.full(2000, a)
+        seats = pitman_yor.filled(*many, d, rng)
+        for _ in range(80):
+            seats = pitman_yor.reseat(many[0], *seats, many[1], d, rng, 24)
+        assert seats[0].sum() == len(seats[1]) and (np.add.reduceat(seats[1], np.cumsum(seats[0]) - seats[0]) == c).all()
+        ways = {1: 1.0}  # of seating n customers at t tables, by weight
+        for n in range(1, c):
+            ways = {t: ways.get(t - 1, 0) + (n - d * t) * ways.get(t, 0) for t in range(1, n + 2)}
+        weight = np.array([ways[t] * a**t for t in range(1, c + 1)])
+        expected = (weight * np.arange(1, c + 1)).sum() / weight.sum()
+        assert abs(seats[0].mean() - expected) < 0.05 * expected
+    t, sizes = pitman_yor.filled(np.array([0, 1, 500]), np.full(3, 0.5), d, rng)
+    assert t[:2].tolist() == [0, 1] and sizes.sum() == 501
+    empty = np.zeros(0, np.int64)
+    assert len(pitman_yor.reseat(empty, empty, empty, np.zeros(0), d, rng, 24)[0]) == 0
+
+
+def test_a_restaurant_over_several_shards(docs, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", 400)
+    got = by(pitman_yor.scores(docs), "n_tokens", "score")
+    assert got[6][0] == 20001 and all(v[1] < 0 for v in got.values())
