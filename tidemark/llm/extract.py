@@ -4,39 +4,43 @@
    chrome (menus, headers, footers, sidebars, notices, adverts, forms, comments),
    article (inside <article> or <main>) or open (neither), and whether it is
    running text (paragraphs, headings, lists, quotes, tables).
-2. Pages of a host are paired with the neighbour of the nearest URL path: the
-   page before, else the page after, in the order of paths, first among those
-   whose path differs in its last two characters only, then, for pages left
-   alone, within their directory, then within the host. Only ids and paths meet
-   in those windows, and each step sees one page of each group of the last.
-3. The lines of the two pages are aligned by their longest common subsequence.
-   Lines shared with the neighbour are deleted, but for running text inside an
-   article: two articles that quote the same paragraph both keep it. Pages of a
-   host with the same lines count as one page here, so that their neighbour
-   differs. A neighbour that shares NEARLY all of a page's running text (of all
-   its lines but chrome, where none is running text) is a copy, and these lines
-   stay.
+2. Pages of a host are paired with two neighbours of the nearest URL path: in the
+   order of paths, those of the two pages before and the two after that share the
+   longest beginning with it. Pages are dealt over tasks by ranges of this order, so
+   a host of any size is spread; a page that is alone with its host in a range takes
+   the host's first or last page. Pages of a host with the same lines count as one
+   here, so that neighbours differ.
+3. The lines of a page are aligned with each neighbour's by their longest common
+   subsequence. A line that a neighbour shares is deleted, unless the other neighbour
+   lacks it or it is running text inside an article: two articles that quote the same
+   paragraph both keep it. A neighbour that shares NEARLY all of a page's running text
+   (of all its lines but chrome, where none is running text) is a copy, and these
+   lines don't count as shared.
 4. What is left of the article, or, where a page marks none, of its open lines,
    is the main text.
 
 Defined results: null html counts as empty and gives empty text; a null url is a
-host of its own; pages with equal id, url and html are one page for pairing;
-unclosed and stray tags are tolerated; an empty table gives none.
+host of its own; repeated rows each get a row; of neighbours that are as near, those
+next in the order of paths are taken; unclosed and stray tags are tolerated, in time
+linear in the page; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_module
+import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, staged
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -73,6 +77,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     out: list[tuple[str, int, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, int, bool]] = [("", OPEN, False)]
+    unclosed: Counter[str] = Counter()
+
+    def pop() -> None:
+        unclosed[stack.pop()[0]] -= 1
 
     def flush() -> None:
         if held:
@@ -90,32 +98,22 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         if found[1]:
-            k = len(stack) - 1
-            while k and stack[k][0] != tag:
-                k -= 1
             if tag in BLOCKS:
                 flush()
-            elif k and any(s[0] in BLOCKS for s in stack[k:]):
-                k = 0  # an inline end tag closes no block
-            if k:
-                del stack[k:]
+            k = len(stack) - 1 if unclosed[tag] else 0
+            while k and stack[k][0] != tag:
+                k = k - 1 if tag in BLOCKS or stack[k][0] not in BLOCKS else 0  # an inline end tag closes no block
+            while k and len(stack) > k:
+                pop()
             if tag in ("td", "th"):
                 held.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-            if stack[-1][0] == "p" or tag in ("li", "tr", "dt", "dd"):
-                # a paragraph ends where a block begins, an item where the next one does
-                closes = ("p",) if tag not in ("li", "tr", "dt", "dd") else ("p", tag, *(("dt", "dd") if tag in ("dt", "dd") else ()))
-                while len(stack) > 1 and (stack[-1][0] in closes or stack[-1][0] not in BLOCKS and any(s[0] in closes for s in stack[1:])):
-                    stack.pop()
-            elif tag in BLOCKS and any(s[0] == "p" for s in stack[1:]) and stack[-1][0] not in BLOCKS:
-                while len(stack) > 1 and stack[-1][0] != "p":
-                    if stack[-1][0] in BLOCKS:
-                        break
-                    stack.pop()
-                if stack[-1][0] == "p":
-                    stack.pop()
+            # a paragraph ends where a block begins, an item where the next one does
+            closes = ("p",) if tag not in ("li", "tr", "dt", "dd") else ("p", "dt", "dd") if tag in ("dt", "dd") else ("p", tag)
+            while any(unclosed[c] for c in closes) and (stack[-1][0] in closes or stack[-1][0] not in BLOCKS):
+                pop()
         elif tag in ("br", "td", "th"):
             held.append(" ")
         if tag in RAW:
@@ -129,6 +127,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             in_article = where == ARTICLE or tag in ("article", "main")
             where = CHROME if furniture(tag, found[3], in_article) else ARTICLE if in_article else OPEN
         stack.append((tag, where, (tag in TEXT) if tag in BLOCKS else text))
+        unclosed[tag] += 1
     held.append(page[at:])
     flush()
     return out
@@ -166,7 +165,8 @@ def common(a: list[int], b: list[int]) -> list[int]:
 
 NEARLY = 0.9  #: a neighbour with this share of a page's body is a copy of it
 
-PARSED = "page_id long, url string, key long, host string, directory string, stem string, lines array<string>, place array<int>, running array<boolean>, prints array<long>, body array<int>"
+PARSED = "page_id long, url string, host string, directory string, stem string, same long, marks binary, lines array<string>, at array<int>, sure array<boolean>"
+MARK = np.dtype([("print", "u1", 6), ("body", "<u2")])  #: of a line: its hash, and its length if it is of the body
 
 
 def _parts(url: str | None) -> tuple[str, str, str]:
@@ -186,74 +186,111 @@ def _body(page: list[tuple[str, int, bool]]) -> list[int]:
     return [len(x[0]) if t else 0 for x, t in zip(page, text)]
 
 
+def _marks(page: list[tuple[str, int, bool]], prints: np.ndarray) -> bytes:
+    out = np.zeros(len(page), MARK)
+    out["print"] = prints.view(np.uint8).reshape(-1, 8)[:, :6]
+    out["body"] = np.minimum(_body(page), 65535)
+    return out.tobytes()
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [lines(p or "") for p in batch.column("html").to_pylist()]
         where = [_parts(u) for u in batch.column("url").to_pylist()]
         flat = [t for page in found for t, *_ in page]
-        prints = pd.util.hash_array(np.array(flat, object), categorize=False).view(np.int64) if flat else np.zeros(0, np.int64)
+        prints = pd.util.hash_array(np.array(flat, object), categorize=False) if flat else np.zeros(0, np.uint64)
         ends = np.cumsum([0] + [len(p) for p in found])
+        marks = [_marks(p, prints[s:e]) for p, s, e in zip(found, ends[:-1], ends[1:])]
+        # what can be in the text: the article's lines, or the open ones of a page without one
+        wanted = [ARTICLE if any(x[1] == ARTICLE for x in p) else OPEN for p in found]
+        left = [[(i, *x) for i, x in enumerate(p) if x[1] == w] for p, w in zip(found, wanted)]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("page_id"), batch.column("url"), batch.column("key"),
-                *[pa.array([w[k] for w in where], pa.string()) for k in range(3)],
-                pa.array([[x[0] for x in p] for p in found], pa.list_(pa.string())), pa.array([[x[1] for x in p] for p in found], pa.list_(pa.int32())),
-                pa.array([[x[2] for x in p] for p in found], pa.list_(pa.bool_())), pa.array([prints[s:e] for s, e in zip(ends[:-1], ends[1:])], pa.list_(pa.int64())),
-                pa.array([_body(p) for p in found], pa.list_(pa.int32())),
+                batch.column("page_id"), batch.column("url"), *[pa.array([w[k] for w in where], pa.string()) for k in range(3)],
+                pa.array([int.from_bytes(hashlib.blake2b(m, digest_size=8).digest(), "little", signed=True) for m in marks], pa.int64()), pa.array(marks, pa.binary()),
+                pa.array([[x[1] for x in p] for p in left], pa.list_(pa.string())), pa.array([[x[0] for x in p] for p in left], pa.list_(pa.int32())),
+                pa.array([[x[2] == ARTICLE and x[3] for x in p] for p in left], pa.list_(pa.bool_())),
             ],
-            ["page_id", "url", "key", "host", "directory", "stem", "lines", "place", "running", "prints", "body"],
+            [f.split()[0] for f in PARSED.split(", ")],
         )
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    keyed = only(pages, "page_id", "url", "html").withColumn("key", F.xxhash64("page_id", "url", "html"))
-    return keyed.mapInArrow(_parse, PARSED)
+    return only(pages, "page_id", "url", "html").mapInArrow(_parse, PARSED)
+
+
+def nearest(path: str, others: list[tuple[str, int]]) -> list[int]:
+    """The two of others (path, page; the closest in order first) whose paths share the longest beginnings with path."""
+    shared = lambda other: len(os.path.commonprefix([path, other[0]]))
+    return [page for _, page in sorted(others, key=shared, reverse=True)[:2]]
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, same, partner of sorted pages: two rows a page, one or none where there are no more of its host."""
+    held: list[tuple[str, int, str]] = []  # two pages before, the page, two after
+
+    def found(k: int) -> list[tuple[str, int, int]]:
+        host, same, path = held[k]
+        others = [held[j] for d in (1, 2) for j in (k - d, k + d) if 0 <= j < len(held) and held[j][0] == host]
+        return [(host, same, p) for p in nearest(path, [(x[2], x[1]) for x in others])]
+
+    def out(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "same", "partner"])
+
+    at = 0
+    for batch in batches:
+        rows = []
+        for host, same, directory, stem in zip(*(batch.column(c).to_pylist() for c in ("host", "same", "directory", "stem"))):
+            held.append((host, same, f"{directory}/{stem}"))
+            if len(held) - at == 3:
+                rows += found(at)
+                at += 1
+            if at > 2:
+                held.pop(0)
+                at -= 1
+        yield out(rows)
+    yield out([x for k in range(at, len(held)) for x in found(k)])
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """key, partner of each page that has a neighbour; pages: key, host, directory, stem, all keys distinct."""
-    left = pages.withColumn("near", F.expr("substring(stem, 1, greatest(length(stem) - 2, 0))"))
-    out = None
-    for group in (["host", "directory", "near"], ["host", "directory"], ["host"]):
-        order = Window.partitionBy(*group).orderBy("directory", F.length("stem"), "stem", "key")
-        found = left.withColumn("partner", F.coalesce(F.lag("key").over(order), F.lead("key").over(order)))
-        paired = found.filter("partner is not null").select("key", "partner")
-        out = paired if out is None else out.unionByName(paired)
-        left = found.filter("partner is null").drop("partner")
-    return out
+    """host, same, partner: up to two neighbours of each page; pages: host, same, directory, stem, distinct by host and same."""
+    order = ["host", "directory", F.length("stem"), "stem", "same"]
+    near = staged(pages.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "host string, same long, partner long"), "page-pairs")
+    ends = pages.groupBy("host").agg(F.min(F.struct(*order))["same"].alias("low"), F.max(F.struct(*order))["same"].alias("high")).filter("low <> high")
+    alone = pages.select("host", "same").join(near, ["host", "same"], "left_anti").join(ends, "host")
+    return near.unionByName(alone.select("host", "same", F.when(F.col("same") != F.col("low"), F.col("low")).otherwise(F.col("high")).alias("partner")))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for own, other, body in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "body"))):
-            shared = common(own, other)
-            if sum(body[i] for i in shared) >= NEARLY * sum(body):  # the neighbour is a copy, which says nothing about the body
-                shared = [i for i in shared if not body[i]]
-            found.append(shared)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], ["key", "shared"])
-
-
-def differences(pages: DataFrame) -> DataFrame:
-    """key, shared: the numbers of a page's lines that its neighbour shares; pages of a host with the same lines have one neighbour, which differs."""
-    slim = parsed(pages).select("key", "host", "directory", "stem", "prints", "body", F.xxhash64("prints").alias("same")).dropDuplicates(["key"])
-    first = slim.groupBy("host", "same").agg(F.min("key").alias("first"))
-    copies = slim.select("key", "host", "same").join(first, ["host", "same"]).select("key", "first")
-    one = slim.join(first.select(F.col("first").alias("key")), "key", "left_semi")
-    pairs = neighbours(one.drop("prints", "body", "same"))
-    own, other = one.select("key", F.col("prints").alias("own"), "body"), one.select(F.col("key").alias("partner"), F.col("prints").alias("other"))
-    found = pairs.join(own, "key").join(other, "partner").select("key", "own", "other", "body").mapInArrow(_shared, "key long, shared array<int>")
-    return copies.join(found.withColumnRenamed("key", "first"), "first").select("key", "shared")
+        for own, others in zip(batch.column("own").to_pylist(), batch.column("others").to_pylist()):
+            own = np.frombuffer(own, MARK)
+            prints, body = [x.tobytes() for x in own["print"]], own["body"].tolist()
+            bare, full = [], []  # what neighbours share of the lines outside the body, and of the body
+            for other in others:
+                shared = common(prints, [x.tobytes() for x in np.frombuffer(other, MARK)["print"]])
+                bare.append({i for i in shared if not body[i]})
+                if sum(body[i] for i in shared) < NEARLY * sum(body):  # else it is a copy, which says nothing about the body
+                    full.append({i for i in shared if body[i]})
+            found.append(sorted(set.intersection(*bare) | (set.intersection(*full) if full else set())))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("same"), pa.array(found, pa.list_(pa.int32()))], ["host", "same", "shared"])
+
+
+def differences(slim: DataFrame) -> DataFrame:
+    """host, same, shared: the numbers of a page's lines that its neighbours share. slim: host, directory, stem, same, marks."""
+    one = slim.groupBy("host", "same").agg(F.min(F.struct("directory", "stem")).alias("x")).select("host", "same", "x.*")
+    marks = slim.groupBy("host", "same").agg(F.first("marks").alias("marks"))
+    sent = staged(neighbours(staged(one, "page-paths")), "page-neighbours").join(marks.withColumnRenamed("same", "partner"), ["host", "partner"])
+    others = sent.groupBy("host", "same").agg(F.array_sort(F.collect_list("marks")).alias("others"))
+    return marks.withColumnRenamed("marks", "own").join(others, ["host", "same"]).mapInArrow(_shared, "host string, same long, shared array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    rows = parsed(pages).drop("host", "directory", "stem", "prints", "body").join(differences(pages), "key", "left")
-    line = F.arrays_zip("lines", "place", "running")
-    kept = F.filter(
-        line, lambda x, i: (x["place"] != CHROME) & (((x["place"] == ARTICLE) & x["running"]) | ~F.coalesce(F.array_contains("shared", i), F.lit(False)))
-    )
-    article = F.exists(F.col("place"), lambda p: p == ARTICLE)
-    chosen = F.transform(F.filter(kept, lambda x: ~article | (x["place"] == ARTICLE)), lambda x: x["lines"])
-    text = F.array_join(chosen, "\n")
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = parsed(pages)
+    slim = staged(rows.select("host", "directory", "stem", "same", "marks"), "page-marks")
+    texts = rows.select("page_id", "url", "host", "same", "lines", "at", "sure").join(staged(differences(slim), "page-shared"), ["host", "same"], "left")
+    kept = F.filter(F.arrays_zip("lines", "at", "sure"), lambda x: x["sure"] | ~F.coalesce(F.array_contains("shared", x["at"]), F.lit(False)))
+    text = F.array_join(F.transform(kept, lambda x: x["lines"]), "\n")
+    return texts.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
