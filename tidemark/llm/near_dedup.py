@@ -16,13 +16,15 @@ the k smallest of them. Steps:
    most widely held: a copy group costs as many comparisons as it has members.
    Pairs whose union sketch can't reach the threshold (by the same bound) are
    dropped; the others are verified on their full sets and give links and components.
-4. Members of lists that still lie in different components are joined on their
-   full sets by prefixes: of two similar sets, the larger one's first
-   n - ceil(t n) + 1 values and the smaller one's first n - ceil(2 t n / (1 + t)) + 1,
-   rarest first, have a value in common. Lists of one component are left out, and
-   in the others pairs of its largest component with itself, so rows grow with the
-   members that are still apart. What the shared values and their places leave
-   possible is verified. No list is cut.
+4. Members of lists that still lie in different components meet by prefixes of their
+   full sets: of two similar sets, the larger one's first n - ceil(t n) + 1 values and
+   the smaller one's first n - ceil(2 t n / (1 + t)) + 1, rarest first, have a value in
+   common. Lists of one component are left out. Lists with the same largest component
+   and the same first member outside it, such as those of one passage, become one
+   group, in which each member counts once. A group compares those outside its largest
+   component with all of it, in chunks of CHUNK on full sets, by counting shared values
+   in the task: rows grow with the members that are still apart, not with pairs. No
+   list is cut.
 
 Defined results: null, empty or blank text has an empty set and links with
 nothing; fewer words than a shingle count as one shingle; null doc_ids are left
@@ -41,10 +43,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, U64, by_batch, fresh, mix, only, salts_for, staged, tokens, word_hashes
+from .common import LOWER_TABLE, U64, by_batch, fresh, mix, only, runs, salts_for, staged, tokens, word_hashes
 from .components import components
 
 RISK = 1e-9  #: of missing a pair that is just similar enough by its sketches
+CHUNK = 512  #: members of a group on either side of a comparison in one task
 WIDTH = 6  #: bytes kept of each shingle's hash in stored sets
 
 
@@ -144,7 +147,7 @@ def _union_sketch(size: int, percent: int):
 
 def _exact(percent: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [similar(a, b, percent) for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
+        keep = [similar(a.as_py(), b.as_py(), percent) for a, b in zip(batch.column("set_a"), batch.column("set_b"))]
         return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return by_batch(run)
@@ -159,8 +162,35 @@ def _exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([spread("rep"), spread("component"), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(values)], ["rep", "component", "n", "v"])
 
 
-def prefix_candidates(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of members (rep, component, set) of different components that may be similar, by prefixes of their full sets."""
+def _cell_links(percent: int):
+    """The links of one chunk of a group: those that ask against the others, of other components only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, reps, comps = (table.column(c).to_numpy() for c in ("asks", "rep", "component"))
+        asks = asks.astype(bool)
+        sets = [unpack(x.as_py()) for x in table.column("set")]
+        right = np.flatnonzero(~asks)
+        sizes = np.array([len(sets[k]) for k in right], np.int64)
+        values, codes = np.unique(np.concatenate([sets[k] for k in right] or [np.zeros(0, U64)]), return_inverse=True)
+        owner = np.repeat(np.arange(len(right)), sizes)
+        order = np.argsort(codes, kind="stable")
+        starts, owner = np.searchsorted(codes[order], np.arange(len(values) + 1)), owner[order]
+        links = [np.zeros((0, 2), np.int64)]
+        for k in np.flatnonzero(asks) if len(right) else ():
+            at = np.searchsorted(values, sets[k])
+            at = at[values[np.minimum(at, len(values) - 1)] == sets[k]]
+            held = starts[at + 1] - starts[at]
+            both = np.bincount(owner[np.repeat(starts[at], held) + runs(held)], minlength=len(right))
+            hit = right[(100 * both >= percent * (len(sets[k]) + sizes - both)) & (comps[right] != comps[k])]
+            links.append(np.stack([np.maximum(reps[hit], reps[k]), np.minimum(reps[hit], reps[k])], axis=1))
+        found = np.concatenate(links)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return run
+
+
+def prefix_links(members: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links between members (rep, component, set) of different components that share a value of their full sets' prefixes."""
     values = staged(members.mapInArrow(by_batch(_exploded), "rep long, component long, n int, v long"), "near-values")
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = values.join(counts, "v").groupBy("rep").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("shared"))
@@ -168,18 +198,21 @@ def prefix_candidates(members: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("shared")
     long = (F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1).cast("int")
     short = (F.col("n") - F.ceil(F.col("n") * F.lit(2 * percent) / F.lit(100 + percent)) + 1).cast("int")
-    entries = held.filter(long > alone).select("rep", "component", "n", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), long - alone)).alias("k", "x"))
-    entries = staged(entries.select("x.v", "rep", "component", "n", (F.col("alone") + F.col("k")).alias("at"), (F.col("alone") + F.col("k") < F.col("short")).alias("first")), "near-prefixes")
+    entries = held.filter(long > alone).select("rep", "component", short.alias("short"), alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), long - alone)).alias("k", "x"))
+    entries = staged(entries.select("x.v", "rep", "component", (F.col("alone") + F.col("k") < F.col("short")).alias("first")), "near-prefixes")
     parts = entries.groupBy("v", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = parts.groupBy("v").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("v", "main")
-    entries = staged(entries.join(mixed, "v").withColumn("minor", F.col("component") != F.col("main")).drop("main"), "near-prefixes")
-    small = entries.filter("first").select("v", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "at", "minor")])
-    large = entries.select("v", *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "at", "minor")])
-    fits = F.expr(f"component_x <> component_y and (n_x > n_y or n_x = n_y and rep_x > rep_y) and 100 * n_y >= {percent} * n_x")
-    met = small.filter("minor_y").join(large, "v").filter(fits).unionByName(small.filter("not minor_y").join(large.filter("minor_x"), "v").filter(fits))
-    # beyond the last shared value that they are known to share, both have only so many left
-    both = met.groupBy("rep_x", "rep_y").agg(F.count(F.lit(1)).alias("m"), (F.first("n_x") - F.max("at_x")).alias("left_x"), (F.first("n_y") - F.max("at_y")).alias("left_y"), (F.first("n_x") + F.first("n_y")).alias("n"))
-    return both.filter(f"{100 + percent} * (m + least(left_x, left_y) - 1) >= {percent} * n").select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    entries = staged(entries.join(mixed, "v").withColumn("minor", F.col("component") != F.col("main")), "near-mixed")
+    lead = entries.groupBy("v").agg(F.min(F.when(F.col("minor"), F.col("rep"))).alias("lead"), F.max("first").alias("any")).filter("any").select("v", "lead")
+    found = entries.join(lead, "v").groupBy("main", "lead", "rep").agg(F.first("component").alias("component"), F.first("minor").alias("minor"))
+    found = staged(found, "near-groups")
+    sizes = found.groupBy("main", "lead").agg(F.count(F.lit(1)).alias("size"), F.count_if("minor").alias("minors"))
+    sized = found.join(sizes, ["main", "lead"]).withColumn("across", F.ceil(F.col("minors") / CHUNK).cast("int")).withColumn("down", F.ceil(F.col("size") / CHUNK).cast("int"))
+    spot = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+    left = sized.filter("minor").select("main", "lead", "rep", "component", F.lit(True).alias("asks"), spot("across").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"))
+    right = sized.select("main", "lead", "rep", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), spot("down").alias("j"))
+    cells = left.unionByName(right).join(members.select("rep", "set"), "rep")
+    return cells.groupBy("main", "lead", "i", "j").applyInArrow(_cell_links(percent), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +260,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     split = member.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     apart = staged(member.join(split.select("v"), "v", "left_semi").select("rep", "component").distinct(), "near-apart")
     if not apart.isEmpty():
-        more = staged(_verified(prefix_candidates(sets.join(apart, "rep"), percent), sets, percent), "near-more")
+        more = staged(prefix_links(sets.join(apart, "rep"), percent), "near-more")
         if not more.isEmpty():
             found = components(links.unionByName(more))
     # classes and components back to the documents
