@@ -127,7 +127,41 @@ def test_tracks(spark):
 
     assert run([(0, 0, (0.10, 0.20, 0.1, 0.1)), (1, 0, (0.11, 0.21, 0.1, 0.1))]) == [(0, 0, 1), (1, 0, 1)]
     assert run([(0, 0, (0.1, 0.1, 0.1, 0.1)), (1, 0, (0.8, 0.8, 0.1, 0.1))], least=0.5) == [(0, 0, 1), (1, 0, 2)]
-    assert run([(0, 0, (0.1, 0.1, 0.1, 0.1)), (3, 0, (0.1, 0.1, 0.1, 0.1))], missed=1) == [(0, 0, 1), (3, 0, 2)] or True
+    apart = [(0, 0, (0.1, 0.1, 0.1, 0.1)), (3, 0, (0.1, 0.1, 0.1, 0.1))]
+    frames = spark.createDataFrame([(1, f) for f in range(4)], "shot int, frame_idx long")
+    assert run(apart, missed=1, sampled=frames) == [(0, 0, 1), (3, 0, 2)]
+    assert run(apart, missed=2, sampled=frames) == [(0, 0, 1), (3, 0, 1)] == run(apart, missed=0)
+
+
+def test_tracks_by_brute_force(spark):
+    """Against a plain reading of the rule over random boxes, several to a frame."""
+    rng = np.random.default_rng(7)
+    rows_ = [(s, f, d, *rng.uniform(0, 0.6, 2), *rng.uniform(0.2, 0.4, 2)) for s in range(3) for f in range(25) for d in range(rng.integers(0, 4))]
+    df = spark.createDataFrame([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in rows_], "shot int, frame_idx long, det_idx long, x double, y double, width double, height double")
+    frames = spark.range(25).withColumnRenamed("id", "frame_idx").crossJoin(spark.createDataFrame([(s,) for s in range(3)], "shot int"))
+    got = {(r.shot, r.frame_idx, r.det_idx): r.track_id for r in folds.tracks(df, ["shot"], 0.3, 1, frames).collect()}
+
+    def iou(a, b):
+        w, h = (max(0, min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
+        return w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+
+    want = {}
+    for s in range(3):
+        open_, n = {}, 0
+        for f in range(25):
+            free = {r[2]: r[3:] for r in rows_ if r[:2] == (s, f)}
+            for t in list(open_):
+                best = max(free, key=lambda d: (iou(open_[t][0], free[d]), -d), default=None)
+                if best is not None and iou(open_[t][0], free[best]) > 0.3:
+                    want[s, f, best], open_[t] = t, (free.pop(best), 0)
+                elif open_[t][1] == 1:
+                    del open_[t]
+                else:
+                    open_[t] = (open_[t][0], open_[t][1] + 1)
+            for d, box in free.items():
+                n += 1
+                want[s, f, d], open_[n] = n, (box, 0)
+    assert got == want
 
 
 def test_timing_summary(spark):
@@ -153,7 +187,10 @@ def test_plan_parsing(spark):
     plan = '{"segments": [{"source": "a.mp4", "start": 0, "end": 5, "operations": [{"op": "blur_effect", "sigma": 2}, {"op": "resize", "width": 320}, {"op": "nope"}]}]}'
     segments, ops = planning.parse(spark.createDataFrame([("p", plan)], "plan_id string, plan string"))
     assert rows(segments, "plan_id", "seq", "source", "start", "end") == [("p", 0, "a.mp4", 0.0, 5.0)]
-    assert rows(planning.streamability(ops), "pos", "op", "kind", "streams") == [(0, "blur_effect", "frame", True), (1, "resize", "filter", False), (2, "nope", "eager", False)]
+    assert rows(planning.streamability(ops), "pos", "op", "kind") == [(0, "blur_effect", "frame_effect"), (1, "resize", "filter"), (2, "nope", "unstreamable")]
+    late = spark.createDataFrame([(1, 1, k, op) for k, op in enumerate(("speed_change", "add_subtitles", "volume_adjust", "fade", "volume_adjust", "glitch", "text_overlay", "crop", "shake", "face_crop", "cut"))], "plan_id int, seq int, pos int, op string")
+    kinds = [r.kind for r in planning.streamability(late).orderBy("pos").collect()]
+    assert kinds == ["filter", "unstreamable", "filter", "frame_effect", "filter", "frame_effect", "filter", "filter", "unstreamable", "unstreamable", "unstreamable"]
 
 
 def test_iou_and_even(spark):

@@ -91,6 +91,7 @@ def _tracks(least: float, missed: int, keys: Sequence[str]):
         open_: list[dict] = []
         out, n = [], 0
         for frame, dets in rows.groupby("frame_idx", sort=True):
+            dets = dets[dets["det_idx"].notna()]
             boxes = dets[["x", "y", "width", "height"]].to_numpy()
             idle = list(range(len(boxes)))
             for track in open_:
@@ -103,14 +104,16 @@ def _tracks(least: float, missed: int, keys: Sequence[str]):
                     union = a[2] * a[3] + b[2] * b[3] - shared
                     if union > 0 and shared / union > score:
                         best, score = k, shared / union
-                if best is not None:
+                if best is None:
+                    track["missed"] += 1
+                else:
                     idle.remove(best)
-                    track.update(box=boxes[best], seen=frame)
+                    track.update(box=boxes[best], missed=0)
                     out.append((frame, int(dets["det_idx"].iloc[best]), track["id"]))
-            open_ = [t for t in open_ if frame - t["seen"] <= missed]
+            open_ = [t for t in open_ if t["missed"] <= missed]
             for k in idle:
                 n += 1
-                open_.append({"id": n, "box": boxes[k], "seen": frame})
+                open_.append({"id": n, "box": boxes[k], "missed": 0})
                 out.append((frame, int(dets["det_idx"].iloc[k]), n))
         found = pd.DataFrame(out, columns=["frame_idx", "det_idx", "track_id"])
         for k in keys:
@@ -120,10 +123,16 @@ def _tracks(least: float, missed: int, keys: Sequence[str]):
     return run
 
 
-def tracks(detections: DataFrame, keys: Sequence[str], least: float = 0.3, missed: int = 3) -> DataFrame:
-    """Track of each detection (keys of a shot, frame_idx, det_idx, x, y, width, height): tracks, oldest first, take the best free box of the next frame."""
+def tracks(detections: DataFrame, keys: Sequence[str], least: float = 0.3, missed: int = 3, sampled: DataFrame | None = None) -> DataFrame:
+    """Track of each detection (keys of a shot, frame_idx, det_idx, x, y, width, height): tracks, oldest first, take the best free box of the next frame.
+
+    A track is closed once it has missed more than `missed` frames in a row. sampled: the
+    frames that were looked at (keys, frame_idx), those without detections among
+    them; without it, the frames with detections.
+    """
     kinds = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys)
-    return detections.groupBy(*keys).applyInPandas(_tracks(least, missed, keys), f"{kinds}, frame_idx long, det_idx long, track_id long")
+    looked = detections if sampled is None else sampled.select(*keys, "frame_idx").distinct().join(detections, [*keys, "frame_idx"], "left")
+    return looked.groupBy(*keys).applyInPandas(_tracks(least, missed, keys), f"{kinds}, frame_idx long, det_idx long, track_id long")
 
 
 def hard_cut_groups(segments: DataFrame, keys: Sequence[str], order: str, has_transition: str) -> DataFrame:

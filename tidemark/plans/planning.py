@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 
 EPS = 1e-3
 
-#: How an operation runs on a stream of frames.
-STREAM_CLASS = {
-    "blur_effect": "frame", "zoom_effect": "frame", "color_adjust": "frame", "vignette": "frame", "ken_burns": "frame", "fade": "filter", "volume_adjust": "filter", "text_overlay": "filter", "resize": "filter",
-    "crop": "filter", "resample_fps": "filter", "speed_change": "filter", "freeze_frame": "filter", "silence_removal": "filter", "add_subtitles": "filter",
+#: What each operation is to a stream of frames. effect: changes frames in place, else a transform; filter: an effect that
+#: becomes a filter; passthrough: it leaves pictures alone; requires: it needs context; streams; source: it looks at the source first; duration: it changes time.
+TRAITS = ("effect", "filter", "passthrough", "requires", "streams", "source", "duration")
+FRAME_EFFECTS = (
+    "full_image_overlay", "blur_effect", "zoom_effect", "color_adjust", "vignette", "ken_burns", "fade", "image_overlay", "shake", "punch_in", "flash", "chromatic_aberration", "glitch", "film_grain",
+    "sharpen", "pixelate", "mirror_flip", "kaleidoscope", "object_detection_overlay",
+)
+OPERATIONS: dict[str, tuple[str, ...]] = {op: ("effect", "streams") for op in FRAME_EFFECTS} | {
+    "volume_adjust": ("effect", "filter", "passthrough", "streams"), "text_overlay": ("effect", "filter", "streams"), "add_subtitles": ("effect", "filter", "requires", "streams"),
+    "cut": (), "cut_frames": (), "resize": ("streams",), "resample_fps": ("streams",), "crop": ("streams",), "speed_change": ("streams", "duration"), "freeze_frame": ("streams", "duration"),
+    "silence_removal": ("requires", "streams", "duration"), "face_crop": ("streams", "source"),
 }
 
 
@@ -29,27 +36,45 @@ def parse(plans: DataFrame, plan: str = "plan") -> tuple[DataFrame, DataFrame]:
     return segments.select("plan_id", "seq", "s.source", "s.start", "s.end"), ops.select("plan_id", "seq", "pos", F.try_variant_get("args", "$.op", "string").alias("op"), "args")
 
 
-def _when(condition: Column, code: str, field: str, value: Column, limit: Column) -> Column:
-    return F.when(condition, F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), value.cast("double").alias("value"), limit.cast("double").alias("limit")))
+ERROR = "struct<code:string,location:string,field:string,value:double,limit:double>"
 
 
-def bounds_errors(segments: DataFrame) -> DataFrame:
-    """One row per fault of a segment's bounds or effect window. segments: plan_id, seq, start, end, total_seconds and, optionally, window_start, window_stop."""
+def _when(condition: Column, code: str, field: str, value: Column | None = None, limit: Column | None = None, place: str = "") -> Column:
+    location = F.concat(F.lit("segments["), (F.col("seq") - 1).cast("string"), F.lit("]" + place))
+    number = lambda x: (F.lit(None) if x is None else x).cast("double")
+    return F.when(condition, F.struct(F.lit(code).alias("code"), location.alias("location"), F.lit(field).alias("field"), number(value).alias("value"), number(limit).alias("limit")))
+
+
+def _listed(rows: DataFrame, rules: Sequence[Column]) -> DataFrame:
+    """A row for each rule that a row breaks: plan_id, seq, rule (its place among them), code, location, field, value, limit."""
+    return rows.select("plan_id", "seq", F.posexplode(F.array(*rules)).alias("rule", "e")).filter("e is not null").select("plan_id", "seq", "rule", "e.*")
+
+
+def _bounds(segments: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The rules of a segment's own bounds, and of its effect's window, which count only where its bounds are right."""
     start, end, total = F.col("start"), F.col("end"), F.col("total_seconds")
-    rules = [
-        _when(start < 0, "SEGMENT_START_NEGATIVE", "start", start, F.lit(0)),
-        _when(end <= start, "SEGMENT_END_BEFORE_START", "end", end, start),
-        _when(end > total + EPS, "SEGMENT_END_EXCEEDS_SOURCE", "end", end, total),
+    own = [
+        _when(start < 0, "segment_negative", "start", start, F.lit(0)),
+        _when(end < 0, "segment_negative", "end", end, F.lit(0)),
+        _when(end <= start, "segment_range", "end", end, start),
+        _when(end > total + EPS, "segment_end_exceeds_source", "end", end, total),
     ]
-    if "window_start" in segments.columns:
-        a, b, length = F.col("window_start"), F.col("window_stop"), end - start
-        rules += [
-            _when(a < 0, "WINDOW_START_NEGATIVE", "window.start", a, F.lit(0)),
-            _when(b <= F.coalesce(a, F.lit(0.0)), "WINDOW_STOP_BEFORE_START", "window.stop", b, a),
-            _when(a >= length, "EFFECT_WINDOW_START_EXCEEDS_DURATION", "window.start", a, length),
-            _when(b > length + EPS, "EFFECT_WINDOW_STOP_EXCEEDS_DURATION", "window.stop", b, length),
-        ]
-    return segments.select("plan_id", "seq", F.explode(F.array_compact(F.array(*rules))).alias("e")).select("plan_id", "seq", "e.*")
+    if "window_start" not in segments.columns:
+        return own, []
+    right, a, b, length, at = (start >= 0) & (end > start) & (end <= total + EPS), F.col("window_start"), F.col("window_stop"), end - start, ".operations[0]"
+    return own, [
+        _when(right & (a < 0), "window_negative", "window.start", a, F.lit(0), at),
+        _when(right & (b < 0), "window_negative", "window.stop", b, F.lit(0), at),
+        _when(right & (b < a), "window_order", "window.stop", b, a, at),
+        _when(right & (a > length + EPS), "effect_window_exceeds_duration", "window.start", a, length, at),
+        _when(right & (b > length + EPS), "effect_window_exceeds_duration", "window.stop", b, length, at),
+    ]
+
+
+def bounds_errors(segments: DataFrame) -> DataFrame:
+    """One row per fault of a segment's bounds or effect window. segments: plan_id, seq, start, end, total_seconds and, optionally, window_start, window_stop."""
+    own, window = _bounds(segments)
+    return _listed(segments, own + window).drop("rule")
 
 
 def repaired(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,20 +90,64 @@ def repaired(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.withColumns({c: F.col(f"__new_{c}") for c in new}).drop(*[f"__new_{c}" for c in new]), log
 
 
-def concat_errors(segments: DataFrame, fields: Sequence[str] = ("fps", "width", "height")) -> DataFrame:
-    """Segments that differ from their plan's first in a field that must be the same: plan_id, seq, field, value, expected."""
+def _concat(segments: DataFrame) -> DataFrame:
     w = Window.partitionBy("plan_id").orderBy("seq")
-    firsts = segments.withColumns({f"__first_{c}": F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in fields})
-    rules = [F.when(F.col(c) != F.col(f"__first_{c}"), F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("value"), F.col(f"__first_{c}").cast("double").alias("expected"))) for c in fields]
-    return firsts.select("plan_id", "seq", F.explode(F.array_compact(F.array(*rules))).alias("e")).select("plan_id", "seq", "e.*")
+    firsts = segments.withColumns({f"__first_{c}": F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("fps", "width", "height")})
+    wrong = (F.col("width") != F.col("__first_width")) | (F.col("height") != F.col("__first_height"))
+    return _listed(firsts, [_when(F.col("fps") != F.col("__first_fps"), "concat_mismatch", "fps", F.col("fps"), F.col("__first_fps")), _when(wrong, "concat_mismatch", "dimensions")])
+
+
+def concat_errors(segments: DataFrame) -> DataFrame:
+    """Segments whose rate or size differs from their plan's first: plan_id, seq, code, location, field, value, limit."""
+    return _concat(segments).drop("rule")
+
+
+def _transitions(segments: DataFrame, fps: Column) -> tuple[DataFrame, DataFrame]:
+    """Faults of transitions that need no durations, and of those that do."""
+    w = Window.partitionBy("plan_id").orderBy("seq")
+    rows = segments.withColumns({"__before": F.lag("frames").over(w), "__first": F.row_number().over(w) == 1}).filter("transition is not null")
+    most = F.least("frames", "__before")
+    overlap = F.rint(F.col("transition") * fps).cast("long")
+    structure = _listed(rows, [_when(F.col("__first"), "transition_too_long", "transition_in")])
+    return structure, _listed(rows, [_when(~F.col("__first") & (overlap >= most), "transition_too_long", "transition_in.duration", F.col("transition"), F.round(most / fps, 4))])
 
 
 def transition_errors(segments: DataFrame, fps: Column) -> DataFrame:
-    """Transitions not shorter, in frames, than the shorter of the segments they join, or before the first segment. segments: plan_id, seq, frames, transition (seconds or null)."""
-    before = F.lag("frames").over(Window.partitionBy("plan_id").orderBy("seq"))
-    rows = segments.withColumns({"before": before, "overlap": F.rint(F.col("transition") * fps).cast("long")}).filter("transition is not null")
-    code = F.when(F.col("before").isNull(), "TRANSITION_ON_FIRST_SEGMENT").when(F.col("overlap") < 1, "TRANSITION_TOO_SHORT").when(F.col("overlap") >= F.least("frames", "before"), "TRANSITION_TOO_LONG")
-    return rows.withColumn("code", code).filter("code is not null").select("plan_id", "seq", "code", "overlap", F.least("frames", "before").alias("limit"))
+    """Transitions that leave no frame of a segment they join, or stand before the first one. segments: plan_id, seq, frames, transition (seconds or null)."""
+    structure, durations = _transitions(segments, fps)
+    return structure.unionByName(durations).drop("rule")
+
+
+def checked(segments: DataFrame, fps: Column) -> DataFrame:
+    """All faults of each plan in the order in which they are found: plan_id, ord, code, location, field, value, limit.
+
+    Transitions before the first segment come first, then bounds, then windows; what
+    depends on every segment (concatenation, transitions' durations) is left out
+    for plans with a segment that can't be cut.
+    """
+    own, window = _bounds(segments)
+    structure, durations = _transitions(segments, fps)
+    bounds = _listed(segments, own)
+    cut = bounds.select("plan_id").distinct()
+    stages = [structure, bounds, _listed(segments, window) if window else bounds.limit(0), _concat(segments).join(cut, "plan_id", "left_anti"), durations.join(cut, "plan_id", "left_anti")]
+    every = stages[0].withColumn("stage", F.lit(0))
+    for k, more in enumerate(stages[1:], 1):
+        every = every.unionByName(more.withColumn("stage", F.lit(k)))
+    order = F.row_number().over(Window.partitionBy("plan_id").orderBy("stage", "seq", "rule"))
+    return every.select("plan_id", order.alias("ord"), "code", "location", "field", "value", "limit")
+
+
+def number_text(value: Column) -> Column:
+    """A number as text, whole ones without a fraction."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def prompt_line(code: Column, location: Column, op: Column, field: Column, value: Column, limit: Column, detail: Column) -> Column:
+    """A fault as a line of text; what is null is left out."""
+    named = F.coalesce(F.concat(F.coalesce(field, F.lit("value")), F.lit("="), number_text(value)), field)
+    clauses = F.concat_ws(", ", named, F.concat(F.lit("limit "), number_text(limit)))
+    parts = [F.upper(code), F.coalesce(F.concat(F.lit(" at "), location), F.lit("")), F.coalesce(F.concat(F.lit(" (op '"), op, F.lit("')")), F.lit(""))]
+    return F.concat(*parts, F.when(clauses != "", F.concat(F.lit(": "), clauses)).otherwise(""), F.coalesce(F.concat(F.lit(" -- "), detail), F.lit("")))
 
 
 def normalised_sizes(segments: DataFrame) -> DataFrame:
@@ -89,13 +158,26 @@ def normalised_sizes(segments: DataFrame) -> DataFrame:
     return segments.join(target, "plan_id").withColumn("resize", wrong).withColumns({"width": F.col("t.width"), "height": F.col("t.height")}).drop("t")
 
 
-def streamability(ops: DataFrame, keys: Sequence[str] = ("plan_id", "seq"), order: str = "pos", classes: dict | None = None) -> DataFrame:
-    """Each operation's class and whether it streams: frame operations may follow filters, but no filter that changes time may follow a frame operation."""
-    table = F.create_map(*[F.lit(x) for item in (classes or STREAM_CLASS).items() for x in item])
-    kind = F.coalesce(F.try_element_at(table, F.col("op")), F.lit("eager"))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.max(F.when(F.col("kind") == "frame", 1).otherwise(0)).over(w), F.lit(0))
-    return ops.withColumn("kind", kind).withColumn("streams", (F.col("kind") != "eager") & ~((F.col("kind") == "filter") & (seen == 1)))
+def streamability(ops: DataFrame, keys: Sequence[str] = ("plan_id", "seq"), order: str = "pos", traits: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """keys, order, op and kind of each operation: how it runs in a single pass over the frames, by what stands before it in its list.
+
+    frame_effect, filter or unstreamable: what needs context after a change of duration, a
+    frame effect after a filter that itself follows one, and a look at the source
+    behind any effect can't stream. A list of operations is one segment's, a few.
+    """
+    table = F.create_map(*[x for op, has in (traits or OPERATIONS).items() for x in (F.lit(op), F.array(*[F.lit(t) for t in has]).cast("array<string>"))])
+    known = F.coalesce(F.try_element_at(table, F.col("op")), F.array().cast("array<string>"))
+    item = F.struct(order, "op", *[F.array_contains(known, t).alias(t) for t in TRAITS])
+    kind = """case when x.effect then case when x.requires and a.d then 'unstreamable' when x.filter then 'filter' when not x.streams or a.n then 'unstreamable' else 'frame_effect' end
+                   when x.requires and a.d or not x.streams or x.source and (a.e or a.n) then 'unstreamable' else 'filter' end"""
+    step = f"""transform(array({kind}), k -> named_struct(
+        'e', a.e or x.effect and not x.filter and not (x.requires and a.d),
+        'n', a.n or k = 'filter' and not x.passthrough and (a.e or a.n and not x.effect),
+        'd', a.d or k = 'filter' and not x.effect and x.duration, 'o', array_append(a.o, k)))[0]"""
+    folded = ops.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
+        "ks", F.expr(f"aggregate(xs, named_struct('e', false, 'n', false, 'd', false, 'o', cast(array() as array<string>)), (a, x) -> {step}).o")
+    )
+    return folded.select(*keys, F.explode(F.arrays_zip("xs", "ks")).alias("x")).select(*keys, f"x.xs.{order}", "x.xs.op", F.col("x.ks").alias("kind"))
 
 
 def predicted(meta: DataFrame, op: str, **args) -> DataFrame:

@@ -46,7 +46,7 @@ def repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concat_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.concat_errors(_segments(spark, sf_dir), ("fps", "width", "height"))
+    return planning.concat_errors(_segments(spark, sf_dir))
 
 
 def transition_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +65,21 @@ def assembled_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.assembled(_segments(spark, sf_dir), ["plan_id"], "seq", F.lit(24.0))
 
 
+def plan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fault of every plan, in order, as it is told to whoever repairs the plan."""
+    found = planning.checked(_segments(spark, sf_dir), F.lit(24.0))
+    none, two = F.lit(None).cast("string"), lambda c: F.round(c, 2)
+    line = planning.prompt_line(F.col("code"), F.col("location"), none, F.col("field"), two("value"), two("limit"), F.when(F.col("ord") == 1, "first"))
+    return found.withColumn("line", line)
+
+
+TRAITS = {"click": ("effect", "streams"), "view": ("streams",), "signup": ("streams", "duration"), "error": ("effect", "filter", "requires", "streams"), "purchase": ("effect", "filter", "passthrough", "streams")}
+
+
 def streamability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events in order as operations."""
-    classes = {"click": "frame", "view": "filter", "signup": "filter", "error": "frame"}
-    ev = spans(spark, sf_dir).withColumns({"op": F.col("label"), "day": F.floor(F.col("start") / 86400), "pos": F.row_number().over(Window.partitionBy("user_id").orderBy("start", "event_id"))})
-    return planning.streamability(ev, ["user_id", "day"], "pos", classes).select("event_id", "kind", "streams")
+    """A user's events of a day in order as operations."""
+    ev = spans(spark, sf_dir).withColumns({"op": F.col("label"), "day": F.floor(F.col("start") / 86400), "pos": F.struct("start", "event_id")})
+    return planning.streamability(ev, ["user_id", "day"], "pos", TRAITS).select("pos.event_id", "op", "kind")
 
 
 def predict_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,37 +173,53 @@ def duck_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bounds_errors, repair_clamp, repair_log, concat_errors, transition_errors, normalize_dimensions, conform_min, assembled_timeline, streamability, predict_cut, frame_index, resolve_plan, unknown_ids, timing_summary, tempo_stages, clip_predictions, voice_sample_top1, frame_budget, iou_pairs, select_face, duck_gain)
+    for f in (bounds_errors, repair_clamp, repair_log, concat_errors, transition_errors, plan_errors, normalize_dimensions, conform_min, assembled_timeline, streamability, predict_cut, frame_index, resolve_plan, unknown_ids, timing_summary, tempo_stages, clip_predictions, voice_sample_top1, frame_budget, iou_pairs, select_face, duck_gain)
 }
 
-_RULES = """[CASE WHEN start < 0 THEN {'code': 'SEGMENT_START_NEGATIVE', 'field': 'start', 'value': start, 'limit': 0::DOUBLE} END, CASE WHEN "end" <= start THEN {'code': 'SEGMENT_END_BEFORE_START', 'field': 'end', 'value': "end", 'limit': start} END,
-        CASE WHEN "end" > total_seconds + 1e-3 THEN {'code': 'SEGMENT_END_EXCEEDS_SOURCE', 'field': 'end', 'value': "end", 'limit': total_seconds} END, CASE WHEN window_start < 0 THEN {'code': 'WINDOW_START_NEGATIVE', 'field': 'window.start', 'value': window_start, 'limit': 0::DOUBLE} END,
-        CASE WHEN window_stop <= coalesce(window_start, 0) THEN {'code': 'WINDOW_STOP_BEFORE_START', 'field': 'window.stop', 'value': window_stop, 'limit': window_start} END,
-        CASE WHEN window_start >= "end" - start THEN {'code': 'EFFECT_WINDOW_START_EXCEEDS_DURATION', 'field': 'window.start', 'value': window_start, 'limit': "end" - start} END,
-        CASE WHEN window_stop > "end" - start + 1e-3 THEN {'code': 'EFFECT_WINDOW_STOP_EXCEEDS_DURATION', 'field': 'window.stop', 'value': window_stop, 'limit': "end" - start} END]"""
+_ERR = lambda test, code, field, value="NULL::DOUBLE", limit="NULL::DOUBLE", place="": f"""CASE WHEN {test} THEN {{'code': '{code}', 'location': 'segments[' || (seq - 1) || ']{place}', 'field': '{field}', 'value': ({value})::DOUBLE, 'limit': ({limit})::DOUBLE}} END"""
+_OWN = ", ".join([
+    _ERR("start < 0", "segment_negative", "start", "start", "0"), _ERR('"end" < 0', "segment_negative", "end", '"end"', "0"),
+    _ERR('"end" <= start', "segment_range", "end", '"end"', "start"), _ERR('"end" > total_seconds + 0.001', "segment_end_exceeds_source", "end", '"end"', "total_seconds"),
+])
+_OK = 'start >= 0 AND "end" >= 0 AND "end" > start AND "end" <= total_seconds + 0.001'
+_WINDOW = ", ".join([
+    _ERR(f"{_OK} AND {test}", code, field, value, limit, ".operations[0]") for test, code, field, value, limit in (
+        ("window_start < 0", "window_negative", "window.start", "window_start", "0"), ("window_stop < 0", "window_negative", "window.stop", "window_stop", "0"), ("window_stop < window_start", "window_order", "window.stop", "window_stop", "window_start"),
+        ('window_start > "end" - start + 0.001', "effect_window_exceeds_duration", "window.start", "window_start", '"end" - start'), ('window_stop > "end" - start + 0.001', "effect_window_exceeds_duration", "window.stop", "window_stop", '"end" - start'))
+])
+_FIRSTS = f"""{_SEG}, f AS (SELECT *, first_value(fps) OVER w AS f0, first_value(width) OVER w AS w0, first_value(height) OVER w AS h0, lag(frames) OVER w AS before, row_number() OVER w AS i FROM seg WINDOW w AS (PARTITION BY plan_id ORDER BY seq))"""
+_CONCAT = ", ".join([_ERR("fps <> f0", "concat_mismatch", "fps", "fps", "f0"), _ERR("(width, height) <> (w0, h0)", "concat_mismatch", "dimensions")])
+_FIRST = _ERR("transition IS NOT NULL AND i = 1", "transition_too_long", "transition_in")
+_LONG = _ERR("transition IS NOT NULL AND i > 1 AND round_even(transition * 24, 0) >= least(frames, before)", "transition_too_long", "transition_in.duration", "transition", "round(least(frames, before) / 24.0::DOUBLE, 4)")
+_NUM = lambda c: f"""CASE WHEN round({c}, 2) = floor(round({c}, 2)) THEN round({c}, 2)::BIGINT::VARCHAR ELSE round({c}, 2)::VARCHAR END"""
+_E = """e.code AS code, e.location AS location, e.field AS field, e.value AS value, e."limit" AS "limit\""""
+_PICK = lambda rules, source: f"""SELECT plan_id, seq, {_E} FROM (SELECT plan_id, seq, unnest([{rules}]) AS e FROM {source}) WHERE e IS NOT NULL"""
+_STAGE = lambda k, rules: f"SELECT plan_id, seq, {k} AS stage, generate_subscripts([{rules}], 1) AS rule, unnest([{rules}]) AS e FROM f"
 _FIX = f"""{_SEG}, a AS (SELECT *, greatest(0, least(start, total_seconds)) AS s, least("end", total_seconds) AS e FROM seg),
         fix AS (SELECT *, greatest(0, least(window_start, e - s)) AS ws, least(window_stop, e - s) AS wt FROM a)"""
 _MEDIA = """media AS (SELECT p_partkey AS video_id, (12 + p_size % 3 * 6)::DOUBLE AS fps, p_size % 7 * 50 + 302 AS width, p_size % 5 * 50 + 540 AS height, p_size * 30 AS frame_count FROM part)"""
 
 ORACLE_SQL = {
-    "bounds_errors": f"""WITH {_SEG}, x AS (SELECT plan_id, seq, unnest({_RULES}) AS e FROM seg) SELECT plan_id, seq, e.code AS code, e.field AS field, e.value AS value, e."limit" AS "limit" FROM x WHERE e IS NOT NULL""",
+    "bounds_errors": f"""WITH {_SEG} {_PICK(_OWN + ", " + _WINDOW, "seg")}""",
     "repair_clamp": f"""WITH {_FIX} SELECT plan_id, seq, s AS start, e AS "end", ws AS window_start, wt AS window_stop FROM fix""",
     "repair_log": f"""WITH {_FIX}, x AS (SELECT 'start' AS field, start AS o, s AS n FROM fix UNION ALL SELECT 'end', "end", e FROM fix UNION ALL SELECT 'window_start', window_start, ws FROM fix UNION ALL SELECT 'window_stop', window_stop, wt FROM fix)
         SELECT field, count(*) AS changes, round(sum(n - o), 4) AS moved FROM x WHERE o IS DISTINCT FROM n GROUP BY field""",
-    "concat_errors": f"""WITH {_SEG}, f AS (SELECT *, first_value(fps) OVER w AS f0, first_value(width) OVER w AS w0, first_value(height) OVER w AS h0 FROM seg WINDOW w AS (PARTITION BY plan_id ORDER BY seq))
-        SELECT plan_id, seq, 'fps' AS field, fps AS value, f0 AS expected FROM f WHERE fps <> f0 UNION ALL SELECT plan_id, seq, 'width', width, w0 FROM f WHERE width <> w0 UNION ALL SELECT plan_id, seq, 'height', height, h0 FROM f WHERE height <> h0""",
-    "transition_errors": f"""WITH {_SEG}, b AS (SELECT *, lag(frames) OVER (PARTITION BY plan_id ORDER BY seq) AS before, round_even(transition * 24, 0)::BIGINT AS o FROM seg),
-        c AS (SELECT *, CASE WHEN before IS NULL THEN 'TRANSITION_ON_FIRST_SEGMENT' WHEN o < 1 THEN 'TRANSITION_TOO_SHORT' WHEN o >= least(frames, before) THEN 'TRANSITION_TOO_LONG' END AS code FROM b WHERE transition IS NOT NULL)
-        SELECT plan_id, seq, code, o AS overlap, least(frames, before) AS "limit" FROM c WHERE code IS NOT NULL""",
+    "concat_errors": f"""WITH {_FIRSTS} {_PICK(_CONCAT, "f")}""",
+    "transition_errors": f"""WITH {_FIRSTS} {_PICK(_FIRST + ", " + _LONG, "f")}""",
+    "plan_errors": f"""WITH {_FIRSTS}, s AS ({" UNION ALL ".join(_STAGE(k, r) for k, r in enumerate((_FIRST, _OWN, _WINDOW, _CONCAT, _LONG)))}), bad AS (SELECT DISTINCT plan_id FROM s WHERE stage = 1 AND e IS NOT NULL),
+        n AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY stage, seq, rule)::INT AS ord, {_E} FROM s WHERE e IS NOT NULL AND (stage < 3 OR plan_id NOT IN (SELECT plan_id FROM bad)))
+        SELECT *, upper(code) || ' at ' || location || ': ' || field || CASE WHEN value IS NULL THEN '' ELSE '=' || {_NUM("value")} END || CASE WHEN "limit" IS NULL THEN '' ELSE ', limit ' || {_NUM('"limit"')} END || CASE WHEN ord = 1 THEN ' -- first' ELSE '' END AS line FROM n""",
     "normalize_dimensions": f"""WITH {_SEG}, t AS (SELECT plan_id, arg_max(row(width, height), row(width * height, -seq)) AS t, arg_max(width, row(width * height, -seq)) AS tw, arg_max(height, row(width * height, -seq)) AS th FROM seg GROUP BY plan_id)
         SELECT plan_id, seq, tw AS width, th AS height, width <> tw OR height <> th AS resize FROM seg JOIN t USING (plan_id)""",
     "conform_min": f"""WITH {_SEG} SELECT plan_id, CASE WHEN count(*) > 1 THEN min(fps) END AS fps, CASE WHEN count(*) > 1 THEN min(width) END AS width, CASE WHEN count(*) > 1 THEN min(height) END AS height FROM seg GROUP BY plan_id""",
     "assembled_timeline": f"""WITH {_SEG}, n AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY seq) AS i FROM seg), s AS (SELECT plan_id, (sum(frames) - sum(CASE WHEN i > 1 THEN overlap ELSE 0 END))::BIGINT AS frames FROM n GROUP BY plan_id)
         SELECT plan_id, frames, round(frames / 24.0::DOUBLE, 4) AS seconds FROM s""",
-    "streamability": f"""WITH {spans_sql()}, o AS (SELECT event_id, user_id, floor(start / 86400) AS day, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS pos,
-          CASE label WHEN 'click' THEN 'frame' WHEN 'error' THEN 'frame' WHEN 'view' THEN 'filter' WHEN 'signup' THEN 'filter' ELSE 'eager' END AS kind FROM ev),
-        s AS (SELECT *, coalesce(max((kind = 'frame')::INT) OVER (PARTITION BY user_id, day ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM o)
-        SELECT event_id, kind, kind <> 'eager' AND NOT (kind = 'filter' AND seen = 1) AS streams FROM s""",
+    "streamability": f"""WITH {spans_sql()}, o AS (SELECT event_id, user_id, floor(start / 86400) AS day, label AS op, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS pos FROM ev),
+        a AS (SELECT *, coalesce(bool_or(op = 'click') OVER w, false) AS seen_frame, coalesce(bool_or(op = 'signup') OVER w, false) AS seen_time FROM o WINDOW w AS (PARTITION BY user_id, day ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        b AS (SELECT *, op IN ('view', 'signup') AND seen_frame OR op = 'error' AND seen_frame AND NOT seen_time AS opens FROM a),
+        c AS (SELECT *, coalesce(bool_or(opens) OVER (PARTITION BY user_id, day ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM b)
+        SELECT event_id, op, CASE op WHEN 'click' THEN CASE WHEN late THEN 'unstreamable' ELSE 'frame_effect' END WHEN 'error' THEN CASE WHEN seen_time THEN 'unstreamable' ELSE 'filter' END
+               WHEN 'view' THEN 'filter' WHEN 'signup' THEN 'filter' WHEN 'purchase' THEN 'filter' ELSE 'unstreamable' END AS kind FROM c""",
     "predict_cut": f"""WITH {_MEDIA}, c AS (SELECT *, CASE WHEN round_even(fps, 0) > round_even(fps * 0.5::DOUBLE, 0) AND round_even(fps, 0) <= frame_count + 1 THEN least(round_even(fps, 0), frame_count) - round_even(fps * 0.5::DOUBLE, 0) END AS n FROM media),
         s AS (SELECT *, trunc(n / 0.5::DOUBLE) AS n2 FROM c), r AS (SELECT *, round_even(round(n2 / fps, 4) * 24, 0) AS n3 FROM s WHERE true)
         SELECT video_id, 24.0::DOUBLE AS fps, 320 AS width, greatest(2, (round_even(height * 320.0::DOUBLE / width / 2, 0) * 2)::INT) AS height, n3::BIGINT AS frame_count, round(n3 / 24.0::DOUBLE, 4) AS total_seconds FROM r""",
