@@ -139,3 +139,9 @@ def given_only(fields: dict[str, Column]) -> Column:
     """A map of the fields that are not null."""
     pairs = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), value)])
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+
+def resolved_sources(segments: DataFrame, metas: DataFrame) -> DataFrame:
+    """Segments with the metadata (source, total_seconds) of their source; code says where there is none."""
+    found = segments.join(metas.select("source", "total_seconds"), "source", "left")
+    return found.withColumn("code", F.when(F.col("total_seconds").isNull(), F.lit("source_unreadable")))
