@@ -45,10 +45,14 @@ def test_op1(spark, texts):
 
 
 def test_op5(spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    """Of the labelled documents that training never saw."""
+    from tidemark.llm import quality
+
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    trained = {r.doc_id for r in quality.trusted(labels).collect()}
     got = result(spark, "op5_quality_classifier")
-    good, bad = ([got[i].kept for i, q in labels.items() if q == k] for k in (1, 0))
-    assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
+    good, bad = ([got[r.doc_id].kept for r in labels.collect() if r.doc_id not in trained and r.quality == k and not (k and r.toxic)] for k in (1, 0))
+    assert len(good) > 30 and np.mean(good) > 0.97 and len(bad) > 30 and np.mean(bad) < 0.05
 
 
 def test_op6(spark, texts):
