@@ -50,8 +50,20 @@ def audio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signal.features(_samples(spark, sf_dir), "vec_id", "samples", 8000, 32, 16)
-    return signal.classified(found)
+    found = signal.classified(signal.features(_samples(spark, sf_dir), "vec_id", "samples", 8000, 32, 16))
+    return found.select("vec_id", F.col("window").cast("long").alias("win"), "kind", *[F.round(c, 6).alias(c) for c in (*signal.FEATURES, "confidence")])
+
+
+def audio_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and peaks of clips that were cut, split, doubled, padded, scaled, overlaid and matched."""
+    s, n = F.col("samples"), F.size("samples")
+    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6)
+    over = signal.overlaid(s, F.reverse(s), 16)
+    return _samples(spark, sf_dir).select(
+        "vec_id", total(signal.cut(s, 0.25, 1.5, 32)).alias("cut"), total(signal.channel(s, 2, 0)).alias("left"), F.size(signal.to_stereo(s)).alias("stereo"), total(F.slice(signal.to_stereo(s), F.lit(1), n)).alias("stereo_half"),
+        F.size(signal.silence(F.lit(0.5), 16, 2)).alias("silence"), F.size(signal.fitted(s, n + 16)).alias("padded"), total(signal.fitted(s, F.lit(10))).alias("short"), total(signal.scaled(s, F.lit(1.5))).alias("scaled"),
+        F.size(over).alias("overlaid"), F.round(signal.peak(over), 6).alias("top"), total(over).alias("mixed"), F.round(signal.peak(signal.peak_matched(F.slice(s, 1, 32), F.slice(s, 33, 32))), 6).alias("matched"), signal.is_silent(s).alias("silent"),
+    )
 
 
 def audio_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,8 +125,11 @@ def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def sess_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed sessions of each user's events."""
-    return _drained(stateful.sessions(stateful.events(spark, f"{sf_dir}/events.parque[t]"), ["user_id"], "1 hour", "1 hour"), spark)
+    """Sessions of each user's events: those that the stream closed, and those that are open at its end."""
+    closed = _drained(stateful.sessions(stateful.events(spark, f"{sf_dir}/events.parque[t]"), ["user_id"], "1 hour", "1 hour"), spark)
+    rest = stateful.unclosed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), closed, ["user_id"])
+    every = closed.unionByName(stateful.sessions(rest, ["user_id"], "1 hour", "1 hour"))
+    return every.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "confidence")
 
 
 def ema_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +141,30 @@ def hold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(stateful.held(stateful.events(spark, f"{sf_dir}/events.parque[t]"), "user_id", 3), spark)
 
 
-QUERIES = {f.__name__: f for f in (audio_levels, levels_windows, audio_normalise, audio_mix, audio_features, audio_resample, phash_dedup, frame_effects, frame_freeze, sess_stream, ema_stream, hold_stream)}
+QUERIES = {f.__name__: f for f in (audio_levels, levels_windows, audio_normalise, audio_mix, audio_features, audio_edits, audio_resample, phash_dedup, frame_effects, frame_freeze, sess_stream, ema_stream, hold_stream)}
 
 _EV = """n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
 
+_TOTAL = lambda x: f"round(coalesce(list_sum({x}), 0), 6)"
+
 ORACLE_SQL = {
+    "audio_features": f"""WITH {_S}, w AS (SELECT vec_id, i AS win, list_slice(x, i * 16 + 1, i * 16 + 32) AS p FROM s, unnest(range(0, (len(x) - 32) // 16 + 1)) AS u(i) WHERE len(x) >= 32),
+        d AS (SELECT vec_id, win, k, list_sum(list_transform(range(0, 32), lambda j: p[j + 1] * cos(2 * pi() * k * j / 32))) AS re, list_sum(list_transform(range(0, 32), lambda j: p[j + 1] * sin(2 * pi() * k * j / 32))) AS im FROM w, unnest(range(0, 17)) AS v(k)),
+        m AS (SELECT vec_id, win, k * 250.0::DOUBLE AS hz, sqrt(re * re + im * im) AS mag FROM d),
+        f AS (SELECT vec_id, win, exp(avg(ln(mag + 1e-10))) / (avg(mag) + 1e-10) AS flatness, sum(hz * mag) / (sum(mag) + 1e-10) AS centroid, coalesce(sum(mag * mag) FILTER (hz >= 300 AND hz <= 3400), 0) / (sum(mag * mag) + 1e-10) AS speech_ratio FROM m GROUP BY ALL),
+        z AS (SELECT f.*, sqrt(list_sum(list_transform(p, lambda v: v * v)) / 32) AS rms, list_sum(list_transform(range(1, 32), lambda j: abs(sign(p[j + 1]) - sign(p[j])))) / 64.0::DOUBLE AS zero_crossings FROM f JOIN w USING (vec_id, win)),
+        k AS (SELECT *, CASE WHEN rms < 0.01 THEN 0 WHEN flatness > 0.5 AND zero_crossings > 0.1 THEN 1 WHEN speech_ratio > 0.4 AND zero_crossings > 0.02 AND zero_crossings < 0.15 THEN 2 WHEN flatness < 0.3 AND centroid < 2000 THEN 3 ELSE 4 END AS c FROM z)
+        SELECT vec_id, win, ['silence', 'noise', 'speech', 'music', 'speech'][c + 1] AS kind, round(rms, 6) AS rms, round(zero_crossings, 6) AS zero_crossings, round(flatness, 6) AS flatness, round(centroid, 6) AS centroid, round(speech_ratio, 6) AS speech_ratio,
+               round([0.95, least(0.7, flatness), least(0.8, speech_ratio), least(0.7, 1 - flatness), 0.4][c + 1], 6) AS confidence FROM k""",
+    "audio_edits": f"""WITH {_S}, o AS (SELECT *, list_transform(range(1, len(x) + 17), lambda i: coalesce(x[i], 0) + CASE WHEN i > 16 THEN list_reverse(x)[i - 16] ELSE 0 END) AS b FROM s),
+        t AS (SELECT *, greatest(1, list_max(list_transform(b, lambda v: abs(v)))) AS top, list_max(list_transform(x[1:32], lambda v: abs(v))) AS own, list_max(list_transform(x[33:64], lambda v: abs(v))) AS ref FROM o)
+        SELECT vec_id, {_TOTAL("x[9:48]")} AS cut, {_TOTAL("list_transform(range(0, (len(x) + 1) // 2), lambda i: x[2 * i + 1])")} AS "left", 2 * len(x) AS stereo,
+               round(list_sum(list_transform(range(0, len(x)), lambda i: x[i // 2 + 1])), 6) AS stereo_half, 16 AS silence, len(x) + 16 AS padded, {_TOTAL("x[1:10]")} AS short,
+               {_TOTAL("list_transform(x, lambda v: greatest(-1, least(1, v * 1.5)))")} AS scaled, len(x) + 16 AS overlaid, round(list_max(list_transform(b, lambda v: abs(v))) / top, 6) AS top, round(list_sum(b) / top, 6) AS mixed,
+               round(CASE WHEN own <= 0 OR ref <= 0 OR abs(ref / own - 1) < 0.001 THEN own ELSE ref END, 6) AS matched, list_max(list_transform(x, lambda v: abs(v))) < 1e-7 AS silent FROM t""",
+    "sess_stream": """WITH l AS (SELECT *, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+        n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l)
+        SELECT user_id, min(t) AS start, max(t) + 3600000000 AS "end", count(*) AS n, max(value) AS confidence FROM n GROUP BY user_id, k""",
     "audio_levels": f"""WITH {_S}, l AS (SELECT vec_id, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) AS r, list_max(list_transform(x, lambda v: abs(v))) AS p FROM s)
         SELECT vec_id, round(r, 8) AS rms, round(p, 8) AS peak, round(20 * log10(greatest(r, 1e-10)), 8) AS db_rms, round(20 * log10(greatest(p, 1e-10)), 8) AS db_peak FROM l""",
     "levels_windows": f"""WITH {_S}, w AS (SELECT vec_id, i AS win, list_slice(x, i * 8 + 1, i * 8 + 16) AS p FROM s, unnest(range(0, (len(x) - 16) // 8 + 1)) AS u(i) WHERE len(x) >= 16)

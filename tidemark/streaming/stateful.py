@@ -29,6 +29,12 @@ def sessions(stream: DataFrame, keys: list[str], gap: str, late: str) -> DataFra
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "confidence")
 
 
+def unclosed(events: DataFrame, closed: DataFrame, keys: list[str]) -> DataFrame:
+    """The events after each key's last closed session, which belong to sessions still open. Sessions close in order, so none lies before."""
+    last = closed.groupBy(*keys).agg(F.max("end").alias("__last"))
+    return events.join(last, keys, "left").filter(F.col("__last").isNull() | (F.col("ts") >= F.col("__last"))).drop("__last")
+
+
 def levels(stream: DataFrame, keys: list[str], size: str, hop: str, late: str, value: Column) -> DataFrame:
     """rms and peak of sliding windows."""
     grouped = stream.withWatermark("ts", late).groupBy(*keys, F.window("ts", size, hop).alias("w"))
