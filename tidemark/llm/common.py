@@ -44,6 +44,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that staged() wrote, once nothing reads it any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input cannot clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
