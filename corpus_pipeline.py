@@ -3,6 +3,10 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns
 a DataFrame. All but the last return the columns of documents. A document that a
 stage rejects is gone for all later ones.
+
+Defined results: null or blank text is rejected by quality; of equal texts the row
+with the largest doc_id stays, of repeated rows one; a null doc_id stands alone in
+near_dedup; very long texts are read whole; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: The perplexity model, components and token ids have no SQL; tests compare each stage with a brute-force version.
+#: The perplexity model, components and token ids have no SQL; tests compare each stage's operator with a brute-force version.
 ORACLE_SQL = None
 
 
