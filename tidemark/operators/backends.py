@@ -71,5 +71,6 @@ def speech_regions(words: DataFrame, keys: Sequence[str], duration: str, pad: fl
 def vocabulary_prompt(terms: DataFrame, budget: int) -> str:
     """A transcriber's prompt from the first terms (term, pos) that fit `budget` characters."""
     spent = F.sum(F.length("term") + 2).over(Window.orderBy("pos"))
-    kept = terms.withColumn("__n", spent).filter(F.col("__n") <= budget).orderBy("pos").select("term").collect()  # bounded by the budget
+    fit = terms.filter("term <> ''").orderBy("pos").limit(budget // 3 + 1)  # a term takes three characters at least, so no more can fit
+    kept = fit.withColumn("__n", spent).filter(F.col("__n") <= budget).orderBy("pos").select("term").collect()  # bounded by the budget
     return ", ".join(r["term"] for r in kept)

@@ -1,88 +1,197 @@
 """Greedy, order-dependent operators: each key (one recording, shot or batch) is a fold over its rows in order.
 
-The folds run in the JVM with aggregate() over the key's sorted array; association
-of detections, whose state is a set of open tracks, is a pandas group function.
+A fold's rows are sorted by key and order, outside memory where they are many, and
+pass through the task once; only the fold's state is held. budget_groups, whose
+keys may hold any share of the rows, deals them by ranges of their order instead.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..shared import kept
+
+
+def _columns(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names))
+
+
+def fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], step: Callable, name: str, kind: str) -> DataFrame:
+    """Adds `name`, the value of `step(state, *inputs) -> (state, value)` for each row in its key's order; each key starts with the state None."""
+    keys, n = list(keys), len(keys)
+    asked = rows.select(*dict.fromkeys([*keys, *order, *inputs]))
+    schema = StructType([*asked.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        key, state, arrow = None, None, to_arrow_type(schema[name].dataType)
+        for batch in batches:
+            out = []
+            for row in _columns(batch, [*keys, *inputs]):
+                if row[:n] != key:
+                    key, state = row[:n], None
+                state, value = step(state, *row[n:])
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], [*batch.schema.names, name])
+
+    return asked.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(go, schema)
+
+
+def _range_ends(keys: Sequence[str], weight: str, budget: float):
+    """For each key of each range: the weights that may still join the group that comes in, with the sum and the further groups at the range's end if a new group starts there."""
+
+    def ended(key: tuple, part: int, head: list[float], runs: dict[int, list]) -> dict:
+        ends = {c: (t, k) for t, members in runs.values() for c, k in members.items()}
+        return {**dict(zip(keys, key)), "__range": part, "__head": [{"w": w, "t": ends[c][0], "k": ends[c][1]} for c, w in enumerate(head)]}
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, schema = None, 0, None
+        for batch in batches:
+            out = []
+            for row in _columns(batch, [*keys, "__range", weight]):
+                *k, number, w = row
+                if tuple(k) != key:
+                    if key is not None:
+                        out.append(ended(key, part, head, runs))
+                    # runs: from the start of a group, its sum so far and the candidates whose groups fall together there
+                    key, part, head, total, runs, at = tuple(k), number, [], 0.0, {}, 0
+                fresh: dict[int, int] = {}
+                for start, run in list(runs.items()):
+                    if run[0] + w <= budget:
+                        run[0] += w
+                    else:
+                        fresh.update({c: k_ + 1 for c, k_ in runs.pop(start)[1].items()})
+                if total <= budget and (w > 0 or not head):
+                    fresh[len(head)] = 0
+                    head.append(w)
+                    total += w
+                if fresh:
+                    runs[at] = [w, fresh]
+                at += 1
+            schema = pa.schema([*[batch.schema.field(k) for k in keys], ("__range", pa.int32()), ("__head", pa.list_(pa.struct([("w", pa.float64()), ("t", pa.float64()), ("k", pa.int64())])))])
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([ended(key, part, head, runs)], schema)
+
+    return go
+
+
+def _came(budget: float):
+    def step(state: tuple | None, head: list[dict]) -> tuple[tuple, dict]:
+        t, k = came = state or (float("inf"), -1)
+        for x in head:
+            if t + x["w"] > budget:
+                return (x["t"], k + 1 + x["k"]), {"t": came[0], "k": came[1]}
+            t += x["w"]
+        return (t, k), {"t": came[0], "k": came[1]}
+
+    return step
+
+
+def budget_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, budget: float, name: str = "group") -> DataFrame:
+    """Adds the number of a greedy group: a new one where the sum would pass the budget, so that an item over the budget stands alone.
+
+    Rows are dealt by ranges of their order, so a key may span any number of tasks. A
+    range tells, for each place at which the group that comes in may end, how it
+    would end itself; a pass over these tells each range what comes in, and the ranges
+    number their rows. Weights are not negative; null counts as 0.
+    """
+    keys, order = list(keys), list(order)
+    items = rows.select(*keys, *order, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias(weight))
+    dealt = kept(items.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    ends_schema = StructType([*[dealt.schema[k] for k in keys], *StructType.fromDDL("__range int, __head array<struct<w:double,t:double,k:bigint>>").fields])
+    ends = kept(dealt.mapInArrow(_range_ends(keys, weight, float(budget)), ends_schema))
+    came = fold(ends, keys, ["__range"], ["__head"], _came(float(budget)), "__came", "struct<t:double,k:bigint>").drop("__head")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__range"]]
+    told = dealt.alias("a").join(came.alias("b"), same).select("a.*", "b.__came")
 
+    def step(state: tuple | None, w: float, first: dict) -> tuple[tuple, int]:
+        t, k = state or (first["t"], first["k"])
+        t, k = (t + w, k) if t + w <= budget else (w, k + 1)
+        return (t, k), k
 
-def budget_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str, budget: float, name: str = "group", alone: bool = False) -> DataFrame:
-    """Adds the number of a greedy group: a new one where the sum would pass the budget. alone: an item over the budget gets a group of its own anyhow."""
-    item = F.struct(*order, F.col(weight).cast("double").alias("__w"))
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
-        "gs",
-        F.expr(
-            f"""aggregate(xs, named_struct('t', 0D, 'k', -1, 'o', cast(array() as array<int>)), (a, x) ->
-            case when a.k >= 0 and a.t + x.__w <= {float(budget)}D then named_struct('t', a.t + x.__w, 'k', a.k, 'o', array_append(a.o, a.k))
-                 else named_struct('t', x.__w, 'k', a.k + 1, 'o', array_append(a.o, a.k + 1)) end).o"""
-        ),
-    )
-    spread = folded.select(*keys, F.explode(F.arrays_zip("xs", "gs")).alias("x"))
-    return spread.select(*keys, *[F.col(f"x.xs.{o}").alias(o) for o in order], F.col("x.xs.__w").alias(weight), F.col("x.gs").alias(name))
+    return fold(told, [*keys, "__range"], order, [weight, "__came"], step, name, "int").drop("__range", "__came")
 
 
 def merge_short(scenes: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
     """Scenes in order, the last one extended while it is shorter than `least`; a short tail joins the one before."""
-    folded = scenes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("xs")).withColumn(
-        "ys",
-        F.expr(
-            f"""aggregate(xs, cast(array() as array<struct<start:double,end:double>>), (a, x) ->
-            case when size(a) > 0 and element_at(a, -1).end - element_at(a, -1).start < {float(least)}D
-                 then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', x.end)))
-                 else array_append(a, x) end,
-            a -> case when size(a) > 1 and element_at(a, -1).end - element_at(a, -1).start < {float(least)}D
-                      then concat(slice(a, 1, size(a) - 2), array(named_struct('start', element_at(a, -2).start, 'end', element_at(a, -1).end))) else a end)"""
-        ),
-    )
-    return folded.select(*keys, F.posexplode("ys").alias("scene", "x")).select(*keys, "scene", "x.start", "x.end")
+    keys, n = list(keys), len(keys)
+    rows = scenes.select(*keys, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("scene", LongType()), rows.schema["start"], rows.schema["end"]])
+
+    def closed(key: tuple, scene: int, held: list[list[float]]) -> list[tuple]:
+        if len(held) > 1 and held[-1][1] - held[-1][0] < least:
+            held = [[held[0][0], held[1][1]]]
+        return [(*key, scene + i, *x) for i, x in enumerate(held)]
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, scene, held, names = None, 0, [], None
+        for batch in batches:
+            out, names = [], pa.schema([*[batch.schema.field(k) for k in keys], ("scene", pa.int64()), ("start", pa.float64()), ("end", pa.float64())])
+            for *k, start, end in _columns(batch, [*keys, "start", "end"]):
+                if tuple(k) != key:
+                    if key is not None:
+                        out += closed(key, scene, held)
+                    key, scene, held = tuple(k), 0, []
+                if held and held[-1][1] - held[-1][0] < least:
+                    held[-1][1] = end
+                else:
+                    if len(held) > 1:  # only the last two may still change
+                        out.append((*key, scene, *held.pop(0)))
+                        scene += 1
+                    held.append([start, end])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), names)], schema=names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*closed(key, scene, held)), names)], schema=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "start", "end").mapInArrow(go, schema)
 
 
 def smoothed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, factor: float, name: str = "smoothed") -> DataFrame:
     """Exponential smoothing: factor * last + (1 - factor) * value, the first value as it is; a missing value repeats the last."""
-    item = F.struct(*order, F.col(value).cast("double").alias("__v"))
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
-        "ys",
-        F.expr(
-            f"""aggregate(xs, cast(array() as array<double>), (a, x) -> array_append(a,
-            case when size(a) = 0 or element_at(a, -1) is null then x.__v when x.__v is null then element_at(a, -1)
-                 else {factor}D * element_at(a, -1) + {1 - factor}D * x.__v end))"""
-        ),
-    )
-    spread = folded.select(*keys, F.explode(F.arrays_zip("xs", "ys")).alias("x"))
-    return spread.select(*keys, *[F.col(f"x.xs.{o}").alias(o) for o in order], F.col("x.xs.__v").alias(value), F.col("x.ys").alias(name))
+
+    def step(last: float | None, v: float | None) -> tuple:
+        now = v if last is None else last if v is None else factor * last + (1 - factor) * v
+        return now, now
+
+    return fold(rows.withColumn(value, F.col(value).cast("double")), keys, order, [value], step, name, "double")
 
 
 def followed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], target: str, most: float, name: str = "position") -> DataFrame:
-    """A follower of `target` that moves at most `most` per row."""
-    item = F.struct(*order, F.col(target).cast("double").alias("__v"))
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("xs")).withColumn(
-        "ys",
-        F.expr(
-            f"""aggregate(xs, cast(array() as array<double>), (a, x) -> array_append(a,
-            case when size(a) = 0 then x.__v else element_at(a, -1) + greatest({-most}D, least({most}D, x.__v - element_at(a, -1))) end))"""
-        ),
-    )
-    spread = folded.select(*keys, F.explode(F.arrays_zip("xs", "ys")).alias("x"))
-    return spread.select(*keys, *[F.col(f"x.xs.{o}").alias(o) for o in order], F.col("x.ys").alias(name))
+    """A follower of `target` that moves at most `most` per row; it stays where a target is missing."""
+
+    def step(last: float | None, v: float | None) -> tuple:
+        now = v if last is None else last if v is None else last + max(-most, min(most, v - last))
+        return now, now
+
+    return fold(rows.withColumn(target, F.col(target).cast("double")), keys, order, [target], step, name, "double").drop(target)
 
 
 def distinct_hashes(rows: DataFrame, keys: Sequence[str], order: str, code: str, most: int) -> DataFrame:
-    """Rows whose 64-bit code differs in more than `most` bits from every row kept before them."""
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, code))).alias("xs")).withColumn(
-        "ys",
-        F.expr(
-            f"""aggregate(xs, cast(array() as array<struct<{order}:bigint,{code}:bigint>>), (a, x) ->
-            case when exists(a, k -> bit_count(k.{code} ^ x.{code}) <= {most}) then a else array_append(a, x) end)"""
-        ),
-    )
-    return folded.select(*keys, F.explode("ys").alias("x")).select(*keys, f"x.{order}", f"x.{code}")
+    """Rows whose 64-bit code differs in more than `most` bits from every row kept before them; a row without a code stays."""
+
+    def step(state: tuple | None, x: int | None) -> tuple:
+        held, n = state or (np.empty(16, np.int64), 0)
+        if x is None:
+            return (held, n), True
+        if n and int(np.bitwise_count((held[:n] ^ np.int64(x)).view(np.uint64)).min()) <= most:
+            return (held, n), False
+        if n == len(held):
+            held = np.concatenate([held, np.empty(n, np.int64)])
+        held[n] = x
+        return (held, n + 1), True
+
+    return fold(rows, keys, [order], [code], step, "__kept", "boolean").filter("__kept").drop("__kept")
 
 
 def _tracks(least: float, missed: int, keys: Sequence[str]):

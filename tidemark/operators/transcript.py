@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import fold
 from .intervals import BEFORE, islands
 
 
@@ -44,18 +45,14 @@ def by_count(words: DataFrame, keys: Sequence[str], order: Sequence[str], size:
 
 def by_time(words: DataFrame, keys: Sequence[str], order: str, most: float) -> DataFrame:
     """Adds `group`: a new one where a word would end more than `most` after the group's start, or the speaker changes."""
-    item = F.struct(F.col("start").alias("s"), F.col(order).alias("o"), F.col("end").alias("e"), F.col("speaker").alias("p"))
-    folded = words.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ws")).withColumn(
-        "gs",
-        F.expr(
-            f"""aggregate(ws, cast(null as struct<st:double,p:string,k:int,o:array<int>>), (a, x) ->
-            case when a is null then named_struct('st', x.s, 'p', x.p, 'k', 0, 'o', array(0))
-                 when x.e - a.st > {most}D or not (x.p <=> a.p) then named_struct('st', x.s, 'p', x.p, 'k', a.k + 1, 'o', array_append(a.o, a.k + 1))
-                 else named_struct('st', a.st, 'p', a.p, 'k', a.k, 'o', array_append(a.o, a.k)) end).o"""
-        ),
-    )
-    spread = folded.select(*keys, F.explode(F.arrays_zip("ws", "gs")).alias("x"))
-    return spread.select(*keys, F.col("x.ws.o").alias(order), F.col("x.ws.s").alias("start"), F.col("x.ws.e").alias("end"), F.col("x.ws.p").alias("speaker"), F.col("x.gs").alias("group"))
+
+    def step(state: tuple | None, start: float, end: float, speaker: str | None) -> tuple[tuple, int]:
+        first, p, k = state or (None, None, -1)
+        if k < 0 or end - first > most or speaker != p:
+            first, p, k = start, speaker, k + 1
+        return (first, p, k), k
+
+    return fold(words, keys, ["start", order], ["start", "end", "speaker"], step, "group", "int").select(*keys, order, "start", "end", "speaker", "group")
 
 
 def chunks(rows: DataFrame, keys: Sequence[str], text: str, size: int) -> DataFrame:
@@ -87,7 +84,7 @@ def assess(segments_: DataFrame, keys: Sequence[str], duration: Column, order: s
     """Quality of transcripts from segments (keys, text, start, end, avg_logprob): the dominant phrase's share of characters, median log probability, spoken share, flags and ok, warn or reject."""
     phrased = segments_.withColumns({"phrase": T.normalize_phrase(F.col("text")), "__d": duration})
     by_phrase = phrased.filter("phrase <> ''").groupBy(*keys, "phrase").agg(F.sum(F.length("phrase")).alias("chars"), F.min(order).alias("first"))
-    top = by_phrase.groupBy(*keys).agg(F.max_by("phrase", F.struct("chars", (-F.col("first")).alias("o"))).alias("dominant_phrase"), F.max("chars").alias("most"), F.sum("chars").alias("chars"))
+    top = by_phrase.groupBy(*keys).agg(F.min_by("phrase", F.struct((-F.col("chars")).alias("c"), "first")).alias("dominant_phrase"), F.max("chars").alias("most"), F.sum("chars").alias("chars"))
     whole = phrased.groupBy(*keys).agg(
         F.median("avg_logprob").alias("median_logprob"), F.max("__d").alias("__d"), F.sum(F.greatest(F.lit(0.0), F.col("end") - F.col("start"))).alias("__spoken"), F.count(F.lit(1)).alias("n_segments")
     )
@@ -109,7 +106,8 @@ def vocabulary(rows: DataFrame, term: str, order: str, budget: int | None = None
     if budget is None:
         return first.select("term", "pos")
     spent = F.sum(F.length("term") + 1).over(Window.orderBy("pos"))
-    return first.withColumn("__spent", spent).filter(F.col("__spent") <= budget).select("term", "pos")
+    fit = first.orderBy("pos").limit(budget // 2)  # a term takes two characters at least, so no more can fit
+    return fit.withColumn("__spent", spent).filter(F.col("__spent") <= budget).select("term", "pos")
 
 
 def srt_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import folds, frames, signal
+from ..shared import shared_dir
 from ..streaming import stateful
 from .base import table
 
@@ -35,11 +36,12 @@ def levels_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peak of each clip brought to -3 dB, as stereo made mono, and the clip's first eight samples faded into its next eight."""
+    """Peak of each clip brought to -3 dB, as stereo made mono, and the clip's first half faded into its second over four samples."""
     s = F.col("samples")
     loud = signal.normalised(s, -3.0)
     mono = signal.to_mono(s, 2)
-    joined = signal.joined(F.slice(s, 1, 8), F.slice(s, 9, 8), 4)
+    half = F.floor(F.size(s) / 2).cast("int")
+    joined = signal.joined(F.slice(s, F.lit(1), half), F.slice(s, half + 1, F.size(s)), 4)
     return _samples(spark, sf_dir).select("vec_id", F.round(signal.peak(loud), 8).alias("peak"), F.round(signal.rms(mono), 8).alias("mono_rms"), F.round(signal.rms(joined), 8).alias("joined_rms"))
 
 
@@ -71,10 +73,10 @@ def audio_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signs of the first 32 numbers of a vector as its code; per group of 50 vectors, a code within 8 bits of one kept before goes."""
-    code = F.expr("aggregate(transform(slice(embedding, 1, 32), (v, i) -> if(v > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("grp"), "vec_id", code.alias("code"))
-    return folds.distinct_hashes(rows, ["grp"], "vec_id", "code", 8)
+    """Signs of a vector's 64 numbers as its code; per label, a code within 4 bits of one kept before goes."""
+    code = F.expr("aggregate(transform(embedding, (v, i) -> if(v > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", code.alias("code"))
+    return folds.distinct_hashes(rows, ["label"], "vec_id", "code", 4)
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +119,7 @@ def frame_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
-    folder = f"{shared}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return stateful.drained(stream, f"{folder}/out", f"{folder}/state")
 
 
@@ -170,17 +169,17 @@ ORACLE_SQL = {
     "levels_windows": f"""WITH {_S}, w AS (SELECT vec_id, i AS win, list_slice(x, i * 8 + 1, i * 8 + 16) AS p FROM s, unnest(range(0, (len(x) - 16) // 8 + 1)) AS u(i) WHERE len(x) >= 16)
         SELECT vec_id, win, round(sqrt(list_sum(list_transform(p, lambda v: v * v)) / 16), 8) AS rms, round(list_max(list_transform(p, lambda v: abs(v))), 8) AS peak FROM w""",
     "audio_normalise": f"""WITH {_S}, p AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) AS p FROM s),
-        m AS (SELECT *, list_transform(range(0, len(x) // 2), lambda i: (x[2 * i + 1] + x[2 * i + 2]) / 2) AS mono, list_concat(list_concat(x[1:4], list_transform(range(0, 4), lambda i: x[5 + i] * (1 - i / 4.0::DOUBLE) + x[9 + i] * (i / 4.0::DOUBLE))), x[13:16]) AS j FROM p)
+        m AS (SELECT *, list_transform(range(0, len(x) // 2), lambda i: (x[2 * i + 1] + x[2 * i + 2]) / 2) AS mono, list_concat(list_concat(x[1:len(x) // 2 - 4], list_transform(range(0, 4), lambda i: x[len(x) // 2 - 3 + i] * (1 - i / 4.0::DOUBLE) + x[len(x) // 2 + 1 + i] * (i / 4.0::DOUBLE))), x[len(x) // 2 + 5:]) AS j FROM p)
         SELECT vec_id, round(CASE WHEN p < 1e-7 THEN p ELSE list_max(list_transform(x, lambda v: abs(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v * (pow(10, -3.0::DOUBLE / 20) / p)))))) END, 8) AS peak,
           round(sqrt(list_sum(list_transform(mono, lambda v: v * v)) / len(mono)), 8) AS mono_rms, round(sqrt(list_sum(list_transform(j, lambda v: v * v)) / len(j)), 8) AS joined_rms FROM m""",
     "audio_mix": f"""WITH {_S}, c AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 16 AS o, x FROM s)
         SELECT label, o + i - 1 AS idx, round(sum(x[i]), 8) AS value FROM c, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY label, idx""",
-    "phash_dedup": """WITH RECURSIVE c AS (SELECT vec_id // 50 AS grp, vec_id, list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT AS code FROM embeddings),
-        n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vec_id) AS i FROM c),
-        r AS (SELECT grp, i, [code] AS kept, true AS own, vec_id, code FROM n WHERE i = 1
-              UNION ALL SELECT n.grp, n.i, CASE WHEN len(list_filter(r.kept, lambda k: bit_count(xor(k, n.code)) <= 8)) > 0 THEN r.kept ELSE list_append(r.kept, n.code) END, len(list_filter(r.kept, lambda k: bit_count(xor(k, n.code)) <= 8)) = 0, n.vec_id, n.code
-              FROM r JOIN n ON n.grp = r.grp AND n.i = r.i + 1)
-        SELECT grp, vec_id, code FROM r WHERE own""",
+    "phash_dedup": """WITH RECURSIVE c AS (SELECT label, vec_id, list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CASE WHEN i = 63 THEN -9223372036854775808 ELSE 1::BIGINT << i END ELSE 0 END))::BIGINT AS code FROM embeddings),
+        n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM c),
+        r AS (SELECT label, i, [code] AS kept, true AS own, vec_id, code FROM n WHERE i = 1
+              UNION ALL SELECT n.label, n.i, CASE WHEN len(list_filter(r.kept, lambda k: bit_count(xor(k, n.code)) <= 4)) > 0 THEN r.kept ELSE list_append(r.kept, n.code) END, len(list_filter(r.kept, lambda k: bit_count(xor(k, n.code)) <= 4)) = 0, n.vec_id, n.code
+              FROM r JOIN n ON n.label = r.label AND n.i = r.i + 1)
+        SELECT label, vec_id, code FROM r WHERE own""",
     "ema_stream": f"""WITH RECURSIVE {_EV}, r AS (SELECT user_id, event_id, i, value AS y FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.event_id, n.i, CASE WHEN n.value IS NULL THEN r.y ELSE 0.8::DOUBLE * r.y + 0.2::DOUBLE * n.value END FROM r JOIN n ON n.user_id = r.user_id AND n.i = r.i + 1)
         SELECT user_id, event_id, round(y, 6) AS smoothed FROM r""",
     "hold_stream": f"""WITH {_EV} SELECT user_id, event_id, last_value(CASE WHEN (i - 1) % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i) AS held FROM n""",

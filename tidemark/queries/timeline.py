@@ -34,14 +34,15 @@ def transcript_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets, sources = spans(spark, sf_dir, 100.0).filter("label = 'purchase'"), spans(spark, sf_dir, 1000.0).filter("label = 'error'")
+    """Each event's strongest overlap with the events of its user, its own wider span among them."""
+    targets, sources = spans(spark, sf_dir, 100.0), spans(spark, sf_dir, 1000.0)
     found = intervals.attach_by_overlap(targets.drop("confidence"), sources, ["user_id"], "event_id", "event_id", ["confidence"], 86400.0)
     return found.select("event_id", "user_id", "start", "end", "confidence")
 
 
 def speaker_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spans(spark, sf_dir, 100.0).filter("label = 'click'").drop("label", "confidence")
-    turns = spans(spark, sf_dir, 1000.0).filter("label = 'view'").withColumn("label", F.concat(F.lit("speaker_"), (F.col("event_id") % 7).cast("string"))).drop("confidence")
+    words = spans(spark, sf_dir, 100.0).drop("label", "confidence")
+    turns = spans(spark, sf_dir, 1000.0).withColumns({"start": F.col("start") + 3600.0, "end": F.col("end") + 3600.0}).withColumn("label", F.concat(F.lit("speaker_"), (F.col("event_id") % 7).cast("string"))).drop("confidence")
     return intervals.assign_speakers(words, turns, ["user_id"], "event_id", "event_id", 86400.0).select("event_id", "user_id", "speaker")
 
 
@@ -90,8 +91,8 @@ def track_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases and errors of a user that overlap, by label: how many and how long."""
-    left, right = spans(spark, sf_dir, 100.0).filter("label = 'purchase'"), spans(spark, sf_dir, 1000.0).filter("label = 'error'")
+    """A user's events and wider events that overlap: how many and how long."""
+    left, right = spans(spark, sf_dir, 100.0), spans(spark, sf_dir, 1000.0)
     pairs = intervals.overlaps(left, right, ["user_id"], 86400.0)
     return pairs.groupBy(F.col("l.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("overlap"), 3).alias("seconds"))
 
@@ -126,11 +127,11 @@ ORACLE_SQL = {
     "overlap_attach": f"""
         WITH {spans_sql(100.0, "t")}, {spans_sql(1000.0, "s")},
         m AS (SELECT t.event_id, arg_max(s.confidence, row(least(t."end", s."end") - greatest(t.start, s.start), -s.event_id)) AS confidence
-              FROM t JOIN s ON t.user_id = s.user_id AND s.label = 'error' AND least(t."end", s."end") > greatest(t.start, s.start) WHERE t.label = 'purchase' GROUP BY t.event_id)
-        SELECT t.event_id, t.user_id, t.start, t."end", m.confidence FROM t LEFT JOIN m USING (event_id) WHERE t.label = 'purchase'""",
+              FROM t JOIN s ON t.user_id = s.user_id AND least(t."end", s."end") > greatest(t.start, s.start) GROUP BY t.event_id)
+        SELECT t.event_id, t.user_id, t.start, t."end", m.confidence FROM t LEFT JOIN m USING (event_id)""",
     "speaker_assign": f"""
-        WITH {spans_sql(100.0, "a")}, {spans_sql(1000.0, "b")}, words AS (SELECT * FROM a WHERE label = 'click'),
-        turns AS (SELECT *, 'speaker_' || (event_id % 7) AS speaker FROM b WHERE label = 'view'),
+        WITH {spans_sql(100.0, "a")}, {spans_sql(1000.0, "b")}, words AS (SELECT * FROM a),
+        turns AS (SELECT event_id, user_id, start + 3600 AS start, "end" + 3600 AS "end", 'speaker_' || (event_id % 7) AS speaker FROM b),
         o AS (SELECT w.event_id, arg_max(t.speaker, row(least(w."end", t."end") - greatest(w.start, t.start), -t.event_id)) AS speaker
               FROM words w JOIN turns t ON w.user_id = t.user_id AND least(w."end", t."end") > greatest(w.start, t.start) GROUP BY w.event_id),
         n AS (SELECT w.event_id, arg_min(t.speaker, row(abs((w.start + w."end") / 2 - (t.start + t."end") / 2), t.event_id)) AS speaker
@@ -169,5 +170,5 @@ ORACLE_SQL = {
     "overlap_pairs": f"""
         WITH {spans_sql(100.0, "t")}, {spans_sql(1000.0, "s")}
         SELECT t.user_id, count(*) AS pairs, round(sum(least(t."end", s."end") - greatest(t.start, s.start)), 3) AS seconds
-        FROM t JOIN s ON t.user_id = s.user_id AND least(t."end", s."end") > greatest(t.start, s.start) WHERE t.label = 'purchase' AND s.label = 'error' GROUP BY t.user_id""",
+        FROM t JOIN s ON t.user_id = s.user_id AND least(t."end", s."end") > greatest(t.start, s.start) GROUP BY t.user_id""",
 }

@@ -50,12 +50,13 @@ def scene_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcript_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document as a segment of its source."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id", "left").select(
-        "source", "doc_id", F.element_at(F.split("text", "\n"), 1).alias("text"), F.col("doc_id").cast("double").alias("start"), (F.col("doc_id") + F.col("n_chars") / 1000.0).alias("end"),
-        (F.col("quality") - 2.0).cast("double").alias("avg_logprob"),
+    lines = docs.join(labels, "doc_id", "left").select("source", "doc_id", "quality", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "text"))
+    rows = lines.select(
+        "source", F.struct("doc_id", "line").alias("at"), "text", F.col("doc_id").cast("double").alias("start"), (F.col("doc_id") + F.length("text") / 1000.0).alias("end"), (F.col("quality") - 2.0).cast("double").alias("avg_logprob")
     )
-    out = transcript.assess(rows, ["source"], F.lit(20000.0), "doc_id")
+    out = transcript.assess(rows, ["source"], F.lit(20000.0), "at")
     return out.withColumns({"dominant_share": F.round("dominant_share", 8), "speech_fraction": F.round("speech_fraction", 8)})
 
 
@@ -152,10 +153,11 @@ ORACLE_SQL = {
         x AS (SELECT d.user_id, d.user_id || '#' || d.day AS scene, coalesce(string_agg(word, ' ' ORDER BY w.start, w.event_id), '') AS t
               FROM d LEFT JOIN words w ON w.user_id = d.user_id AND w."end" > d.day * 86400.0 AND w.start < (d.day + 1) * 86400.0 AND w."end" > w.start GROUP BY ALL)
         SELECT user_id, scene, CASE WHEN length(t) > 40 THEN rtrim(substr(t, 1, 37)) || '...' ELSE t END AS transcript FROM x""",
-    "transcript_quality": r"""WITH s AS (SELECT source, doc_id, string_split(text, chr(10))[1] AS text, n_chars / 1000.0::DOUBLE AS d, (quality - 2.0)::DOUBLE AS lp FROM documents LEFT JOIN labels USING (doc_id)),
+    "transcript_quality": r"""WITH l AS (SELECT source, doc_id, quality, string_split(coalesce(text, ''), chr(10)) AS x FROM documents LEFT JOIN labels USING (doc_id)),
+        s AS (SELECT source, doc_id, i AS line, x[i] AS text, length(x[i]) / 1000.0::DOUBLE AS d, (quality - 2.0)::DOUBLE AS lp FROM l, unnest(range(1, len(x) + 1)) AS u(i)),
         p AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS phrase FROM s),
-        b AS (SELECT source, phrase, sum(length(phrase)) AS chars, min(doc_id) AS first FROM p WHERE phrase <> '' GROUP BY ALL),
-        t AS (SELECT source, arg_max(phrase, row(chars, -first)) AS phrase, max(chars) AS most, sum(chars) AS chars FROM b GROUP BY source),
+        b AS (SELECT source, phrase, sum(length(phrase)) AS chars, min(row(doc_id, line)) AS first FROM p WHERE phrase <> '' GROUP BY ALL),
+        t AS (SELECT source, arg_min(phrase, row(-chars, first)) AS phrase, max(chars) AS most, sum(chars) AS chars FROM b GROUP BY source),
         w AS (SELECT source, median(lp) AS median_logprob, sum(doc_id + d - doc_id) / 20000.0::DOUBLE AS speech_fraction, count(*) AS n FROM p GROUP BY source),
         x AS (SELECT *, coalesce(most / chars, 0) AS share FROM w LEFT JOIN t USING (source)),
         f AS (SELECT *, share >= 0.7 AS rep, coalesce(median_logprob < -1.5, false) AS uns, speech_fraction < 0.05 AS qui FROM x)
