@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+COLUMNS = ["video_id", "frame_idx", "width", "height", "pixels"]
 FRAMES = "video_id long, frame_idx long, width int, height int, pixels binary"
 Kernel = Callable[[np.ndarray, int, int], np.ndarray]
 KERNELS: dict[str, Callable[..., Kernel]] = {}
@@ -31,6 +32,19 @@ def kernel(name: str):
     return put
 
 
+def _shown(batch: pa.RecordBatch, run: Kernel, start: int, stop: int) -> list[pa.Array]:
+    """A batch's columns after a kernel on frames [start, stop)."""
+    out, sizes = [], []
+    for i, w, h, raw in zip(*(batch.column(c).to_pylist() for c in ("frame_idx", "width", "height", "pixels"))):
+        if start <= i < stop:
+            shown = run(np.frombuffer(raw, np.uint8).reshape(h, w, 3), i - start, stop - start)
+            raw, h, w = np.ascontiguousarray(shown).tobytes(), shown.shape[0], shown.shape[1]
+        out.append(raw)
+        sizes.append((w, h))
+    width, height = (pa.array([s[k] for s in sizes], pa.int32()) for k in range(2))
+    return [batch.column("video_id"), batch.column("frame_idx"), width, height, pa.array(out, pa.binary())]
+
+
 def apply(frames: DataFrame, effect: str, total: int, /, start: int = 0, stop: int | None = None, **params) -> DataFrame:
     """frames with an effect on frames [start, stop) of each video of `total` frames."""
     stop = total if stop is None else min(stop, total)
@@ -38,30 +52,35 @@ def apply(frames: DataFrame, effect: str, total: int, /, start: int = 0, stop: i
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, sizes = [], []
-            for i, w, h, raw in zip(*(batch.column(c).to_pylist() for c in ("frame_idx", "width", "height", "pixels"))):
-                if start <= i < stop:
-                    shown = run(np.frombuffer(raw, np.uint8).reshape(h, w, 3), i - start, stop - start)
-                    raw, h, w = np.ascontiguousarray(shown).tobytes(), shown.shape[0], shown.shape[1]
-                out.append(raw)
-                sizes.append((w, h))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("video_id"), batch.column("frame_idx"), pa.array([s[0] for s in sizes], pa.int32()), pa.array([s[1] for s in sizes], pa.int32()), pa.array(out, pa.binary())],
-                ["video_id", "frame_idx", "width", "height", "pixels"],
-            )
+            yield pa.RecordBatch.from_arrays(_shown(batch, run, start, stop), COLUMNS)
+
+    return frames.select(*COLUMNS).mapInArrow(go, FRAMES)
+
+
+def apply_each(frames: DataFrame, effects: dict[str, dict], total: int, start: int = 0, stop: int | None = None) -> DataFrame:
+    """frames once for each effect, named in `effect`: one pass over them, as `apply` for each."""
+    stop = total if stop is None else min(stop, total)
+    runs = {name: KERNELS[name](**params) for name, params in effects.items()}
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, run in runs.items():
+                yield pa.RecordBatch.from_arrays([*_shown(batch, run, start, stop), pa.array([name] * len(batch), pa.string())], [*COLUMNS, "effect"])
 
-    return frames.select("video_id", "frame_idx", "width", "height", "pixels").mapInArrow(go, FRAMES)
+    return frames.select(*COLUMNS).mapInArrow(go, f"{FRAMES}, effect string")
 
 
 def means(frames: DataFrame) -> DataFrame:
-    """video_id, frame_idx and the mean of each colour."""
+    """video_id, frame_idx, the mean of each colour and the effect, if frames name one."""
+    more = ["effect"] if "effect" in frames.columns else []
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = [np.frombuffer(p, np.uint8).reshape(-1, 3).mean(axis=0) if p else np.zeros(3) for p in batch.column("pixels").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), *[pa.array([x[k] for x in m], pa.float64()) for k in range(3)]], ["video_id", "frame_idx", "red", "green", "blue"])
+            colours = [pa.array([x[k] for x in m], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), *colours, *map(batch.column, more)], ["video_id", "frame_idx", "red", "green", "blue", *more])
 
-    return frames.mapInArrow(go, "video_id long, frame_idx long, red double, green double, blue double")
+    return frames.mapInArrow(go, "video_id long, frame_idx long, red double, green double, blue double" + "".join(f", {c} string" for c in more))
 
 
 def remap(frames: DataFrame, index: DataFrame) -> DataFrame:

@@ -1,18 +1,19 @@
 """Interval algebra over rows with a start and an end in seconds; intervals are half-open.
 
-Each operator partitions by its keys and orders within them, so Spark sorts once
-per operator and no rows leave the JVM. Joins on overlap are equi-joins on the
+Each operator partitions by its keys, merging also by time buckets, and orders
+within them; no rows leave the JVM. Joins on overlap are equi-joins on the
 keys and a time bucket, so a long recording spreads over its buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEFORE = (Window.unboundedPreceding, -1)
+DAY = 86400.0  #: seconds of the time buckets that rows are dealt by
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], starts: Column, name: str = "island") -> DataFrame:
@@ -21,13 +22,41 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], s
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w))
 
 
-def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.5, order: str = "event_id") -> DataFrame:
+def _with(rows: DataFrame, facts: DataFrame, cells: Sequence[str]) -> DataFrame:
+    """rows with the columns that facts hold for their cell; null keys are equal."""
+    named = {c: f"__cell{k}" for k, c in enumerate(cells)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()]
+    return rows.join(facts.withColumnsRenamed(named), same).drop(*named.values())
+
+
+def _bucketed(spans: DataFrame, keys: Sequence[str], order: Sequence[str], breaks: Callable[[Column], Column], furthest: bool, bucket: float) -> DataFrame:
+    """Adds `__island`, the number of a row's run within its keys; `breaks` of the end before it tells whether a row begins one.
+
+    That end is the one of the row before or, with `furthest`, the greatest of all
+    rows before. `order` begins with the start. Rows are dealt by key and time bucket,
+    so a key with a third of all rows spans many tasks; what buckets hand on to later
+    ones is one row for each key and bucket.
+    """
+    cells, past = [*keys, "__bucket"], Window.partitionBy(*keys).orderBy("__bucket")
+    spans = spans.withColumn("__bucket", F.floor(F.col("start") / bucket))
+    w = Window.partitionBy(*cells).orderBy(*order)
+    if furthest:
+        ends = spans.groupBy(*cells).agg(F.max("end").alias("__end")).withColumn("__end", F.max("__end").over(past.rowsBetween(*BEFORE)))
+        before = F.greatest(F.max("end").over(w.rowsBetween(*BEFORE)), "__end")
+    else:
+        ends = spans.groupBy(*cells).agg(F.max_by("end", F.struct(*order)).alias("__end")).withColumn("__end", F.lag("__end").over(past))
+        before = F.when(F.row_number().over(w) == 1, F.col("__end")).otherwise(F.lag("end").over(w))
+    marked = _with(spans, ends, cells).withColumn("__before", before)
+    marked = marked.withColumn("__new", F.when(F.col("__before").isNull() | breaks(F.col("__before")), 1).otherwise(0)).drop("__before", "__end")
+    counts = marked.groupBy(*cells).agg(F.sum("__new").alias("__offset")).withColumn("__offset", F.coalesce(F.sum("__offset").over(past.rowsBetween(*BEFORE)), F.lit(0)))
+    inside = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return _with(marked, counts, cells).withColumn("__island", F.col("__offset") + inside).drop("__bucket", "__new", "__offset")
+
+
+def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.5, order: str = "event_id", bucket: float = DAY) -> DataFrame:
     """Events of a key that follow each other by at most `gap` become one: it ends where its last event ends and has the highest confidence."""
-    w = Window.partitionBy(*keys).orderBy("start", order)
-    last = F.lag("end").over(w)
-    marked = events.withColumn("__new", last.isNull() | (F.col("start") - last > gap))
-    grouped = islands(marked, keys, ["start", order], F.col("__new"), "__island").groupBy(*keys, "__island")
-    return grouped.agg(
+    marked = _bucketed(events, keys, ["start", order], lambda last: F.col("start") - last > gap, False, bucket)
+    return marked.groupBy(*keys, "__island").agg(
         F.min("start").alias("start"),
         F.max_by("end", F.struct("start", order)).alias("end"),
         F.max("confidence").alias("confidence"),
@@ -35,13 +64,10 @@ def merge_events(events: DataFrame, keys: Sequence[str], gap: float = 0.5, order
     ).drop("__island")
 
 
-def _joined(spans: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float) -> DataFrame:
+def _joined(spans: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, bucket: float = DAY) -> DataFrame:
     """Spans merged where one begins at most `gap` after the furthest end before it, in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    furthest = F.max("end").over(w.rowsBetween(*BEFORE))
-    marked = spans.withColumn("__new", furthest.isNull() | (F.col("start") > furthest + gap))
-    grouped = islands(marked, keys, order, F.col("__new"), "__island").groupBy(*keys, "__island")
-    return grouped.agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+    marked = _bucketed(spans, keys, order, lambda reach: F.col("start") > reach + gap, True, bucket)
+    return marked.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
 def speech_windows(words: DataFrame, keys: Sequence[str], padding: float, total: Column, order: Sequence[str]) -> DataFrame:

@@ -27,15 +27,20 @@ def spans_sql(widen: float = 1.0, name: str = "ev") -> str:
                    epoch_us(ts) / 1e6::DOUBLE - {EPOCH} + coalesce(value, 0)::DOUBLE * {widen} AS "end" FROM events)"""
 
 
+BOX = 4  #: numbers of a box
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as detections: a shot is ten vectors, each a frame with a box of their first four numbers."""
-    e = F.col("embedding")
-    unit = lambda k: F.abs(e[k].cast("double")) - F.floor(F.abs(e[k].cast("double")))
-    return table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 10).alias("shot"), F.col("vec_id").alias("frame_idx"), F.lit(0).cast("long").alias("det_idx"), (unit(0) * 0.5).alias("x"), (unit(1) * 0.5).alias("y"), (unit(2) * 0.3 + 0.2).alias("width"), (unit(3) * 0.3 + 0.2).alias("height")
+    """Vectors as detections: a shot is ten vectors, each a frame with a box for every four of its numbers."""
+    k = F.col("det_idx").cast("int") * BOX
+    unit = lambda i: F.abs(F.get("embedding", k + i).cast("double")) - F.floor(F.abs(F.get("embedding", k + i).cast("double")))
+    count = F.floor(F.size("embedding") / BOX)
+    rows = table(spark, sf_dir, "embeddings").filter(count > 0).select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("det_idx"))
+    return rows.select(
+        F.floor(F.col("vec_id") / 10).alias("shot"), F.col("vec_id").alias("frame_idx"), "det_idx", (unit(0) * 0.5).alias("x"), (unit(1) * 0.5).alias("y"), (unit(2) * 0.3 + 0.2).alias("width"), (unit(3) * 0.3 + 0.2).alias("height")
     )
 
 
-BOXES_SQL = """boxes AS (SELECT vec_id // 10 AS shot, vec_id AS frame_idx, 0 AS det_idx,
-    (abs(embedding[1]::DOUBLE) - floor(abs(embedding[1]::DOUBLE))) * 0.5 AS x, (abs(embedding[2]::DOUBLE) - floor(abs(embedding[2]::DOUBLE))) * 0.5 AS y,
-    (abs(embedding[3]::DOUBLE) - floor(abs(embedding[3]::DOUBLE))) * 0.3 + 0.2 AS width, (abs(embedding[4]::DOUBLE) - floor(abs(embedding[4]::DOUBLE))) * 0.3 + 0.2 AS height FROM embeddings)"""
+_UNIT = lambda i: f"(abs(embedding[4 * k + {i}]::DOUBLE) - floor(abs(embedding[4 * k + {i}]::DOUBLE)))"
+BOXES_SQL = f"""boxes AS (SELECT vec_id // 10 AS shot, vec_id AS frame_idx, k AS det_idx, {_UNIT(1)} * 0.5 AS x, {_UNIT(2)} * 0.5 AS y,
+    {_UNIT(3)} * 0.3 + 0.2 AS width, {_UNIT(4)} * 0.3 + 0.2 AS height FROM embeddings, unnest(range(0, len(embedding) // 4)) AS u(k))"""

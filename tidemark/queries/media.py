@@ -13,7 +13,8 @@ from ..shared import shared_dir
 from ..streaming import stateful
 from .base import table
 
-SIDE = 4
+SIDE = 8
+TINT = (997, 991, 983)  #: what a number is multiplied by for each colour of its pixel
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +81,14 @@ def phash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as 4 x 4 frames, twenty to a video."""
+    """Vectors as 8 x 8 frames, a pixel to a number twenty to a video."""
 
     def go(batches):
         import numpy as np
 
         for batch in batches:
             ids = np.asarray(batch.column("vec_id"))
-            raw = [(np.abs(np.resize(np.asarray(e.values, np.float64), SIDE * SIDE * 3)) * 997 % 256).astype(np.uint8).tobytes() for e in batch.column("embedding")]
+            raw = [(np.abs(np.resize(np.asarray(e.values, np.float64), (SIDE * SIDE, 1))) * TINT % 256).astype(np.uint8).tobytes() for e in batch.column("embedding")]
             side = pa.array([SIDE] * len(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(ids // 20), pa.array(ids % 20), side, side, pa.array(raw, pa.binary())], ["video_id", "frame_idx", "width", "height", "pixels"])
 
@@ -96,18 +97,13 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EFFECTS = {
     "fade": {"mode": "in_out", "frames": 5}, "flash": {}, "color_adjust": {"brightness": 0.1, "contrast": 1.2, "saturation": 0.8}, "vignette": {}, "blur_effect": {"mode": "ascending"}, "sharpen": {}, "zoom_effect": {},
-    "punch_in": {}, "ken_burns": {}, "shake": {"amount": 1}, "chromatic_aberration": {"shift": 1}, "glitch": {"amount": 2}, "film_grain": {}, "pixelate": {"size": 2}, "mirror_flip": {}, "kaleidoscope": {}, "crop": {"x": 1, "y": 1, "width": 2, "height": 2}, "resize": {"width": 6, "height": 2},
+    "punch_in": {}, "ken_burns": {}, "shake": {"amount": 1}, "chromatic_aberration": {"shift": 1}, "glitch": {"amount": 2}, "film_grain": {}, "pixelate": {"size": 2}, "mirror_flip": {}, "kaleidoscope": {}, "crop": {"x": 1, "y": 1, "width": 6, "height": 6}, "resize": {"width": 12, "height": 4},
 }
 
 
 def frame_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean colours of all frames after each effect."""
-    out = None
-    source = _frames(spark, sf_dir)
-    for name, params in EFFECTS.items():
-        one = frames.means(frames.apply(source, name, 20, start=2, stop=18, **params)).withColumn("effect", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return frames.means(frames.apply_each(_frames(spark, sf_dir), EFFECTS, 20, 2, 18))
 
 
 def frame_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:

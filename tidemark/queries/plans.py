@@ -153,13 +153,15 @@ def frame_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = boxes(spark, sf_dir).select("shot", "frame_idx", F.struct("x", "y", "width", "height").alias("a"))
-    b = boxes(spark, sf_dir).select((F.col("frame_idx") - 1).alias("frame_idx"), F.struct("x", "y", "width", "height").alias("b"))
-    return a.join(b, "frame_idx").select("frame_idx", F.round(numeric.iou(F.col("a"), F.col("b")), 8).alias("iou"))
+    """Each box against the box of the same number in the next frame."""
+    a = boxes(spark, sf_dir).select("frame_idx", "det_idx", F.struct("x", "y", "width", "height").alias("a"))
+    b = boxes(spark, sf_dir).select((F.col("frame_idx") - 1).alias("frame_idx"), "det_idx", F.struct("x", "y", "width", "height").alias("b"))
+    return a.join(b, ["frame_idx", "det_idx"]).select("frame_idx", "det_idx", F.round(numeric.iou(F.col("a"), F.col("b")), 8).alias("iou"))
 
 
 def select_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = boxes(spark, sf_dir).withColumn("det_idx", F.col("frame_idx"))
+    """A shot's largest and most central box, numbered through its frames."""
+    faces = boxes(spark, sf_dir).withColumn("det_idx", F.col("frame_idx") * 1000 + F.col("det_idx"))
     big, mid = (summaries.select_face(faces, ["shot"], s).select("shot", F.col("det_idx").alias(s)) for s in ("largest", "centered"))
     return big.join(mid, "shot")
 
@@ -244,9 +246,9 @@ ORACLE_SQL = {
         SELECT user_id, event_id, round(score, 8) AS score, start, least("end", start + 10) AS "end" FROM r WHERE n = 1""",
     "frame_budget": """WITH d AS (SELECT doc_id, n_chars / 100.0::DOUBLE AS d FROM documents), b AS (SELECT doc_id, d, least(8, greatest(1, ceil(2 * ln(d / 8 + 1))::INT)) AS low, least(30, greatest(1, ceil(3 * ln(d / 5 + 1))::INT)) AS medium, least(60, greatest(1, ceil(4 * ln(d / 3 + 1))::INT)) AS high FROM d)
         SELECT doc_id, low, medium, high, round(CASE WHEN low = 1 THEN d / 2 ELSE least(greatest(d * 1 / (low + 1), 1e-3), d - 1e-3) END, 6) AS first, round(CASE WHEN low = 1 THEN d / 2 ELSE least(greatest(d * low / (low + 1), 1e-3), d - 1e-3) END, 6) AS last FROM b""",
-    "iou_pairs": f"""WITH {BOXES_SQL}, p AS (SELECT a.frame_idx, greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) AS i, a.width * a.height + b.width * b.height AS u
-        FROM boxes a JOIN boxes b ON b.frame_idx = a.frame_idx + 1) SELECT frame_idx, round(CASE WHEN u - i > 0 THEN i / (u - i) ELSE 0 END, 8) AS iou FROM p""",
-    "select_face": f"""WITH {BOXES_SQL} SELECT shot, arg_min(frame_idx, row(-width * height, frame_idx)) AS largest, arg_min(frame_idx, row((x + width / 2 - 0.5) * (x + width / 2 - 0.5) + (y + height / 2 - 0.5) * (y + height / 2 - 0.5), frame_idx)) AS centered FROM boxes GROUP BY shot""",
+    "iou_pairs": f"""WITH {BOXES_SQL}, p AS (SELECT a.frame_idx, a.det_idx, greatest(0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) AS i, a.width * a.height + b.width * b.height AS u
+        FROM boxes a JOIN boxes b ON b.frame_idx = a.frame_idx + 1 AND b.det_idx = a.det_idx) SELECT frame_idx, det_idx, round(CASE WHEN u - i > 0 THEN i / (u - i) ELSE 0 END, 8) AS iou FROM p""",
+    "select_face": f"""WITH {BOXES_SQL}, f AS (SELECT *, frame_idx * 1000 + det_idx AS d FROM boxes) SELECT shot, arg_min(d, row(-width * height, d)) AS largest, arg_min(d, row((x + width / 2 - 0.5) * (x + width / 2 - 0.5) + (y + height / 2 - 0.5) * (y + height / 2 - 0.5), d)) AS centered FROM f GROUP BY shot""",
     "duck_gain": f"""WITH {spans_sql()}, t AS (SELECT event_id, start - floor(start / 10) * 10 AS t FROM ev), g AS (SELECT *, CASE WHEN t >= 1 AND t < 2.5 THEN 1.0::DOUBLE WHEN t >= 5 AND t < 8 THEN 5.0::DOUBLE END AS a, CASE WHEN t >= 1 AND t < 2.5 THEN 2.0::DOUBLE WHEN t >= 5 AND t < 8 THEN 7.5::DOUBLE END AS b FROM t)
         SELECT event_id, round(CASE WHEN a IS NULL THEN 1 WHEN t < a + 0.2::DOUBLE THEN 1 - 0.8::DOUBLE * (t - a) / 0.2::DOUBLE WHEN t < b THEN 0.2 ELSE 0.2::DOUBLE + 0.8::DOUBLE * (t - b) / 0.5 END, 8) AS gain,
           round(CASE WHEN t / 10 < 0.5 THEN 2 * (t / 10) * (t / 10) ELSE 1 - pow(-2 * (t / 10) + 2, 2) / 2 END, 8) AS eased FROM g""",

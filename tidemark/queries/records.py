@@ -92,10 +92,10 @@ def frames_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confident_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boxes(spark, sf_dir).withColumns({"confidence": F.round(F.col("height") * 2, 6), "label": F.when(F.col("frame_idx") % 3 == 0, "face").otherwise("dog")}).withColumns({"x": F.col("x") * 2 - 0.1, "width": F.col("width") * 2})
+    found = boxes(spark, sf_dir).withColumns({"confidence": F.round(F.col("height") * 2, 6), "label": F.when(F.col("frame_idx") % 3 == 0, "face").otherwise("dog"), "det": F.col("frame_idx") * 1000 + F.col("det_idx")}).withColumns({"x": F.col("x") * 2 - 0.1, "width": F.col("width") * 2})
     kept = records.confident_objects(found, 0.5, ["face"])
-    kept = records.ranked(records.ranked(kept, ["shot"], F.col("confidence"), "frame_idx", "by_confidence"), ["shot"], numeric.area(F.struct("width", "height")), "frame_idx", "by_area")
-    return kept.select("shot", "frame_idx", *[F.round(c, 8).alias(c) for c in ("x", "y", "width", "height")], "by_confidence", "by_area")
+    kept = records.ranked(records.ranked(kept, ["shot"], F.col("confidence"), "det", "by_confidence"), ["shot"], numeric.area(F.struct("width", "height")), "det", "by_area")
+    return kept.select("shot", "frame_idx", "det_idx", *[F.round(c, 8).alias(c) for c in ("x", "y", "width", "height")], "by_confidence", "by_area")
 
 
 def inlined_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +185,11 @@ ORACLE_SQL = {
         SELECT video_id, frame_idx - greatest(0, n - 15) AS frame_idx, vec_id, 'tail' AS part FROM c WHERE frame_idx >= n - 15 AND frame_idx < n - 3 UNION ALL SELECT video_id, frame_idx - 4, vec_id, 'rest' FROM c WHERE frame_idx >= 4""",
     "frame_halves": f"""WITH {_FRAMES}, c AS (SELECT *, count(*) OVER (PARTITION BY video_id) // 2 AS m FROM frames) SELECT video_id, CASE WHEN frame_idx >= m THEN frame_idx - m ELSE frame_idx END AS frame_idx, vec_id, (frame_idx >= m)::INT AS half FROM c""",
     "frames_appended": f"""WITH {_FRAMES} SELECT video_id // 2 AS pair, row_number() OVER (PARTITION BY video_id // 2 ORDER BY vec_id) - 1 AS frame_idx, vec_id FROM frames""",
-    "confident_objects": f"""WITH {BOXES_SQL}, b AS (SELECT shot, frame_idx, round(height * 2, 6) AS c, x * 2 - 0.1 AS x, y, width * 2 AS w, height AS h FROM boxes WHERE frame_idx % 3 = 0),
-        k AS (SELECT shot, frame_idx, c, greatest(0, least(1, x)) AS x, greatest(0, least(1, y)) AS y, least(1, x + w) AS r, least(1, y + h) AS l FROM b WHERE c >= 0.5),
+    "confident_objects": f"""WITH {BOXES_SQL}, b AS (SELECT shot, frame_idx, det_idx, frame_idx * 1000 + det_idx AS d, round(height * 2, 6) AS c, x * 2 - 0.1 AS x, y, width * 2 AS w, height AS h FROM boxes WHERE frame_idx % 3 = 0),
+        k AS (SELECT shot, frame_idx, det_idx, d, c, greatest(0, least(1, x)) AS x, greatest(0, least(1, y)) AS y, least(1, x + w) AS r, least(1, y + h) AS l FROM b WHERE c >= 0.5),
         z AS (SELECT *, greatest(0, r - x) AS width, greatest(0, l - y) AS height FROM k)
-        SELECT shot, frame_idx, round(x, 8) AS x, round(y, 8) AS y, round(width, 8) AS width, round(height, 8) AS height, row_number() OVER (PARTITION BY shot ORDER BY c DESC, frame_idx) AS by_confidence,
-               row_number() OVER (PARTITION BY shot ORDER BY width * height DESC, frame_idx) AS by_area FROM z""",
+        SELECT shot, frame_idx, det_idx, round(x, 8) AS x, round(y, 8) AS y, round(width, 8) AS width, round(height, 8) AS height, row_number() OVER (PARTITION BY shot ORDER BY c DESC, d) AS by_confidence,
+               row_number() OVER (PARTITION BY shot ORDER BY width * height DESC, d) AS by_area FROM z""",
     "inlined_keyframes": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer)
         SELECT c_nationkey, coalesce(string_agg(CASE WHEN i <= 12 THEN c_custkey::VARCHAR END, ',' ORDER BY i), '') AS shown, count(*) FILTER (i > 12) AS rest FROM n GROUP BY c_nationkey""",
     "default_scenes": f"""WITH {spans_sql()}, s AS (SELECT user_id AS video_id, start, "end" FROM ev WHERE label = 'signup')
