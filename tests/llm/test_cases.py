@@ -101,6 +101,47 @@ def test_decontamination(spark, docs, none):
     assert {1, 2, 3} <= {r.doc_id for r in decontaminate.decontaminate(docs, items).collect()}
 
 
+def test_decontamination_keeps_clashing_columns(spark, docs):
+    items = spark.createDataFrame([(1, "nothing of this stands anywhere")], "item_id long, text string")
+    odd = docs.selectExpr("*", "1 as _id", "2 as __id")
+    assert decontaminate.decontaminate(odd, items).columns == odd.columns and decontaminate.decontaminate(odd, items).count() == odd.count()
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Archives without an index: plain, a member a record, all records in one member; long payloads, other types, no headers inside."""
+    import gzip
+
+    long = b"x" * 3_000_000
+    wanted = [("a", "response", b"hello"), ("b", "response", long), ("c", "response", b""), ("d", "revisit", b"hello")]
+    parts = [warc.record(i, kind, f"http://h/{i}", "S", "a" if kind == "revisit" else None, p) for i, kind, p in wanted]
+    if parts[0][:2] == b"\x1f\x8b":
+        parts = [gzip.decompress(p) for p in parts]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Type: application/warc-fields\r\nContent-Length: 9\r\n\r\nsoft: us\n\r\n\r\n"
+    odd = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <o>\r\nContent-Type: application/http\r\nContent-Length: 3\r\n\r\nodd\r\n\r\n"
+    every = [info, *parts, odd]
+    forms = {"p": b"".join(every), "m": b"".join(map(gzip.compress, every)), "o": gzip.compress(b"".join(every))}
+    for name, data in forms.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / ("x.warc" if name == "p" else "x.warc.gz")).write_bytes(data)
+        read = warc.read_archive(spark, str(tmp_path / name))
+        got = {r.record_id: (r.record_type, r.payload_bytes, None if r.payload is None else bytes(r.payload)) for r in read.collect()}
+        assert got["a"] == ("response", 5, b"hello") and got["b"] == ("response", len(long), long) and got["c"] == ("response", 0, b"")
+        assert got["d"] == ("revisit", 5, None) and got["o"] == ("response", 3, b"odd") and got["i"][0] == "warcinfo" and len(got) == 6
+        assert [r.record_id for r in read.filter("record_type = 'revisit'").collect()] == ["d"]
+        assert {r.payload for r in warc.read_archive(spark, str(tmp_path / name), payload=False).collect()} == {None}
+
+
+def test_warc_in_ranges(spark, tmp_path, monkeypatch):
+    """However a file is cut into ranges of bytes, each record is read once."""
+    pages = spark.range(50).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 40) as html").coalesce(2)
+    warc.write_archive(pages, str(tmp_path / "a"))
+    for size in (1, 100, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "SPLIT_BYTES", size)
+        reader = warc.WarcReader(str(tmp_path / "a"), True)
+        found = [i for span in reader.partitions() for batch in reader.read(span) for i in batch.column("record_id").to_pylist()]
+        assert len(found) == len(set(found)) == 50
+
+
 def test_decontamination_in_chunks_and_near(spark, docs, monkeypatch):
     items = spark.createDataFrame([(k, f"word{k} word{k + 1} word{k + 2}") for k in range(5)], "item_id long, text string")
     whole = by(decontaminate.contamination(docs, items, 3), "n_hit", "items_sha256")

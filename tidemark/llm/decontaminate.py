@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, by_batch, only, staged, tokens
+from .common import WORD_TABLE, by_batch, fresh, only, staged, tokens
 
 INDEX = "block string, doc_ids array<long>, ends array<int>, terms array<string>, starts array<int>, positions array<int>"
 FOUND = "block string, slot int, doc_id long, n_words long, begins array<int>, ends array<int>, items array<string>"
@@ -185,16 +185,23 @@ def _ranked(index: DataFrame, benchmark: DataFrame, size: int) -> Iterator[Phras
         yield phrases
 
 
+def _searched(index: DataFrame, benchmark: DataFrame, size: int, run, schema: str) -> list[DataFrame]:
+    """The search for each chunk. Each is written once the next one comes, so neither the driver nor the plan holds more than two chunks."""
+    found, last = [], None
+    for phrases in _ranked(index, benchmark, size):
+        if last is not None:
+            found.append(staged(last, "hits"))
+        last = index.mapInArrow(_blocks(phrases, run), schema)
+    return [*found, index.mapInArrow(_blocks(_nothing(), run), schema) if last is None else last]
+
+
 def find(index: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """A row per indexed document: doc_id, n_words, the runs of hit words (begins, ends) and the ids of the items found."""
-    passes = [index.mapInArrow(_blocks(p, _hits), FOUND) for p in _ranked(index, benchmark, size)]
-    if not passes:
-        passes = [index.mapInArrow(_blocks(_nothing(), _hits), FOUND)]
-    if len(passes) == 1:
-        return passes[0].drop("block", "slot")
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
+    every, *others = _searched(index, benchmark, size, _hits, FOUND)
+    if not others:
+        return every.drop("block", "slot")
+    for more in others:
+        every = every.unionByName(more.filter("size(begins) > 0"))
     runs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))))
     merged = every.groupBy("block", "slot").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), runs.alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
@@ -228,9 +235,9 @@ def near(index: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 20)
         schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("position", pa.int32())])
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)], schema=schema)
 
-    out = index.sparkSession.createDataFrame([], NEAR)
-    for phrases in _ranked(index, benchmark, size):
-        out = out.unionByName(index.mapInArrow(_blocks(phrases, run), NEAR))
+    out, *others = _searched(index, benchmark, size, run, NEAR)
+    for more in others:
+        out = out.unionByName(more)
     return out.distinct()
 
 
@@ -245,8 +252,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents without any hit word, with all columns."""
-    dirty = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["__id"]), "left_anti")
+    name = fresh(docs)
+    dirty = contamination(docs, benchmark, size).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty[name]), "left_anti")
 
 
 def digest(items: list[str]) -> str:

@@ -2,12 +2,14 @@
 
 Writing: each task writes gzip members, one a record, to a file of its own, with
 an index of record offsets beside it; the commit lists the files that count, so
-a retried task's leftovers are never read. Reading: files are planned as
-partitions of whole records by their index (a foreign file without one is one
-partition, read through), equality and IN predicates on the record type and the
+a retried task's leftovers are never read. Reading: files are planned as ranges
+of bytes by their sizes alone, and each task takes the records that begin in its
+range from the file's index. Equality and IN predicates on the record type and the
 header columns are pushed down, each record's headers are parsed from its first
 bytes, and the payload of a record that is filtered out, or that the reader is
-told to leave (option payload=false), is never decompressed.
+told to leave (option payload=false), is never decompressed. A foreign file without
+an index is one partition that streams past: plain or in gzip members of any number
+of records; unwanted payloads are passed over piece by piece.
 
 Files are reached through pyarrow.fs, so a path may be any URI it knows.
 
@@ -20,11 +22,14 @@ table gives an archive without records.
 from __future__ import annotations
 
 import base64
+import gzip
+import io
 import json
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,6 +48,7 @@ ARROW = pa.schema(
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 SPLIT_BYTES = 16 << 20  #: compressed bytes of a partition
 BATCH_BYTES = 8 << 20
+HEAD_BYTES = 2048  #: of a record that are read to find its headers
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -123,10 +129,34 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class Span(InputPartition):
-    """Records of a file from offset to offset, or a whole file where offsets is None."""
+    """Records of a file that begin from byte to byte, or a whole file where there is no index."""
 
-    def __init__(self, path: str | None, offsets: list[int] | None):
-        self.path, self.offsets = path, offsets
+    def __init__(self, path: str | None, first: int | None = None, stop: int | None = None):
+        self.path, self.first, self.stop = path, first, stop
+
+
+def _streamed(f: pa.NativeFile) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
+    """The records of a file without an index: first bytes, and how to get the rest before the next one is asked for."""
+    packed = f.read(2) == b"\x1f\x8b"
+    f.seek(0)
+    flow = gzip.GzipFile(fileobj=f) if packed else io.BufferedReader(f)
+    while line := flow.readline():
+        if not line.strip():
+            continue
+        head = line
+        while (line := flow.readline()) not in (b"\r\n", b""):
+            head += line
+        left = int(_fields(head).get("content-length", 0))
+        body = flow.read(min(left, HEAD_BYTES))
+        state = [left - len(body)]
+
+        def rest(state=state) -> bytes:
+            size, state[0] = state[0], 0
+            return flow.read(size)
+
+        yield head + b"\r\n" + body, rest
+        while state[0] > 0 and (piece := flow.read(min(state[0], 1 << 20))):
+            state[0] -= len(piece)
 
 
 class WarcReader(DataSourceReader):
@@ -143,49 +173,35 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Span]:
         files, root = _opened(self.path)
-        found = {i.base_name for i in files.get_file_info(fs.FileSelector(root))}
+        found = {i.base_name: i for i in files.get_file_info(fs.FileSelector(root))}
         names = sorted(n for n in found if re.search(r"\.warc(\.gz)?$", n))
         if "_files" in found:
             with files.open_input_stream(f"{root}/_files", compression=None) as f:
                 names = sorted(json.loads(f.read()))
         out = []
         for name in names:
-            if f"{name}.idx" not in found:
-                out.append(Span(name, None))
-                continue
-            with files.open_input_stream(f"{root}/{name}.idx", compression=None) as f:
-                offsets = json.loads(f.read())
-            first = 0
-            for i in range(1, len(offsets)):
-                if offsets[i] - offsets[first] >= SPLIT_BYTES or i == len(offsets) - 1:
-                    out.append(Span(name, offsets[first : i + 1]))
-                    first = i
-        return out or [Span(None, None)]
-
-    def _members(self, span: Span) -> Iterator[tuple[bytes, object]]:
+            if f"{name}.idx" in found:
+                ends = range(0, found[name].size, SPLIT_BYTES)
+                out += [Span(name, first, first + SPLIT_BYTES) for first in ends]
+            else:
+                out.append(Span(name))
+        return out or [Span(None)]
+
+    def _members(self, span: Span) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
         """Each record's first bytes, and how to get the rest."""
         files, root = _opened(self.path)
         with files.open_input_file(f"{root}/{span.path}") as f:
-            if span.offsets is None:
-                data = f.read()
-                while data:
-                    if data[:2] == b"\x1f\x8b":
-                        opened = zlib.decompressobj(31)
-                        raw = opened.decompress(data)
-                        data = opened.unused_data
-                        yield raw, lambda: b""
-                    else:
-                        head = data[: data.index(b"\r\n\r\n") + 4]
-                        end = len(head) + int(_fields(head)["content-length"]) + 4
-                        raw, data = data[:end], data[end:]
-                        yield raw, lambda: b""
+            if span.first is None:
+                yield from _streamed(f)
                 return
-            for s, e in zip(span.offsets[:-1], span.offsets[1:]):
-                f.seek(s)
-                packed, opened = f.read(e - s), zlib.decompressobj(31)
-                head = opened.decompress(packed, 2048)
+            with files.open_input_stream(f"{root}/{span.path}.idx", compression=None) as index:
+                offsets = json.loads(index.read())
+            for k in range(bisect_left(offsets, span.first), min(bisect_left(offsets, span.stop), len(offsets) - 1)):
+                f.seek(offsets[k])
+                packed, opened = f.read(offsets[k + 1] - offsets[k]), zlib.decompressobj(31)
+                head = opened.decompress(packed, HEAD_BYTES)
                 while b"\r\n\r\n" not in head and opened.unconsumed_tail:
-                    head += opened.decompress(opened.unconsumed_tail, 2048)
+                    head += opened.decompress(opened.unconsumed_tail, HEAD_BYTES)
                 yield head, lambda opened=opened: opened.decompress(opened.unconsumed_tail)
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
@@ -200,9 +216,10 @@ class WarcReader(DataSourceReader):
             body = raw[cut + 4 :]
             if self.payload or b"\r\n\r\n" not in body:
                 body += rest()
-            end = body.index(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else -4
+            end = body.find(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else -4
+            end = -4 if end < 0 else end
             http = _fields(body[:end]) if end >= 0 else {}
-            size = int(headers["content-length"]) - end - 4
+            size = int(headers.get("content-length", 0)) - end - 4
             payload = body[end + 4 : end + 4 + size] if self.payload and headers.get("warc-type") != "revisit" else None
             row = {c: _value(headers, c) for c in HEADER_OF}
             rows.append(row | {"payload_bytes": int(http.get("content-length", size)), "headers": list(headers.items()), "payload": payload})
