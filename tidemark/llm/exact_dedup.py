@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, only, salts_for, staged
+from .common import ascii_lower, fresh, only, salts_for, staged
 
 
 def _sha256(column) -> F.Column:
@@ -63,9 +63,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows one."""
     groups = duplicate_groups(docs).filter("kept").select("doc_id", "text_sha256")
     kept = staged(groups.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("times")), "exact-kept")
-    rows = docs.withColumn("__digest", _sha256(ascii_lower(F.col("text"))))
-    winners = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest_kept"))
-    rows = rows.join(winners, rows["doc_id"].eqNullSafe(winners["__id"]) & (rows["__digest"] == winners["__digest_kept"]), "left_semi")
+    digest = fresh(docs, "digest")
+    rows = docs.withColumn(digest, _sha256(ascii_lower(F.col("text"))))
+    names = [fresh(rows, "winner"), fresh(rows, "winner_digest")]
+    winners = kept.select(F.col("doc_id").alias(names[0]), F.col("text_sha256").alias(names[1]))
+    rows = rows.join(winners, rows["doc_id"].eqNullSafe(winners[names[0]]) & (rows[digest] == winners[names[1]]), "left_semi")
     if not kept.filter("times > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id", "__digest"])
-    return rows.drop("__digest")
+        rows = rows.dropDuplicates(["doc_id", digest])
+    return rows.drop(digest)
