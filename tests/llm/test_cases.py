@@ -147,6 +147,8 @@ def test_decontamination_in_chunks_and_near(spark, docs, monkeypatch):
     whole = by(decontaminate.contamination(docs, items, 3), "n_hit", "items_sha256")
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 1)
     assert by(decontaminate.contamination(docs, items, 3), "n_hit", "items_sha256") == whole and whole[6][0] == 7
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 50)
+    assert by(decontaminate.contamination(docs, items, 3), "n_hit", "items_sha256") == whole
     index = decontaminate.build_index(docs)
     far = spark.createDataFrame([(1, "word30 word10 word20"), (2, "word1 word900")], "item_id long, text string")
     assert {(r.doc_id, r.item) for r in decontaminate.near(index, far, 3, slop=25).collect()} == {(6, "1"), (7, "1")}

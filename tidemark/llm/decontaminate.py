@@ -29,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, by_batch, fresh, only, staged, tokens
+from .common import WORD_TABLE, fresh, only, staged, tokens
 
 INDEX = "block string, doc_ids array<long>, ends array<int>, terms array<string>, starts array<int>, positions array<int>"
 FOUND = "block string, slot int, doc_id long, n_words long, begins array<int>, ends array<int>, items array<string>"
 NEAR = "doc_id long, item string, position int"
+BLOCK_BYTES = 8 << 20  #: text of a block of documents
 CHUNK_BYTES = 4 << 20  #: text of test items that one pass over the index carries to the tasks
 
 
@@ -52,9 +53,21 @@ def _index(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(one)
 
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block for each BLOCK_BYTES of text, a longer document alone, so that a task's memory grows with neither batches nor texts of many rows."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)).astype(np.int64))
+        s = 0
+        while s < batch.num_rows:
+            full = int(np.searchsorted(size, BLOCK_BYTES + (size[s - 1] if s else 0), "right"))
+            e = max(s + 1, full)
+            yield _index(batch.slice(s, e - s))
+            s = e
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of docs (doc_id, text), as a written table."""
-    return staged(only(docs, "doc_id", "text").mapInArrow(by_batch(_index), INDEX), "positions")
+    return staged(only(docs, "doc_id", "text").mapInArrow(_indexed, INDEX), "positions")
 
 
 class Phrases:
