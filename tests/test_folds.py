@@ -60,3 +60,33 @@ def test_followed_and_distinct(spark):
 def test_vocabulary_within_a_budget(spark):
     df = spark.createDataFrame([("aa", 1), ("AA", 2), ("bbb", 3), ("c", 4)], "t string, p long")
     assert sorted(r.term for r in transcript.vocabulary(df, "t", "p", 8).collect()) == ["aa", "bbb"]
+
+
+def test_crop_track_moves_in_a_straight_line_and_stays_inside(spark):
+    rows = [(1, n, 100, 50, *face) for n, face in enumerate([(None, None), (None, None), (0.9, 0.5), (None, None), (0.9, 0.9), (0.1, 0.5)])]
+    df = spark.createDataFrame(rows, "k int, n int, frame_w int, frame_h int, cx double, cy double")
+    track = folds.crop_track(df, ["k"], "n", (1, 2), 0.0, 1, 0.5, "center", 0.0).orderBy("n").collect()
+    assert {(r.crop_width, r.crop_height) for r in track} == {(24, 50)}
+    # 24 x 50 of 100 x 50: centred until a face is seen, then half a frame a step at most, along the line, and inside
+    assert [(r.crop_x, r.crop_y) for r in track] == [(38, 0), (38, 0), (76, 0), (76, 0), (76, 0), (33, 0)]
+    centre = folds.crop_track(df, ["k"], "n", (1, 2), 0.0, 1, 0.5, "center", 0.0, "center").orderBy("n").collect()
+    assert centre[3].crop_x == 38
+    held = folds.crop_track(df, ["k"], "n", (1, 2), 0.0, 2, None, "center", 0.0).orderBy("n").collect()
+    assert [r.crop_x for r in held] == [38, 38, 76, 76, 76, 76]
+    assert folds.crop_track(df, ["k"], "n", (16, 9)).first().crop_height == 50
+
+
+def test_tracks_of_pieces_equal_tracks_of_whole_shots(spark):
+    import random
+
+    rng, rows, looked = random.Random(3), [], []
+    for frame in range(120):
+        looked.append((1, frame))
+        if frame % 30 < 20 and rng.random() < 0.6:
+            rows += [(1, frame, d, 0.15 * d + rng.random() * 0.15, rng.random() * 0.1, 0.3, 0.3) for d in range(rng.randint(1, 3))]
+    df = spark.createDataFrame(rows, "shot int, frame_idx long, det_idx long, x double, y double, width double, height double")
+    frames = spark.createDataFrame(looked, "shot int, frame_idx long")
+    got = {(r.frame_idx, r.det_idx): r.track_id for r in folds.tracks(df, ["shot"], 0.3, 2, frames).collect()}
+    whole = frames.join(df, ["shot", "frame_idx"], "left").toPandas()
+    wanted = folds._tracks(0.3, 2, ["shot"])(whole)
+    assert got == {(r.frame_idx, r.det_idx): r.track_id for r in wanted.itertuples()}

@@ -103,12 +103,17 @@ def sample_times(start: Column, end: Column, count: Column) -> Column:
 
 
 def duck_gain(t: Column, windows: Column, amount: float, attack: float, release: float) -> Column:
-    """Gain at time t under ducking windows (array of start, end): down over the attack, held, up over the release; the first that applies counts."""
+    """Gain at time t under ducking windows (array of start, end): down over the attack, held, up over the release.
+
+    The first window that t lies in counts, and in it the first of the three, so an attack
+    that is longer than its window runs on past its end.
+    """
     floor = 1 - amount
-    down = lambda x: 1 - amount * (t - x["start"]) / attack if attack else F.lit(floor)
-    inside = F.filter(windows, lambda x: (t >= x["start"]) & (t < x["end"] + release))
+    inside = F.filter(windows, lambda x: (t >= x["start"]) & ((t <= x["start"] + attack) | (t <= x["end"] + release)))
     x = F.try_element_at(inside, F.lit(1))
-    gain = F.when(t < F.least(x["start"] + attack, x["end"]), down(x)).when(t < x["end"], F.lit(floor)).otherwise(floor + amount * (t - x["end"]) / (release or math.inf))
+    down = 1 - amount * (t - x["start"]) / attack if attack else F.lit(floor)
+    up = floor + amount * (t - x["end"]) / (release or math.inf)
+    gain = F.when(t <= x["start"] + attack, down).when(t <= x["end"], F.lit(floor)).otherwise(up)
     return F.when(x.isNull(), F.lit(1.0)).otherwise(gain)
 
 

@@ -177,6 +177,56 @@ def followed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], target:
     return fold(rows.withColumn(target, F.col(target).cast("double")), keys, order, [target], step, name, "double").drop(target)
 
 
+#: What is taken off the vertical centre of a face by each rule of framing, from the rule's own argument.
+FRAMINGS = {"offset": lambda x: x, "center": lambda x: 0.0, "headroom": lambda x: -x, "thirds": lambda x: 0.5 - 1 / 3, "dynamic": lambda x: -x}
+
+
+def crop_track(
+    frames: DataFrame, keys: Sequence[str], order: str, ratio: tuple[int, int] = (9, 16), smoothing: float = 0.8, every: int = 3, most: float | None = None,
+    framing: str = "headroom", shift: float = 0.15, fallback: str = "last_position",
+) -> DataFrame:
+    """Adds crop_x, crop_y, crop_width, crop_height: a window of fixed size that follows the face of each frame.
+
+    frames: keys, order (frames counted from 0), frame_w, frame_h and the chosen face's
+    centre and size, cx, cy, fw, fh (shares of the frame, null without a face). Only every
+    `every`-th frame is looked at; between, the last smoothed place holds. The place moves
+    by the framing, at most `most` a frame along the straight line to its target, and the
+    window stays inside the frame. A frame without a face seen so far shows the centre;
+    one looked at in vain the last window (last_position) or the centre.
+    """
+    if framing not in FRAMINGS:
+        raise ValueError(f"unknown framing {framing!r}")
+    aspect, dy = ratio[0] / ratio[1], FRAMINGS[framing](shift)
+
+    def even(v: float) -> int:
+        return max(2, int(v) - int(v) % 2)
+
+    def step(state: tuple | None, n: int, w: int, h: int, cx: float | None, cy: float | None) -> tuple:
+        wide = aspect < w / h
+        out_h = even(h) if wide else even(int(even(w) / aspect))
+        out_w = even(int(even(h) * aspect)) if wide else even(w)
+        middle = ((w - out_w) // 2, (h - out_h) // 2)
+        smooth, place, last, found = state or (None, (0.5, 0.5), middle, False)
+        if n % every == 0:
+            found = cx is not None and cy is not None
+            if found:
+                smooth = (cx, cy) if smooth is None else tuple(smoothing * s + (1 - smoothing) * v for s, v in zip(smooth, (cx, cy), strict=True))
+        if found:
+            goal = smooth[0], smooth[1] + dy
+            dx, dv = goal[0] - place[0], goal[1] - place[1]
+            far = (dx * dx + dv * dv) ** 0.5
+            place = goal if most is None or far <= most else (place[0] + dx * most / far, place[1] + dv * most / far)
+            last = tuple(max(0, min(int(p * full - own / 2), full - own)) for p, full, own in zip(place, (w, h), (out_w, out_h), strict=True))
+            shown = last
+        else:
+            shown = last if fallback == "last_position" else middle
+        return (smooth, place, last, found), {"x": shown[0], "y": shown[1], "w": out_w, "h": out_h}
+
+    counted = frames.withColumn("__n", F.col(order).cast("long"))
+    found = fold(counted, keys, [order], ["__n", "frame_w", "frame_h", "cx", "cy"], step, "__crop", "struct<x:long,y:long,w:long,h:long>")
+    return found.select(*[c for c in found.columns if c not in ("__crop", "__n")], *[F.col(f"__crop.{s}").alias(f"crop_{n}") for s, n in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))])
+
+
 def distinct_hashes(rows: DataFrame, keys: Sequence[str], order: str, code: str, most: int) -> DataFrame:
     """Rows whose 64-bit code differs in more than `most` bits from every row kept before them; a row without a code stays."""
 
@@ -194,36 +244,41 @@ def distinct_hashes(rows: DataFrame, keys: Sequence[str], order: str, code: str,
     return fold(rows, keys, [order], [code], step, "__kept", "boolean").filter("__kept").drop("__kept")
 
 
+def next_frame(open_: list[tuple], boxes: np.ndarray, number: int, least: float, missed: int) -> tuple[list[tuple], list[int], int]:
+    """Open tracks (id, misses, box) after a frame, the track of each of its boxes (x, y, width, height), and the highest number.
+
+    Tracks, oldest first, take the best free box that overlaps theirs by more than `least`;
+    what is left opens tracks; a track that has missed more than `missed` frames is closed.
+    """
+    got, held = [0] * len(boxes), []
+    free = np.ones(len(boxes), bool)
+    for ident, misses, box in open_:
+        best = -1
+        if free.any():
+            low, high = np.maximum(boxes[:, :2], box[:2]), np.minimum(boxes[:, :2] + boxes[:, 2:], np.add(box[:2], box[2:]))
+            shared = np.prod(np.maximum(high - low, 0), axis=1)
+            union = box[2] * box[3] + boxes[:, 2] * boxes[:, 3] - shared
+            score = np.where(free & (union > 0), shared / np.where(union > 0, union, 1), -1.0)
+            best = int(score.argmax()) if score.max() > least else -1
+        if best >= 0:
+            free[best], got[best] = False, ident
+            held.append((ident, 0, tuple(boxes[best])))
+        elif misses < missed:
+            held.append((ident, misses + 1, box))
+    for k in np.flatnonzero(free).tolist():
+        number += 1
+        got[k] = number
+        held.append((number, 0, tuple(boxes[k])))
+    return held, got, number
+
+
 def _tracks(least: float, missed: int, keys: Sequence[str]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["frame_idx", "det_idx"])
-        open_: list[dict] = []
-        out, n = [], 0
-        for frame, dets in rows.groupby("frame_idx", sort=True):
+        open_, number, out = [], 0, []
+        for frame, dets in rows.sort_values(["frame_idx", "det_idx"]).groupby("frame_idx", sort=True):
             dets = dets[dets["det_idx"].notna()]
-            boxes = dets[["x", "y", "width", "height"]].to_numpy()
-            idle = list(range(len(boxes)))
-            for track in open_:
-                best, score = None, least
-                for k in idle:
-                    a, b = track["box"], boxes[k]
-                    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-                    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-                    shared = max(w, 0) * max(h, 0)
-                    union = a[2] * a[3] + b[2] * b[3] - shared
-                    if union > 0 and shared / union > score:
-                        best, score = k, shared / union
-                if best is None:
-                    track["missed"] += 1
-                else:
-                    idle.remove(best)
-                    track.update(box=boxes[best], missed=0)
-                    out.append((frame, int(dets["det_idx"].iloc[best]), track["id"]))
-            open_ = [t for t in open_ if t["missed"] <= missed]
-            for k in idle:
-                n += 1
-                open_.append({"id": n, "box": boxes[k], "missed": 0})
-                out.append((frame, int(dets["det_idx"].iloc[k]), n))
+            open_, got, number = next_frame(open_, dets[["x", "y", "width", "height"]].to_numpy(float), number, least, missed)
+            out += [(frame, int(d), t) for d, t in zip(dets["det_idx"], got, strict=True)]
         found = pd.DataFrame(out, columns=["frame_idx", "det_idx", "track_id"])
         for k in keys:
             found[k] = rows[k].iloc[0]
@@ -237,11 +292,43 @@ def tracks(detections: DataFrame, keys: Sequence[str], least: float = 0.3, misse
 
     A track is closed once it has missed more than `missed` frames in a row. sampled: the
     frames that were looked at (keys, frame_idx), those without detections among
-    them; without it, the frames with detections.
+    them; without it, the frames with detections. A shot is cut where more than `missed`
+    frames have no detections, since every track is closed there: its pieces are tracked
+    by different tasks, and the numbers of a piece's tracks go on from the pieces before.
     """
     kinds = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys)
-    looked = detections if sampled is None else sampled.select(*keys, "frame_idx").distinct().join(detections, [*keys, "frame_idx"], "left")
-    return looked.groupBy(*keys).applyInPandas(_tracks(least, missed, keys), f"{kinds}, frame_idx long, det_idx long, track_id long")
+    if sampled is None:
+        return detections.groupBy(*keys).applyInPandas(_tracks(least, missed, keys), f"{kinds}, frame_idx long, det_idx long, track_id long")
+    there = detections.select(*keys, "frame_idx").distinct().withColumn("__seen", F.lit(True))
+    in_order = Window.partitionBy(*keys).orderBy("frame_idx")
+    frames = sampled.select(*keys, "frame_idx").distinct().join(there, [*keys, "frame_idx"], "left").withColumn("__k", F.row_number().over(in_order))
+    # frames with detections, and how many without lie before each
+    seen = frames.filter("__seen").withColumn("__gap", F.col("__k") - F.lag("__k").over(in_order) - 1)
+    pieces = seen.withColumn("__piece", F.sum(F.when(F.col("__gap") > missed, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    looked = pieces.select(*keys, "frame_idx", "__k", "__piece").join(detections, [*keys, "frame_idx"])
+    # frames without detections count as misses, which a frame's place among those looked at tells
+    found = looked.groupBy(*keys, "__piece").applyInPandas(_piece_tracks(least, missed, keys), f"{kinds}, __piece long, frame_idx long, det_idx long, track_id long")
+    found = kept(found)
+    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    base = found.groupBy(*keys, "__piece").agg(F.max("track_id").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return found.join(base.drop("__n"), [*keys, "__piece"]).select(*keys, "frame_idx", "det_idx", (F.col("track_id") + F.col("__base")).alias("track_id"))
+
+
+def _piece_tracks(least: float, missed: int, keys: Sequence[str]):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        open_, number, out, last = [], 0, [], None
+        for (place, frame), dets in rows.sort_values(["__k", "det_idx"]).groupby(["__k", "frame_idx"], sort=True):
+            skipped = 0 if last is None else int(place) - last - 1
+            open_ = [(i, n + skipped, b) for i, n, b in open_ if n + skipped <= missed]
+            open_, got, number = next_frame(open_, dets[["x", "y", "width", "height"]].to_numpy(float), number, least, missed)
+            out += [(frame, int(d), t) for d, t in zip(dets["det_idx"], got, strict=True)]
+            last = int(place)
+        found = pd.DataFrame(out, columns=["frame_idx", "det_idx", "track_id"])
+        for k in [*keys, "__piece"]:
+            found[k] = rows[k].iloc[0]
+        return found[[*keys, "__piece", "frame_idx", "det_idx", "track_id"]]
+
+    return run
 
 
 def hard_cut_groups(segments: DataFrame, keys: Sequence[str], order: str, has_transition: str) -> DataFrame:

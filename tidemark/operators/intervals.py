@@ -104,19 +104,25 @@ def sliced(rows: DataFrame, start: float, end: float) -> DataFrame:
     return touching.withColumns({"start": F.col("start") - start, "end": F.col("end") - start})
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float) -> DataFrame:
-    """Pairs of rows of the same keys whose intervals overlap: l.* and r.* as structs, and the overlap in seconds.
+def touching(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float) -> DataFrame:
+    """Pairs of rows of the same keys with l.end > r.start and l.start < r.end, l.* and r.* as structs. An empty interval touches what it lies within.
 
     Each interval goes to the buckets that it touches; a pair counts in the first bucket that both touch.
     """
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         low, high = F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)
-        return df.filter("end > start").select(*keys, F.struct(*df.columns).alias(name), low.alias(f"{name}_low"), F.explode(F.sequence(low, high)).alias("__bucket"))
+        return df.filter("end >= start").select(*keys, F.struct(*df.columns).alias(name), low.alias(f"{name}_low"), F.explode(F.sequence(low, high)).alias("__bucket"))
 
     pairs = spread(left, "l").join(spread(right, "r"), [*keys, "__bucket"]).filter(F.col("__bucket") == F.greatest("l_low", "r_low"))
+    return pairs.filter((F.col("l.end") > F.col("r.start")) & (F.col("l.start") < F.col("r.end"))).select("l", "r")
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket: float) -> DataFrame:
+    """Pairs of rows of the same keys whose intervals overlap: l.* and r.* as structs, and the overlap in seconds."""
     shared = F.least("l.end", "r.end") - F.greatest("l.start", "r.start")
-    return pairs.select("l", "r", shared.alias("overlap")).filter("overlap > 0")
+    pairs = touching(left.filter("end > start"), right.filter("end > start"), keys, bucket)
+    return pairs.withColumn("overlap", shared).filter("overlap > 0")
 
 
 def attach_by_overlap(targets: DataFrame, sources: DataFrame, keys: Sequence[str], ident: str, order: str, columns: Sequence[str], bucket: float = 3600.0) -> DataFrame:

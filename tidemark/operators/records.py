@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
 
-def segment_context(words: DataFrame, segments: DataFrame, source: str = "source") -> DataFrame:
+
+def segment_context(words: DataFrame, segments: DataFrame, source: str = "source", bucket: float = 600.0) -> DataFrame:
     """Each segment's words in its own time: those of its source that overlap it, shifted by its start. Segments without any have no rows.
 
     words: source, start, end and others; segments: plan_id, seq, source, first, last.
     """
-    inside = words.join(segments, source).filter((F.col("end") > F.col("first")) & (F.col("start") < F.col("last")))
-    return inside.withColumns({"start": F.col("start") - F.col("first"), "end": F.col("end") - F.col("first")}).drop("first", "last")
+    spans = segments.withColumnsRenamed({"first": "start", "last": "end"})
+    pairs = intervals.touching(words, spans, [source], bucket)
+    shifted = {c: (F.col(f"l.{c}") - F.col("r.start")).alias(c) for c in ("start", "end")}
+    kept = [shifted.get(c, F.col(f"l.{c}")) for c in words.columns]
+    return pairs.select(*kept, *[F.col(f"r.{c}") for c in segments.columns if c not in (source, "first", "last")])
 
 
 def missing_context(segments: DataFrame, needs: DataFrame, context: DataFrame) -> DataFrame:
@@ -89,15 +94,18 @@ def default_scenes(scenes: DataFrame, media: DataFrame, key: str) -> DataFrame:
     return scenes.select(key, "start", "end").unionByName(none.select(key, F.lit(0.0).alias("start"), F.col("total_seconds").alias("end")))
 
 
-def kept_frames(frames: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+def kept_frames(frames: DataFrame, windows: DataFrame, keys: Sequence[str], bucket: int = 1024) -> DataFrame:
     """The frames inside a keep-window (keys, first, stop; disjoint), renumbered without gaps: keys, frame_idx, src_idx.
 
     A frame's new number is its own less what lies in the gaps before its window, so no frame meets another.
     """
     w = Window.partitionBy(*keys).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
     shifted = windows.withColumn("base", F.coalesce(F.sum(F.col("stop") - F.col("first")).over(w), F.lit(0)))
-    inside = frames.join(shifted, [*keys]).filter((F.col("frame_idx") >= F.col("first")) & (F.col("frame_idx") < F.col("stop")))
-    return inside.select(*keys, (F.col("base") + F.col("frame_idx") - F.col("first")).alias("frame_idx"), F.col("frame_idx").alias("src_idx"))
+    points = frames.select(*keys, "frame_idx", F.col("frame_idx").alias("start"), (F.col("frame_idx") + 1).alias("end"))
+    spans = shifted.select(*keys, "base", F.col("first").alias("start"), F.col("stop").alias("end"))
+    inside = intervals.touching(points, spans, keys, bucket)
+    number = F.col("r.base") + F.col("l.frame_idx") - F.col("r.start")
+    return inside.select(*[F.col(f"l.{k}").alias(k) for k in keys], number.alias("frame_idx"), F.col("l.frame_idx").alias("src_idx"))
 
 
 def sliding_chunks(rows: DataFrame, total: Column, size: int, hop: int) -> DataFrame:

@@ -124,11 +124,13 @@ def srt_documents(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def parse_srt(documents: DataFrame, keys: Sequence[str], srt: str = "srt") -> DataFrame:
-    """Segments of SRT documents: blocks of three lines or more, text lines joined by a newline."""
+    """Segments of SRT documents: blocks of three lines or more whose second one has an arrow, text lines joined by a newline, however many."""
     blocks = documents.select(*keys, F.posexplode(F.split(F.regexp_replace(F.regexp_replace(srt, "\r", ""), r"^\s+|\s+$", ""), r"\n\s*\n")).alias("n", "__block"))
     rows = blocks.withColumn("__lines", F.split("__block", "\n")).filter(F.size("__lines") >= 3)
-    time = F.split(F.element_at("__lines", 2), " --> ")
-    return rows.select(*keys, "n", T.parse_srt_time(time[0]).alias("start"), T.parse_srt_time(time[1]).alias("end"), F.array_join(F.slice("__lines", 3, 100000), "\n").alias("text"))
+    time = F.split(F.element_at("__lines", 2), r"\s*-->\s*")
+    text = F.array_join(F.slice("__lines", F.lit(3), F.size("__lines") - 2), "\n")
+    timed = rows.filter(F.size(time) == 2)
+    return timed.select(*keys, "n", *[T.parse_srt_time(F.trim(F.get(time, F.lit(k)))).alias(c) for k, c in enumerate(("start", "end"))], text.alias("text"))
 
 
 def ass_events(tiled: DataFrame, words: DataFrame, keys: Sequence[str], style: str = "Default", color: str = "&H50AF4C&") -> DataFrame:

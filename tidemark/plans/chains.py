@@ -334,9 +334,9 @@ def _with_words(seg: DataFrame, words: DataFrame | None) -> DataFrame:
     seg = seg.join(told, "source", "left").withColumn("told", F.coalesce("told", F.lit(False)))
     asking = seg.filter(F.exists(_ops(F.col("s.operations")), lambda x: _is(x, "requires")) & F.col("told") & (F.col("s.end") > F.col("s.start")))
     asking = asking.select("plan_id", "seq", "source", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    touched = intervals.overlaps(asking, words.select("source", "start", "end"), ["source"], 600.0)
-    shifted = F.struct((F.col("r.start") - F.col("l.start")).alias("start"), (F.col("r.end") - F.col("l.start")).alias("end"))
-    touched = touched.groupBy(F.col("l.plan_id").alias("plan_id"), F.col("l.seq").alias("seq")).agg(F.sort_array(F.collect_list(shifted)).alias("words"))
+    touched = intervals.touching(words.select("source", "start", "end"), asking, ["source"], 600.0)
+    shifted = F.struct((F.col("l.start") - F.col("r.start")).alias("start"), (F.col("l.end") - F.col("r.start")).alias("end"))
+    touched = touched.groupBy(F.col("r.plan_id").alias("plan_id"), F.col("r.seq").alias("seq")).agg(F.sort_array(F.collect_list(shifted)).alias("words"))
     return seg.join(touched, ["plan_id", "seq"], "left")
 
 

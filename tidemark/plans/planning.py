@@ -77,16 +77,34 @@ def bounds_errors(segments: DataFrame) -> DataFrame:
     return _listed(segments, own + window).drop("rule")
 
 
-def repaired(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Segments with start, end and window clamped to the source, and a row (plan_id, seq, field, old, new) for each change."""
-    total = F.col("total_seconds")
-    new = {"start": F.greatest(F.lit(0.0), F.least(F.col("start"), total)), "end": F.least(F.col("end"), total)}
+def repaired(segments: DataFrame, clamp_end: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Segments with what has one obvious repair repaired, and a row (plan_id, seq, location, field, old, new, code) for each change.
+
+    A negative start becomes 0 and a window is clamped to the segment's length. An end past
+    the source is clamped only with clamp_end, since that changes what is shown; without it
+    such a segment stays as it is. Within EPS of a limit nothing changes.
+    """
+    start, end, total = F.col("start"), F.col("end"), F.col("total_seconds")
+    beyond = end > total + EPS
+    new_end = F.when(F.lit(clamp_end) & beyond, F.round(total, 4)).otherwise(end)
+    new = {"start": F.when(start < 0, F.lit(0.0)).otherwise(start), "end": new_end}
+    codes = {"start": F.lit("segment_negative"), "end": F.lit("segment_end_exceeds_source")}
     if "window_start" in segments.columns:
         length = new["end"] - new["start"]
-        new |= {"window_start": F.greatest(F.lit(0.0), F.least(F.col("window_start"), length)), "window_stop": F.least(F.col("window_stop"), length)}
+        known = (length > 0) & (new["end"] <= total + EPS)
+        for c in ("window_start", "window_stop"):
+            v = F.col(c)
+            new[c] = F.when(known & (v < 0), F.lit(0.0)).when(known & (v > length + EPS), length).otherwise(v)
+            codes[c] = F.when(v < 0, "window_negative").otherwise("effect_window_exceeds_duration")
     both = segments.withColumns({f"__new_{c}": e for c, e in new.items()})
-    change = [F.when(~F.col(c).eqNullSafe(F.col(f"__new_{c}")), F.struct(F.lit(c).alias("field"), F.col(c).alias("old"), F.col(f"__new_{c}").alias("new"))) for c in new]
-    log = both.select("plan_id", "seq", F.explode(F.array_compact(F.array(*change))).alias("x")).select("plan_id", "seq", "x.*")
+    place = F.concat(F.lit("segments["), (F.col("seq") - 1).cast("string"), F.lit("]"))
+
+    def change(c: str) -> Column:
+        named = (place if c in ("start", "end") else F.concat(place, F.lit(".operations[0]"))), F.lit(c.replace("_", ".")), F.col(c), F.col(f"__new_{c}"), codes[c]
+        row = F.struct(*[v.alias(n) for n, v in zip(("location", "field", "old", "new", "code"), named, strict=True)])
+        return F.when(~F.col(c).eqNullSafe(F.col(f"__new_{c}")), row)
+
+    log = both.select("plan_id", "seq", F.explode(F.array_compact(F.array(*map(change, new)))).alias("x")).select("plan_id", "seq", "x.*")
     return both.withColumns({c: F.col(f"__new_{c}") for c in new}).drop(*[f"__new_{c}" for c in new]), log
 
 
@@ -211,10 +229,11 @@ def predicted(meta: DataFrame, op: str, **args) -> DataFrame:
         inside = F.lit(args["timestamp"]).between(F.lit(0), seconds)
         out["frame_count"] = F.when(inside, n if args.get("position") == "replace" else n + held)
     elif op == "aspect_crop":
-        num, den = args["ratio"]
-        wide = w * den >= h * num
-        even = lambda v: F.greatest(F.lit(2), (F.floor(v / 2) * 2).cast("int"))
-        out["width"], out["height"] = F.when(wide, even(h * num / den)).otherwise(w), F.when(wide, h).otherwise(even(w * den / num))
+        # the largest box of that shape, both sides even
+        ratio = args["ratio"][0] / args["ratio"][1]
+        even = lambda v: F.greatest(F.lit(2), (F.floor(v.cast("int") / 2) * 2).cast("int"))
+        wide, tall, broad = F.lit(ratio) < w / h, even(h), even(w)
+        out["width"], out["height"] = F.when(wide, even(tall * ratio)).otherwise(broad), F.when(wide, tall).otherwise(even(broad / ratio))
     else:
         raise ValueError(f"unknown operation {op!r}")
     out = {c: e.cast(meta.schema[c].dataType) for c, e in out.items()}

@@ -37,12 +37,12 @@ def bounds_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repair_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.repaired(_segments(spark, sf_dir))[0].select("plan_id", "seq", "start", "end", "window_start", "window_stop")
+    return planning.repaired(_segments(spark, sf_dir), clamp_end=True)[0].select("plan_id", "seq", "start", "end", "window_start", "window_stop")
 
 
 def repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = planning.repaired(_segments(spark, sf_dir))[1]
-    return log.groupBy("field").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum(F.col("new") - F.col("old")), 4).alias("moved"))
+    return log.groupBy("field", "code").agg(F.count(F.lit(1)).alias("changes"), F.round(F.sum(F.col("new") - F.col("old")), 4).alias("moved"))
 
 
 def concat_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,15 +197,19 @@ _NUM = lambda c: f"""CASE WHEN round({c}, 2) = floor(round({c}, 2)) THEN round({
 _E = """e.code AS code, e.location AS location, e.field AS field, e.value AS value, e."limit" AS "limit\""""
 _PICK = lambda rules, source: f"""SELECT plan_id, seq, {_E} FROM (SELECT plan_id, seq, unnest([{rules}]) AS e FROM {source}) WHERE e IS NOT NULL"""
 _STAGE = lambda k, rules: f"SELECT plan_id, seq, {k} AS stage, generate_subscripts([{rules}], 1) AS rule, unnest([{rules}]) AS e FROM f"
-_FIX = f"""{_SEG}, a AS (SELECT *, greatest(0, least(start, total_seconds)) AS s, least("end", total_seconds) AS e FROM seg),
-        fix AS (SELECT *, greatest(0, least(window_start, e - s)) AS ws, least(window_stop, e - s) AS wt FROM a)"""
+_FIX = lambda clamp: f"""{_SEG}, a AS (SELECT *, greatest(start, 0) AS s, CASE WHEN {clamp} AND "end" > total_seconds + 0.001 THEN total_seconds ELSE "end" END AS e FROM seg),
+        k AS (SELECT *, e > s AND e <= total_seconds + 0.001 AS known FROM a),
+        fix AS (SELECT *, CASE WHEN known AND window_start < 0 THEN 0 WHEN known AND window_start > e - s + 0.001 THEN e - s ELSE window_start END AS ws,
+                CASE WHEN known AND window_stop < 0 THEN 0 WHEN known AND window_stop > e - s + 0.001 THEN e - s ELSE window_stop END AS wt FROM k)"""
+_WCODE = lambda c: f"CASE WHEN {c} < 0 THEN 'window_negative' ELSE 'effect_window_exceeds_duration' END"
 _MEDIA = """media AS (SELECT p_partkey AS video_id, (12 + p_size % 3 * 6)::DOUBLE AS fps, p_size % 7 * 50 + 302 AS width, p_size % 5 * 50 + 540 AS height, p_size * 30 AS frame_count FROM part)"""
 
 ORACLE_SQL = {
     "bounds_errors": f"""WITH {_SEG} {_PICK(_OWN + ", " + _WINDOW, "seg")}""",
-    "repair_clamp": f"""WITH {_FIX} SELECT plan_id, seq, s AS start, e AS "end", ws AS window_start, wt AS window_stop FROM fix""",
-    "repair_log": f"""WITH {_FIX}, x AS (SELECT 'start' AS field, start AS o, s AS n FROM fix UNION ALL SELECT 'end', "end", e FROM fix UNION ALL SELECT 'window_start', window_start, ws FROM fix UNION ALL SELECT 'window_stop', window_stop, wt FROM fix)
-        SELECT field, count(*) AS changes, round(sum(n - o), 4) AS moved FROM x WHERE o IS DISTINCT FROM n GROUP BY field""",
+    "repair_clamp": f"""WITH {_FIX("true")} SELECT plan_id, seq, s AS start, e AS "end", ws AS window_start, wt AS window_stop FROM fix""",
+    "repair_log": f"""WITH {_FIX("false")}, x AS (SELECT 'start' AS field, 'segment_negative' AS code, start AS o, s AS n FROM fix
+          UNION ALL SELECT 'window.start', {_WCODE("window_start")}, window_start, ws FROM fix UNION ALL SELECT 'window.stop', {_WCODE("window_stop")}, window_stop, wt FROM fix)
+        SELECT field, code, count(*) AS changes, round(sum(n - o), 4) AS moved FROM x WHERE o IS DISTINCT FROM n GROUP BY field, code""",
     "concat_errors": f"""WITH {_FIRSTS} {_PICK(_CONCAT, "f")}""",
     "transition_errors": f"""WITH {_FIRSTS} {_PICK(_FIRST + ", " + _LONG, "f")}""",
     "plan_errors": f"""WITH {_FIRSTS}, s AS ({" UNION ALL ".join(_STAGE(k, r) for k, r in enumerate((_FIRST, _OWN, _WINDOW, _CONCAT, _LONG)))}), bad AS (SELECT DISTINCT plan_id FROM s WHERE stage = 1 AND e IS NOT NULL),
