@@ -158,13 +158,67 @@ def merge_short(scenes: DataFrame, keys: Sequence[str], least: float) -> DataFra
 
 
 def smoothed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, factor: float, name: str = "smoothed") -> DataFrame:
-    """Exponential smoothing: factor * last + (1 - factor) * value, the first value as it is; a missing value repeats the last."""
+    """Exponential smoothing: factor * last + (1 - factor) * value, the first value as it is; a missing value repeats the last.
 
-    def step(last: float | None, v: float | None) -> tuple:
-        now = v if last is None else last if v is None else factor * last + (1 - factor) * v
-        return now, now
+    Rows are dealt by ranges of their order, so a key may span any number of tasks: what a
+    range does to the value that comes in is factor ** n times it plus a constant, and a
+    pass over these, one row a range and key, tells each range what comes in.
+    """
+    keys, order = list(keys), list(order)
+    items = rows.select(*dict.fromkeys([*keys, *order]), F.col(value).cast("double").alias("__v"))
+    dealt = kept(items.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__range", F.spark_partition_id()))
+
+    def along(last: float | None, v: float | None) -> float | None:
+        return v if last is None else last if v is None else factor * last + (1 - factor) * v
+
+    def effect(state: tuple | None, v: float | None) -> tuple:
+        # the result if nothing comes in, and the factor and constant if something does
+        alone, times, plus = state or (None, 1.0, 0.0)
+        alone = along(alone, v)
+        if v is not None:
+            times, plus = times * factor, plus * factor + (1 - factor) * v
+        return (alone, times, plus), {"alone": alone, "times": times, "plus": plus}
+
+    ends_schema = StructType([*[dealt.schema[k] for k in keys], *StructType.fromDDL("__range int, __effect struct<alone:double,times:double,plus:double>").fields])
+    ends = kept(dealt.mapInArrow(_last_of_range(keys, "__v", effect), ends_schema))
+
+    def came(last: float | None, x: dict) -> tuple:
+        return x["alone"] if last is None else x["times"] * last + x["plus"], last
+
+    told = fold(ends, keys, ["__range"], ["__effect"], came, "__came", "double").drop("__effect")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "__range"]]
+    begun = dealt.alias("a").join(told.alias("b"), same).select("a.*", "b.__came")
+
+    def step(state: tuple | None, v: float | None, first: float | None) -> tuple:
+        now = along(first if state is None else state[0], v)
+        return (now,), now
 
-    return fold(rows.withColumn(value, F.col(value).cast("double")), keys, order, [value], step, name, "double")
+    found = fold(begun, [*keys, "__range"], order, ["__v", "__came"], step, name, "double")
+    return found.withColumnRenamed("__v", value).drop("__range", "__came")
+
+
+def _last_of_range(keys: Sequence[str], value: str, effect: Callable):
+    """The effect of all rows of each key of a range."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, state, last, schema = None, 0, None, None, None
+
+        def row() -> pa.RecordBatch:
+            one = pa.array([last], pa.struct([(c, pa.float64()) for c in ("alone", "times", "plus")]))
+            return pa.RecordBatch.from_arrays([*[pa.array([v], schema.field(k).type) for k, v in zip(keys, key, strict=True)], pa.array([part], pa.int32()), one], [*keys, "__range", "__effect"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *k, number, v in _columns(batch, [*keys, "__range", value]):
+                if tuple(k) != key:
+                    if key is not None:
+                        yield row()
+                    key, part, state = tuple(k), number, None
+                state, last = effect(state, v)
+        if key is not None:
+            yield row()
+
+    return go
 
 
 def followed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], target: str, most: float, name: str = "position") -> DataFrame:

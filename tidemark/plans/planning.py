@@ -7,6 +7,7 @@ op and its arguments. All checks of a plan are collected, never only the first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -225,9 +226,9 @@ def predicted(meta: DataFrame, op: str, **args) -> DataFrame:
         frames = (n / ((a + b) / 2)).cast("int")
         out["frame_count"] = F.when(frames > 0, frames)
     elif op == "freeze_frame":
-        held = F.rint(args.get("duration", 2.0) * fps)
-        inside = F.lit(args["timestamp"]).between(F.lit(0), seconds)
-        out["frame_count"] = F.when(inside, n if args.get("position") == "replace" else n + held)
+        held, first = F.rint(args.get("duration", 2.0) * fps), F.least(F.rint(args["timestamp"] * fps), n - 1)
+        inside = (F.lit(args["timestamp"]) >= 0) & (F.lit(args["timestamp"]) < seconds)
+        out["frame_count"] = F.when(inside, n + held - (F.least(held, n - first) if args.get("position") == "replace" else 0))
     elif op == "aspect_crop":
         # the largest box of that shape, both sides even
         ratio = args["ratio"][0] / args["ratio"][1]
@@ -252,11 +253,53 @@ def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
         rows = meta.select("video_id", "frame_count", "fps", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("frame_idx"))
         return rows.select("video_id", "frame_idx", F.least(n - 1, F.floor(F.col("frame_idx") * fps / args["fps"])).alias("src_idx"))
     if op == "speed_change":
-        rows = meta.select("video_id", "frame_count", F.explode(F.sequence(F.lit(0).cast("long"), (n / args["speed"]).cast("long") - 1)).alias("frame_idx"))
-        return rows.select("video_id", "frame_idx", F.least(n - 1, F.floor(F.col("frame_idx") * args["speed"])).alias("src_idx"))
+        first, last = args["speed"], args.get("end_speed") or args["speed"]
+        size = (n / ((first + last) / 2)).cast("long")
+        rows = meta.filter(size > 0).select("video_id", "frame_count", size.alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("frame_idx"))
+        j = F.col("frame_idx")
+        # frame i is due at a place that grows with i; a slot shows the last frame that is due before the slot's middle
+        if first == last:
+            before = j * first + (0.5 if first > 1 else first / 2)
+        else:
+            # speed grows along the source, so places are a logarithm of i, and i an exponential of the place
+            before = n * first / (last - first) * (F.exp((j + 0.5) * math.log(last / first) / F.col("size")) - 1)
+        return rows.select("video_id", "frame_idx", F.greatest(F.lit(0), F.least(n - 1, F.ceil(F.round(before, 9)) - 1)).alias("src_idx"))
     if op == "freeze_frame":
-        at = F.least(n - 1, F.floor(args["timestamp"] * fps)).cast("long")
+        at = F.least(n - 1, F.rint(args["timestamp"] * fps)).cast("long")
         held = F.rint(args.get("duration", 2.0) * fps).cast("long")
-        rows = meta.select("video_id", at.alias("at"), held.alias("held"), F.explode(F.sequence(F.lit(0).cast("long"), n + held - 1)).alias("frame_idx"))
-        return rows.select("video_id", "frame_idx", F.when(F.col("frame_idx") <= F.col("at"), F.col("frame_idx")).when(F.col("frame_idx") <= F.col("at") + F.col("held"), F.col("at")).otherwise(F.col("frame_idx") - F.col("held")).alias("src_idx"))
+        replaced = F.least(held, n - at) if args.get("position") == "replace" else F.lit(0).cast("long")
+        rows = meta.select("video_id", at.alias("at"), held.alias("held"), replaced.alias("gone"), F.explode(F.sequence(F.lit(0).cast("long"), n + held - replaced - 1)).alias("frame_idx"))
+        j = F.col("frame_idx")
+        # inserted frames stand at the held one, before or after makes no difference; replaced ones go from it on
+        stop = F.col("at") + F.col("held") - F.when(F.col("gone") > 0, 1).otherwise(0)
+        src = F.when(j <= F.col("at"), j).when(j <= stop, F.col("at")).otherwise(j - F.col("held") + F.col("gone"))
+        return rows.select("video_id", "frame_idx", src.alias("src_idx"))
     raise ValueError(f"{op!r} does more than move frames")
+
+
+def timeline_map(segments: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """keys, frame_idx, group, seq_a, idx_a, seq_b, idx_b, weight: what each frame of the assembled timeline shows.
+
+    segments: keys, order, frames, and overlap: by how many frames a segment fades in over
+    the end of the one before (0 for a cut; it counts for nothing on the first). In an
+    overlap frame b is mixed in with the weight k / overlap of its k-th frame; elsewhere b
+    is null. group counts the runs of segments that are joined by cuts. A segment must have
+    at least as many frames as its two overlaps together. Each frame is made by its own
+    segment, so no frame meets another.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.coalesce("overlap", F.lit(0))).cast("long")
+    rows = segments.withColumn("__in", own).withColumns({
+        "__out": F.coalesce(F.lead("__in").over(w), F.lit(0)), "__frames": F.lag("frames").over(w), "__seq": F.lag(order).over(w),
+        "group": F.sum(F.when(F.col("__in") > 0, 1).otherwise(0)).over(upto),
+    })
+    rows = rows.withColumn("__at", F.coalesce(F.sum(F.col("frames") - F.col("__in")).over(before), F.lit(0)) - F.col("__in"))
+    rows = rows.withColumn("__at", F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("__at")))
+    shown = rows.select(*keys, "group", order, "__in", "__frames", "__seq", "__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - F.col("__out") - 1)).alias("k"))
+    fading, k = F.col("k") < F.col("__in"), F.col("k")
+    return shown.select(
+        *keys, (F.col("__at") + k).alias("frame_idx"), "group",
+        F.when(fading, F.col("__seq")).otherwise(F.col(order)).alias("seq_a"), F.when(fading, F.col("__frames") - F.col("__in") + k).otherwise(k).alias("idx_a"),
+        F.when(fading, F.col(order)).alias("seq_b"), F.when(fading, k).alias("idx_b"), F.when(fading, k / F.col("__in")).alias("weight"),
+    )

@@ -106,6 +106,28 @@ def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("op", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("src_idx").alias("src_sum"), F.max("src_idx").alias("src_max"))
 
 
+def frame_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index maps of ramps up and down, of an odd speed, and of a freeze that replaces frames, summed up per video."""
+    meta = _media(spark, sf_dir)
+    jobs = [("up", "speed_change", {"speed": 0.5, "end_speed": 2.0}), ("down", "speed_change", {"speed": 3.0, "end_speed": 1.5}), ("odd", "speed_change", {"speed": 1.7}),
+            ("slow", "speed_change", {"speed": 0.4}), ("replace", "freeze_frame", {"timestamp": 0.8, "duration": 1.5, "position": "replace"})]
+    maps = [planning.index_map(meta, op, **args).withColumn("job", F.lit(job)) for job, op, args in jobs]
+    every = maps[0]
+    for more in maps[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("job", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("src_idx").alias("src_sum"), F.sum(F.col("src_idx") * F.col("frame_idx")).alias("weighted"), F.max("src_idx").alias("src_max"))
+
+
+def timeline_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the frames of each run of each plan's timeline show, summed up, with fades of up to half of the shorter segment."""
+    w = Window.partitionBy("plan_id").orderBy("seq")
+    seg = _segments(spark, sf_dir).select("plan_id", "seq", "frames", "overlap").withColumn("most", F.floor(F.least("frames", F.lag("frames").over(w)) / 2))
+    shown = planning.timeline_map(seg.withColumn("overlap", F.least("overlap", "most")), ["plan_id"], "seq")
+    sums = {"frames": F.count(F.lit(1)), "last": F.max("frame_idx"), "faded": F.count("seq_b"), "weight": F.round(F.sum("weight"), 6)}
+    sums |= {c: F.sum(F.col(c) * (F.col("frame_idx") + 1)) for c in ("seq_a", "idx_a", "seq_b", "idx_b")}
+    return shown.groupBy("plan_id", "group").agg(*[v.alias(c) for c, v in sums.items()])
+
+
 def resolve_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = summaries.resolve(*_catalog(spark, sf_dir), "scene_id")
     return found
@@ -175,7 +197,7 @@ def duck_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bounds_errors, repair_clamp, repair_log, concat_errors, transition_errors, plan_errors, normalize_dimensions, conform_min, assembled_timeline, streamability, predict_cut, frame_index, resolve_plan, unknown_ids, timing_summary, tempo_stages, clip_predictions, voice_sample_top1, frame_budget, iou_pairs, select_face, duck_gain)
+    for f in (bounds_errors, repair_clamp, repair_log, concat_errors, transition_errors, plan_errors, normalize_dimensions, conform_min, assembled_timeline, streamability, predict_cut, frame_index, frame_ramp, timeline_frames, resolve_plan, unknown_ids, timing_summary, tempo_stages, clip_predictions, voice_sample_top1, frame_budget, iou_pairs, select_face, duck_gain)
 }
 
 _ERR = lambda test, code, field, value="NULL::DOUBLE", limit="NULL::DOUBLE", place="": f"""CASE WHEN {test} THEN {{'code': '{code}', 'location': 'segments[' || (seq - 1) || ']{place}', 'field': '{field}', 'value': ({value})::DOUBLE, 'limit': ({limit})::DOUBLE}} END"""
@@ -234,6 +256,21 @@ ORACLE_SQL = {
           UNION ALL SELECT 'resample_fps', video_id, least(frame_count - 1, floor(i * fps / 10.0::DOUBLE))::BIGINT FROM media, unnest(range(0, round_even(frame_count / fps * 10, 0)::BIGINT)) AS u(i)
           UNION ALL SELECT 'speed_change', video_id, least(frame_count - 1, floor(i * 2.0::DOUBLE))::BIGINT FROM media, unnest(range(0, trunc(frame_count / 2.0::DOUBLE)::BIGINT)) AS u(i))
         SELECT op, video_id, count(*) AS frames, sum(src)::BIGINT AS src_sum, max(src) AS src_max FROM m GROUP BY op, video_id""",
+    "frame_ramp": f"""WITH {_MEDIA},
+        j(job, a, b) AS (VALUES ('up', 0.5::DOUBLE, 2.0::DOUBLE), ('down', 3.0::DOUBLE, 1.5::DOUBLE), ('odd', 1.7::DOUBLE, 1.7::DOUBLE), ('slow', 0.4::DOUBLE, 0.4::DOUBLE)),
+        o AS (SELECT job, a, b, video_id, frame_count AS n, trunc(frame_count / ((a + b) / 2))::BIGINT AS m FROM media, j),
+        p AS (SELECT job, video_id, k, n, CASE WHEN a <> b THEN n * a / (b - a) * (exp((k + 0.5::DOUBLE) * ln(b / a) / m) - 1) WHEN a > 1 THEN k * a + 0.5::DOUBLE ELSE k * a + a / 2 END AS x FROM o, unnest(range(0, m)) AS u(k)),
+        z AS (SELECT video_id, frame_count AS n, least(frame_count - 1, round_even(0.8::DOUBLE * fps, 0))::BIGINT AS f, round_even(1.5::DOUBLE * fps, 0)::BIGINT AS held FROM media),
+        e AS (SELECT job, video_id, k, greatest(0, least(n - 1, ceil(round(x, 9)) - 1))::BIGINT AS src FROM p
+          UNION ALL SELECT 'replace', video_id, k, CASE WHEN k < f THEN k WHEN k < f + held THEN f ELSE k - held + least(held, n - f) END FROM z, unnest(range(0, n + held - least(held, n - f))) AS u(k))
+        SELECT job, video_id, count(*) AS frames, sum(src)::BIGINT AS src_sum, sum(src * k)::BIGINT AS weighted, max(src) AS src_max FROM e GROUP BY job, video_id""",
+    "timeline_frames": f"""WITH {_SEG}, l AS (SELECT plan_id, seq, frames, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE least(overlap, least(frames, lag(frames) OVER w) // 2) END AS lap, lag(frames) OVER w AS fb, lag(seq) OVER w AS sb FROM seg WINDOW w AS (PARTITION BY plan_id ORDER BY seq)),
+        p AS (SELECT *, coalesce(lead(lap) OVER w, 0) AS nxt, (sum(frames - lap) OVER w - frames + lap)::BIGINT - lap AS st, (sum(CASE WHEN lap > 0 THEN 1 ELSE 0 END) OVER w)::BIGINT AS grp FROM l WINDOW w AS (PARTITION BY plan_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        q AS (SELECT p.*, k FROM p, unnest(range(0, frames - nxt)) AS u(k)),
+        r AS (SELECT plan_id, st + k AS j, grp, CASE WHEN k < lap THEN sb ELSE seq END AS seq_a, CASE WHEN k < lap THEN fb - lap + k ELSE k END AS idx_a,
+          CASE WHEN k < lap THEN seq END AS seq_b, CASE WHEN k < lap THEN k END AS idx_b, CASE WHEN k < lap THEN k / lap::DOUBLE END AS weight FROM q)
+        SELECT plan_id, grp AS "group", count(*) AS frames, max(j) AS last, count(seq_b) AS faded, round(sum(weight), 6) AS weight, sum(seq_a * (j + 1))::BIGINT AS seq_a,
+          sum(idx_a * (j + 1))::BIGINT AS idx_a, sum(seq_b * (j + 1))::BIGINT AS seq_b, sum(idx_b * (j + 1))::BIGINT AS idx_b FROM r GROUP BY plan_id, grp""",
     "resolve_plan": "SELECT l_orderkey AS plan_id, l_linenumber AS seq, l_orderkey AS scene_id, p_name AS caption, p_size AS duration FROM lineitem JOIN part ON p_partkey = l_orderkey",
     "unknown_ids": "SELECT DISTINCT l_orderkey AS scene_id FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part)",
     "timing_summary": """WITH t AS (SELECT l_returnflag, l_quantity AS o, l_quantity * (1 - l_discount * 4) AS g FROM lineitem), f AS (SELECT *, greatest(0.8::DOUBLE, least(1.3::DOUBLE, CASE WHEN g > 0 THEN o / g ELSE 1 END)) AS f FROM t),
