@@ -1,8 +1,8 @@
-"""Removal of long repeated byte strings by prefix doubling over sampled positions.
+"""Removal of long repeated byte strings by ranks of sampled positions and halving of offsets (in place of prefix doubling).
 
 A byte goes if a string of `length` bytes that covers it also starts anywhere
-else. Ranking every byte's suffix would sort as many rows as there are bytes, so
-the doubling runs on sampled positions that no repeat can miss: in each window of
+else. Prefix doubling would rank every byte's suffix and sort as many rows as there are
+bytes, so only sampled positions that no repeat can miss are ranked: in each window of
 `length` bytes the position whose SEED-byte string has the smallest hash is its
 anchor, a choice that depends on the window's bytes alone, so equal windows have
 anchors at equal places. Successive windows share anchors; a run is all windows
