@@ -82,10 +82,19 @@ def ranked(rows: DataFrame, keys: Sequence[str], by: Column, tie: str, name: str
 
 
 def inlined(rows: DataFrame, keys: Sequence[str], order: str, most: int = 12) -> DataFrame:
-    """Per key, the first `most` ids in order and those left over."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    listed = lambda test: F.array_sort(F.collect_list(F.when(test, F.col(order))))
-    return rows.withColumn("__place", place).groupBy(*keys).agg(listed(F.col("__place") <= most).alias("shown"), listed(F.col("__place") > most).alias("rest"))
+    """Per key, the first `most` ids in order, and how many are left over; left_over() has those as rows."""
+    placed = _placed(rows, keys, order)
+    shown = F.array_sort(F.collect_list(F.when(F.col("__place") <= most, F.col(order))))
+    return placed.groupBy(*keys).agg(shown.alias("shown"), F.count_if(F.col("__place") > most).alias("rest"))
+
+
+def left_over(rows: DataFrame, keys: Sequence[str], order: str, most: int = 12) -> DataFrame:
+    """The rows behind the first `most` of each key."""
+    return _placed(rows, keys, order).filter(F.col("__place") > most).drop("__place")
+
+
+def _placed(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    return rows.withColumn("__place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
 def default_scenes(scenes: DataFrame, media: DataFrame, key: str) -> DataFrame:

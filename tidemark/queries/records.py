@@ -100,7 +100,7 @@ def confident_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inlined_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records.inlined(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey")
-    return rows.select("c_nationkey", F.concat_ws(",", F.transform("shown", lambda x: x.cast("string"))).alias("shown"), F.size("rest").cast("long").alias("rest"))
+    return rows.select("c_nationkey", F.concat_ws(",", F.transform("shown", lambda x: x.cast("string"))).alias("shown"), "rest")
 
 
 def default_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
