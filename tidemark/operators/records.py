@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import intervals
 
 
-def segment_context(words: DataFrame, segments: DataFrame, source: str = "source", bucket: float = 600.0) -> DataFrame:
+def segment_context(words: DataFrame, segments: DataFrame, source: str = "source", bucket: float = intervals.DAY) -> DataFrame:
     """Each segment's words in its own time: those of its source that overlap it, shifted by its start. Segments without any have no rows.
 
-    words: source, start, end and others; segments: plan_id, seq, source, first, last.
+    words: source, start, end and others; segments: plan_id, seq, source, first, last. A
+    segment is a row for each bucket that it touches, so buckets are about as long as
+    segments or longer.
     """
     spans = segments.withColumnsRenamed({"first": "start", "last": "end"})
     pairs = intervals.touching(words, spans, [source], bucket)
