@@ -102,3 +102,10 @@ def test_repair_of_segments(spark):
     ]
     fixed, log = planning.repaired(seg.filter("seq = 2"), clamp_end=True)
     assert [tuple(r)[2:4] for r in fixed.collect()] == [(20.0, 10.0)] and [r.code for r in log.collect()] == ["segment_end_exceeds_source"]
+
+
+def test_few_videos_are_dealt_over_all_tasks(spark):
+    # a file of videos is one task's, though each makes thousands of frames
+    few = media(spark).coalesce(1)
+    for op, args in (("cut", {"start": 0.2, "end": 1.0}), ("resample_fps", {"fps": 5.0}), ("speed_change", {"speed": 0.5}), ("speed_change", {"speed": 0.5, "end_speed": 2.0}), ("freeze_frame", {"timestamp": 0.5})):
+        assert planning.index_map(few, op, **args).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

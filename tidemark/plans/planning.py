@@ -242,9 +242,20 @@ def predicted(meta: DataFrame, op: str, **args) -> DataFrame:
     return changed.withColumn("total_seconds", F.round(F.col("frame_count") / F.col("fps"), 4)) if {"frame_count", "fps"} & out.keys() else changed
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over all shuffle partitions by key, however few bytes they are: a number that is given is not coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
-    """video_id, frame_idx, src_idx: which source frame each frame of the result shows, for operations that only move frames."""
+    """video_id, frame_idx, src_idx: which source frame each frame of the result shows, for operations that only move frames.
+
+    A few bytes of metadata make thousands of frames, so videos are dealt over all tasks
+    by video_id first; a file of them would else be one task's. Sums per video need no
+    further shuffle.
+    """
     n, fps = F.col("frame_count"), F.col("fps")
+    meta = _dealt(meta, "video_id")
     if op == "cut":
         a, b = F.rint(args["start"] * fps).cast("long"), F.least(F.rint(args["end"] * fps).cast("long"), n)
         return meta.select("video_id", F.posexplode(F.sequence(a, b - 1)).alias("frame_idx", "src_idx"))
@@ -263,7 +274,9 @@ def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
         else:
             # speed grows along the source, so places are a logarithm of i, and i an exponential of the place
             before = n * first / (last - first) * (F.exp((j + 0.5) * math.log(last / first) / F.col("size")) - 1)
-        return rows.select("video_id", "frame_idx", F.greatest(F.lit(0), F.least(n - 1, F.ceil(F.round(before, 9)) - 1)).alias("src_idx"))
+        # the last whole number below the place, where up to 5e-10 above a whole number counts as on it (F.round of doubles makes decimals)
+        whole = F.floor(before)
+        return rows.select("video_id", "frame_idx", F.greatest(F.lit(0), F.least(n - 1, F.when(before - whole < 5e-10, whole - 1).otherwise(whole))).alias("src_idx"))
     if op == "freeze_frame":
         at = F.least(n - 1, F.rint(args["timestamp"] * fps)).cast("long")
         held = F.rint(args.get("duration", 2.0) * fps).cast("long")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -101,9 +103,15 @@ def _media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index maps of all parts for a freeze, a resampling and a speed change, summed up per video."""
     meta = _media(spark, sf_dir)
-    maps = [planning.index_map(meta, op, **args).withColumn("op", F.lit(op)) for op, args in (("freeze_frame", {"timestamp": 0.5, "duration": 1.0}), ("resample_fps", {"fps": 10.0}), ("speed_change", {"speed": 2.0}))]
-    every = maps[0].unionByName(maps[1]).unionByName(maps[2])
-    return every.groupBy("op", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("src_idx").alias("src_sum"), F.max("src_idx").alias("src_max"))
+    sums = {"frames": F.count(F.lit(1)), "src_sum": F.sum("src_idx"), "src_max": F.max("src_idx")}
+    jobs = (("freeze_frame", {"timestamp": 0.5, "duration": 1.0}), ("resample_fps", {"fps": 10.0}), ("speed_change", {"speed": 2.0}))
+    return _summed(meta, "op", [(op, op, args) for op, args in jobs], sums)
+
+
+def _summed(meta: DataFrame, name: str, jobs: list[tuple[str, str, dict]], sums: dict[str, Column]) -> DataFrame:
+    """The sums of each job's index map per video: each map is summed up before the next one's rows follow."""
+    each = [planning.index_map(meta, op, **args).groupBy("video_id").agg(*[v.alias(c) for c, v in sums.items()]).select(F.lit(job).alias(name), "video_id", *sums) for job, op, args in jobs]
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def frame_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +119,8 @@ def frame_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = _media(spark, sf_dir)
     jobs = [("up", "speed_change", {"speed": 0.5, "end_speed": 2.0}), ("down", "speed_change", {"speed": 3.0, "end_speed": 1.5}), ("odd", "speed_change", {"speed": 1.7}),
             ("slow", "speed_change", {"speed": 0.4}), ("replace", "freeze_frame", {"timestamp": 0.8, "duration": 1.5, "position": "replace"})]
-    maps = [planning.index_map(meta, op, **args).withColumn("job", F.lit(job)) for job, op, args in jobs]
-    every = maps[0]
-    for more in maps[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("job", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("src_idx").alias("src_sum"), F.sum(F.col("src_idx") * F.col("frame_idx")).alias("weighted"), F.max("src_idx").alias("src_max"))
+    sums = {"frames": F.count(F.lit(1)), "src_sum": F.sum("src_idx"), "weighted": F.sum(F.col("src_idx") * F.col("frame_idx")), "src_max": F.max("src_idx")}
+    return _summed(meta, "job", jobs, sums)
 
 
 def timeline_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
