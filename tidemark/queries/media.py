@@ -103,7 +103,7 @@ EFFECTS = {
 
 def frame_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean colours of all frames after each effect."""
-    return frames.means(frames.apply_each(_frames(spark, sf_dir), EFFECTS, 20, 2, 18))
+    return frames.means_of_each(_frames(spark, sf_dir), EFFECTS, 20, 2, 18)
 
 
 def frame_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
