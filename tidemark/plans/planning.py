@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,32 +110,33 @@ def repaired(segments: DataFrame, clamp_end: bool = False) -> tuple[DataFrame, D
     return both.withColumns({c: F.col(f"__new_{c}") for c in new}).drop(*[f"__new_{c}" for c in new]), log
 
 
-def _concat(segments: DataFrame) -> DataFrame:
-    w = Window.partitionBy("plan_id").orderBy("seq")
-    firsts = segments.withColumns({f"__first_{c}": F.first(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("fps", "width", "height")})
+def _concat() -> tuple[dict[str, Column], list[Column]]:
+    """What a segment must know of its plan's first one, and the rules for both to be joined."""
+    upto = Window.partitionBy("plan_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    firsts = {f"__first_{c}": F.first(c).over(upto) for c in ("fps", "width", "height")}
     wrong = (F.col("width") != F.col("__first_width")) | (F.col("height") != F.col("__first_height"))
-    return _listed(firsts, [_when(F.col("fps") != F.col("__first_fps"), "concat_mismatch", "fps", F.col("fps"), F.col("__first_fps")), _when(wrong, "concat_mismatch", "dimensions")])
+    return firsts, [_when(F.col("fps") != F.col("__first_fps"), "concat_mismatch", "fps", F.col("fps"), F.col("__first_fps")), _when(wrong, "concat_mismatch", "dimensions")]
 
 
 def concat_errors(segments: DataFrame) -> DataFrame:
     """Segments whose rate or size differs from their plan's first: plan_id, seq, code, location, field, value, limit."""
-    return _concat(segments).drop("rule")
+    firsts, rules = _concat()
+    return _listed(segments.withColumns(firsts), rules).drop("rule")
 
 
-def _transitions(segments: DataFrame, fps: Column) -> tuple[DataFrame, DataFrame]:
-    """Faults of transitions that need no durations, and of those that do."""
+def _transitions(fps: Column) -> tuple[dict[str, Column], list[Column], list[Column]]:
+    """What a segment must know of the one before it, the rule of its transition that needs no durations, and the one that does."""
     w = Window.partitionBy("plan_id").orderBy("seq")
-    rows = segments.withColumns({"__before": F.lag("frames").over(w), "__first": F.row_number().over(w) == 1}).filter("transition is not null")
-    most = F.least("frames", "__before")
+    there, first, most = F.col("transition").isNotNull(), F.col("__first"), F.least("frames", "__before")
     overlap = F.rint(F.col("transition") * fps).cast("long")
-    structure = _listed(rows, [_when(F.col("__first"), "transition_too_long", "transition_in")])
-    return structure, _listed(rows, [_when(~F.col("__first") & (overlap >= most), "transition_too_long", "transition_in.duration", F.col("transition"), F.round(most / fps, 4))])
+    long = _when(there & ~first & (overlap >= most), "transition_too_long", "transition_in.duration", F.col("transition"), F.round(most / fps, 4))
+    return {"__before": F.lag("frames").over(w), "__first": F.row_number().over(w) == 1}, [_when(there & first, "transition_too_long", "transition_in")], [long]
 
 
 def transition_errors(segments: DataFrame, fps: Column) -> DataFrame:
     """Transitions that leave no frame of a segment they join, or stand before the first one. segments: plan_id, seq, frames, transition (seconds or null)."""
-    structure, durations = _transitions(segments, fps)
-    return structure.unionByName(durations).drop("rule")
+    before, structure, durations = _transitions(fps)
+    return _listed(segments.withColumns(before), structure + durations).drop("rule")
 
 
 def checked(segments: DataFrame, fps: Column) -> DataFrame:
@@ -142,17 +144,19 @@ def checked(segments: DataFrame, fps: Column) -> DataFrame:
 
     Transitions before the first segment come first, then bounds, then windows; what
     depends on every segment (concatenation, transitions' durations) is left out
-    for plans with a segment that can't be cut.
+    for plans with a segment that can't be cut. Rows without a plan_id are one plan.
+    All rules are asked in one pass over the segments, which meet once, by plan_id.
     """
     own, window = _bounds(segments)
-    structure, durations = _transitions(segments, fps)
-    bounds = _listed(segments, own)
-    cut = bounds.select("plan_id").distinct()
-    stages = [structure, bounds, _listed(segments, window) if window else bounds.limit(0), _concat(segments).join(cut, "plan_id", "left_anti"), durations.join(cut, "plan_id", "left_anti")]
-    every = stages[0].withColumn("stage", F.lit(0))
-    for k, more in enumerate(stages[1:], 1):
-        every = every.unionByName(more.withColumn("stage", F.lit(k)))
-    order = F.row_number().over(Window.partitionBy("plan_id").orderBy("stage", "seq", "rule"))
+    firsts, concat = _concat()
+    before, structure, durations = _transitions(fps)
+    whole = Window.partitionBy("plan_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = F.max(reduce(Column.__or__, [rule.isNotNull() for rule in own])).over(whole)
+    dependent = [F.when(~F.col("__cut"), rule) for rule in concat + durations]
+    stages = [0] * len(structure) + [1] * len(own) + [2] * len(window) + [3] * len(concat) + [4] * len(durations)
+    every = _listed(segments.withColumns(firsts | before | {"__cut": cut}), structure + own + window + dependent)
+    stage = F.get(F.array(*map(F.lit, stages)), "rule")
+    order = F.row_number().over(Window.partitionBy("plan_id").orderBy(stage, "seq", "rule"))
     return every.select("plan_id", order.alias("ord"), "code", "location", "field", "value", "limit")
 
 
