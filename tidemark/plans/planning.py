@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-3
+TASK_ROWS = 200_000  #: segments that a task sorts at a time, some hundred bytes each
 
 #: What each operation is to a stream of frames. effect: changes frames in place, else a transform; filter: an effect that
 #: becomes a filter; passthrough: it leaves pictures alone; requires: it needs context; streams; source: it looks at the source first; duration: it changes time.
@@ -251,6 +252,15 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def dealt_by_rows(rows: DataFrame, key: str) -> DataFrame:
+    """rows over as many partitions by key as leave each about TASK_ROWS, and a partition a core at least.
+
+    Windows over the key follow without a further shuffle. Coalesced by bytes, a partition
+    would be some millions of segments, all of them in a task's sorts at once.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), key)
+
+
 def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
     """video_id, frame_idx, src_idx: which source frame each frame of the result shows, for operations that only move frames.
 

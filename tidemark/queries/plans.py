@@ -19,7 +19,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_discount") * 100 - 1
     # line numbers repeat within an order, so segments are numbered by the whole row
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    lines = lines.withColumn("seq", n)
+    lines = planning.dealt_by_rows(lines, "l_orderkey").withColumn("seq", n)
     return lines.join(parts, "l_partkey").select(
         F.col("l_orderkey").alias("plan_id"), "seq", start.alias("start"), (start + F.col("l_quantity") - 2).alias("end"), "total_seconds",
         (F.col("l_tax") * 100 - 1).alias("window_start"), (F.col("l_tax") * 500).alias("window_stop"),
