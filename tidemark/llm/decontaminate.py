@@ -5,10 +5,10 @@ terms and, for each, the sorted positions at which it stands. Documents are
 dealt over blocks, so no term's postings, however common, meet in one task, and
 the index is written once to the shared folder and searched as often as needed.
 
-A search takes phrases (windows of test words) in bounded chunks. Within a block
-a phrase starts from the postings of its rarest term in the corpus, shifts them
-by the term's offset and intersects them with the other terms' postings, rarest
-first, until they are empty or the phrase is found. near() finds phrases whose
+A search takes phrases (windows of test words) in bounded chunks, as arrays. Within
+a block each phrase starts from the postings of its rarest term in the corpus, shifts
+them by the term's offset and intersects them with the other terms' postings, rarest
+first; the phrases of a chunk go together. near() finds phrases whose
 terms all stand within some words of the rarest one, in any order.
 
 Defined results: null or empty text has no words and no hits; an item without
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, fresh, only, staged, tokens
+from .common import WORD_TABLE, fresh, give_back, only, runs, staged, tokens
 
 INDEX = "block string, doc_ids array<long>, ends array<int>, terms array<string>, starts array<int>, positions array<int>"
 FOUND = "block string, slot int, doc_id long, n_words long, begins array<int>, ends array<int>, items array<string>"
 NEAR = "doc_id long, item string, position int"
 BLOCK_BYTES = 8 << 20  #: text of a block of documents
 CHUNK_BYTES = 4 << 20  #: text of test items that one pass over the index carries to the tasks
+CANDIDATES = 1 << 19  #: postings of rarest terms that a task intersects at a time
+ROW_ITEMS = 1 << 20  #: items found that a task hands on at a time
 
 
 def _index(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -66,26 +67,39 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The positional index of docs (doc_id, text), as a written table."""
-    return staged(only(docs, "doc_id", "text").mapInArrow(_indexed, INDEX), "positions")
+    """The positional index of docs (doc_id, text), as a written table. Each block is a file, since readers take up all rows of a file at once."""
+    return staged(only(docs, "doc_id", "text").mapInArrow(_indexed, INDEX), "positions", maxRecordsPerFile=1)
 
 
 class Phrases:
-    """Distinct windows of a chunk of test items, and the items of each."""
+    """Distinct windows of a chunk of test items as rows of terms, short ones filled up with -1, and the items of each."""
 
     def __init__(self, items: list[tuple[str | None, str]], size: int):
-        ends, codes, terms = tokens(pa.array([text for _, text in items], pa.string()), WORD_TABLE)
-        self.terms, self.items = terms, [i for i, _ in items]
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
-            words = codes[s:e].tolist()
-            for i in range(max(1, len(words) - size + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + size]), set()).add(k)
-        self.windows, self.owners = list(found), list(found.values())
+        ends, codes, self.terms = tokens(pa.array([text for _, text in items], pa.string()), WORD_TABLE)
+        ids = {i for i, _ in items}
+        self.names = [*sorted(ids - {None}), None]  #: the items' ids, None last
+        number = {i: k for k, i in enumerate(self.names)}
+        n = np.diff(ends)
+        many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        item = np.repeat(np.arange(len(n)), many)
+        at = (ends[item] + runs(many))[:, None] + np.arange(size)
+        every = np.append(codes, -1).astype(np.int32)[np.where(at < ends[item + 1][:, None], at, -1)]
+        found, first, window = np.unique(every.view(np.dtype((np.void, 4 * size))).ravel(), return_index=True, return_inverse=True)
+        self.words = every[first]
+        owner = np.array([number[i] for i, _ in items], np.int64)[item]
+        window, owner = np.divmod(np.unique(window * len(self.names) + owner), len(self.names))
+        edges, groups = np.searchsorted(window, np.arange(len(found) + 1)).tolist(), {}
+        #: windows with the same items are of one group
+        self.group = np.array([groups.setdefault(owner[s:e].tobytes(), len(groups)) for s, e in zip(edges, edges[1:])], np.int64)
+        self.owners = [np.frombuffer(g, np.int64) for g in groups]
 
     def rank(self, counts: np.ndarray) -> None:
-        """Orders each window's (term, offset) pairs by the terms' counts in the corpus."""
-        self.order = [sorted(((t, k) for k, t in enumerate(w)), key=lambda x: (counts[x[0]], x)) for w in self.windows]
+        """Orders the offsets of each window's terms by the terms' counts in the corpus."""
+        self.order = np.lexsort((self.words, np.append(counts, np.iinfo(np.int64).max)[self.words]), axis=-1).astype(np.int16)
+
+    def ordered(self, window: int) -> list[tuple[int, int]]:
+        """(term, offset) pairs of one window, the rarest term first."""
+        return [(t, k) for k in self.order[window].tolist() if (t := int(self.words[window, k])) >= 0]
 
 
 def chunks(benchmark: DataFrame, size: int) -> Iterator[Phrases]:
@@ -118,20 +132,37 @@ class Block:
     def slot(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, positions, side="right") - 1
 
-    def phrase(self, order: list[tuple[int, int]]) -> np.ndarray:
-        """Where a window begins: offset-adjusted postings intersected from its rarest term on, within one document."""
-        begins = None
-        for term, offset in order:
-            held = self.postings(term)
-            if begins is None:
-                begins = held - offset
-            else:
-                at = np.searchsorted(held, begins + offset)
-                begins = begins[(at < len(held)) & (held[np.minimum(at, len(held) - 1)] == begins + offset)] if len(held) else begins[:0]
-            if not len(begins):
-                return begins
-        begins = begins[begins >= 0]
-        return begins[self.slot(begins) == self.slot(begins + len(order) - 1)]
+    def standing(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows, where they begin and how long they are: postings of each one's rarest term, less its offset, intersected with those of its other terms, within one document.
+
+        Many windows go together: the postings of all terms are one sorted array of (term, position).
+        """
+        total = int(self.ends[-1])
+        local = np.append(self.at, -2).astype(np.int32)[phrases.words]  # -2 where a short window has no word
+        live = np.flatnonzero((local != -1).all(axis=1))
+        if not len(live) or not total:
+            return
+        local, order = local[live], phrases.order[live]
+        size, rows = (local != -2).sum(axis=1), np.arange(len(live))
+        keys = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)) * total + self.positions
+        rare = local[rows, order[:, 0]]
+        many = (self.starts[rare + 1] - self.starts[rare]).astype(np.int64)
+        upto, s = np.cumsum(many), 0
+        while s < len(live):
+            e = max(s + 1, int(np.searchsorted(upto, CANDIDATES + (upto[s - 1] if s else 0), "right")))
+            at = np.repeat(rows[s:e], many[s:e])
+            begins = self.positions[np.repeat(self.starts[rare[s:e]], many[s:e]) + runs(many[s:e])] - order[at, 0].astype(np.int64)
+            keep = (begins >= 0) & (begins + size[at] <= total)
+            at, begins = at[keep], begins[keep]
+            for k in range(1, order.shape[1]):
+                offset = order[at, k]
+                term = local[at, offset].astype(np.int64)
+                want = term * total + begins + offset
+                keep = (term == -2) | (keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want)
+                at, begins = at[keep], begins[keep]
+            keep = self.slot(begins) == self.slot(begins + size[at] - 1)
+            yield live[at[keep]], begins[keep], size[at[keep]]
+            s = e
 
     def near(self, order: list[tuple[int, int]], slop: int) -> np.ndarray:
         """Positions of the rarest term with every other term at most slop words away in the same document."""
@@ -149,52 +180,61 @@ def _blocks(phrases: Phrases, run):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield run(Block(batch, row, phrases.terms), phrases)
+                yield from run(Block(batch, row, phrases.terms), phrases)
+        give_back()
 
     return go
 
 
-def _counts(block: Block, phrases: Phrases) -> pa.RecordBatch:
+def _counts(block: Block, phrases: Phrases) -> Iterator[pa.RecordBatch]:
     there = np.flatnonzero(block.at >= 0)
     n = block.starts[block.at[there] + 1] - block.starts[block.at[there]]
-    return pa.RecordBatch.from_pydict({"term": pa.array(there, pa.int32()), "n": pa.array(n, pa.int64())})
-
-
-def _hits(block: Block, phrases: Phrases) -> pa.RecordBatch:
-    from_, to = [block.positions[:0]], [block.positions[:0]]
-    items: dict[int, set[str]] = {}
-    for order, owners in zip(phrases.order, phrases.owners):
-        if block.at[order[0][0]] < 0:
-            continue
-        begins = block.phrase(order)
-        if len(begins):
-            from_.append(begins)
-            to.append(begins + len(order))
-            names = {phrases.items[k] for k in owners} - {None}
-            for slot in np.unique(block.slot(begins)).tolist():
-                items.setdefault(slot, set()).update(names)
-    size = int(block.ends[-1]) + 1
-    edge = np.bincount(np.concatenate(from_), minlength=size) - np.bincount(np.concatenate(to), minlength=size)
-    hit = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)
-    rows: dict[str, list] = {c: [] for c in ("slot", "doc_id", "n_words", "begins", "ends", "items")}
-    for slot, (s, e) in enumerate(zip(block.ends[:-1].tolist(), block.ends[1:].tolist())):
-        own = slot in items
-        change = np.diff(np.concatenate([[0], hit[s + 1 : e + 1], [0]])) if own else np.zeros(0, np.int8)
-        rows["slot"].append(slot)
-        rows["doc_id"].append(block.doc_ids[slot])
-        rows["n_words"].append(e - s)
-        rows["begins"].append(np.flatnonzero(change > 0))
-        rows["ends"].append(np.flatnonzero(change < 0))
-        rows["items"].append(sorted(items[slot]) if own else [])
-    schema = pa.schema([("block", pa.string()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    return pa.RecordBatch.from_pydict({"block": [block.block] * len(rows["slot"]), **rows}, schema)
+    yield pa.RecordBatch.from_pydict({"term": pa.array(there, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _hits(block: Block, phrases: Phrases) -> Iterator[pa.RecordBatch]:
+    total, n = int(block.ends[-1]), len(block.doc_ids)
+    edge, found = np.zeros(total + 1, np.int64), [np.zeros(0, np.int64)]
+    for window, begins, size in block.standing(phrases):
+        edge += np.bincount(begins, minlength=total + 1) - np.bincount(begins + size, minlength=total + 1)
+        found.append(np.unique(block.slot(begins) * len(phrases.owners) + phrases.group[window]))
+    hit = np.concatenate([[False], np.cumsum(edge) > 0])  # the word before the first, then all words and one more
+    bound = np.zeros(total + 1, bool)
+    bound[block.ends] = True
+    first = np.flatnonzero(hit[1:] & (~hit[:-1] | bound))
+    last = np.flatnonzero(hit[1:-1] & (~hit[2:] | bound[1:])) + 1
+    slot = block.slot(first)
+    runs_of, start = np.searchsorted(slot, np.arange(n + 1)), block.ends[slot]
+    slots, groups = np.divmod(np.unique(np.concatenate(found)), max(1, len(phrases.owners)))
+    groups_of, names = np.searchsorted(slots, np.arange(n + 1)), pa.array(phrases.names, pa.string())
+    listed = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+
+    def rows(s: int, e: int, items: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = runs_of[s], runs_of[e]
+        spans = [listed(pa.array((x[a:b] - start[a:b]).astype(np.int32)), runs_of[s : e + 1] - a) for x in (first, last)]
+        own = listed(names.take(pa.array(np.concatenate([*items, np.zeros(0, np.int64)]))), np.cumsum([0, *map(len, items)]))
+        columns = [[block.block] * (e - s), np.arange(s, e, dtype=np.int32), pa.array(block.doc_ids[s:e], pa.int64()), np.diff(block.ends[s : e + 1]).astype(np.int64), *spans, own]
+        return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, (list, np.ndarray)) else x for x in columns], [f.split()[0] for f in FOUND.split(", ")])
+
+    s, items, held = 0, [], 0
+    for k in range(n):
+        mine = groups[groups_of[k] : groups_of[k + 1]]
+        own = np.unique(np.concatenate([phrases.owners[g] for g in mine])) if len(mine) else mine
+        items.append(own[own < len(phrases.names) - 1])
+        held += len(items[-1])
+        if held > ROW_ITEMS:
+            yield rows(s, k + 1, items)
+            s, items, held = k + 1, [], 0
+    if s < n:
+        yield rows(s, n, items)
 
 
 def _ranked(index: DataFrame, benchmark: DataFrame, size: int) -> Iterator[Phrases]:
     for phrases in chunks(benchmark, size):
-        seen = index.mapInArrow(_blocks(phrases, _counts), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        counts = Counter({r["term"]: r["n"] for r in seen.collect()})  # a row per test term of the chunk
-        phrases.rank(np.array([counts[t] for t in range(len(phrases.terms))]))
+        seen = index.mapInArrow(_blocks(phrases, _counts), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per test term of the chunk
+        counts = np.zeros(len(phrases.terms), np.int64)
+        counts[np.asarray(seen.column("term"))] = np.asarray(seen.column("n"))
+        phrases.rank(counts)
         yield phrases
 
 
@@ -230,23 +270,22 @@ def find(index: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
 
 def _nothing() -> Phrases:
     none = Phrases([], 1)
-    none.rank(np.zeros(0))
+    none.rank(np.zeros(0, np.int64))
     return none
 
 
 def near(index: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 20) -> DataFrame:
     """doc_id, item, position for each place where all terms of one of the item's windows stand within slop words of its rarest term."""
 
-    def run(block: Block, phrases: Phrases) -> pa.RecordBatch:
+    def run(block: Block, phrases: Phrases) -> Iterator[pa.RecordBatch]:
         out = set()
-        for order, owners in zip(phrases.order, phrases.owners):
-            if all(block.at[t] >= 0 for t, _ in order):
-                spots = block.near(order, slop)
-                for p, s in zip(spots.tolist(), block.slot(spots).tolist()):
-                    out |= {(block.doc_ids[s], phrases.items[k], p - int(block.ends[s])) for k in owners}
+        for window in np.flatnonzero((np.append(block.at, 0)[phrases.words] >= 0).all(axis=1)).tolist():
+            spots = block.near(phrases.ordered(window), slop)
+            for p, s in zip(spots.tolist(), block.slot(spots).tolist()):
+                out |= {(block.doc_ids[s], phrases.names[k], p - int(block.ends[s])) for k in phrases.owners[phrases.group[window]].tolist()}
         rows = sorted(out, key=str)
         schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("position", pa.int32())])
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.types[k]) for k in range(3)], schema=schema)
 
     out, *others = _searched(index, benchmark, size, run, NEAR)
     for more in others:
