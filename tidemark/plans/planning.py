@@ -252,13 +252,13 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def dealt_by_rows(rows: DataFrame, key: str) -> DataFrame:
-    """rows over as many partitions by key as leave each about TASK_ROWS, and a partition a core at least.
+def dealt_by_rows(rows: DataFrame, key: str, least: int = 0) -> DataFrame:
+    """rows over as many partitions by key as leave each about TASK_ROWS, and a partition a core, or `least`, at least.
 
     Windows over the key follow without a further shuffle. Coalesced by bytes, a partition
     would be some millions of segments, all of them in a task's sorts at once.
     """
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), key)
+    return rows.repartition(max(least, rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)), key)
 
 
 def index_map(meta: DataFrame, op: str, **args) -> DataFrame:
